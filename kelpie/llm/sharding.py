@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,7 +86,8 @@ def uniform_shards(docs: DataFrame, n_shards: int = 24, seed: int = 20240229, id
     counts = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
     matrix = communication_matrix([n for _, n in counts], n_shards, seed)
     ends = np.cumsum(matrix, axis=1)
-    dealt = spark.createDataFrame([(p, e.tolist()) for (p, _), e in zip(counts, ends, strict=True)], "part int, ends array<bigint>")
+    parts = pa.array([p for p, _ in counts], pa.int32())
+    dealt = spark.createDataFrame(pa.table({"part": parts, "ends": pa.array(list(ends), pa.list_(pa.int64()))}))
     total = int(matrix.sum())
     buckets = max(1, -(-total // (n_shards * BUCKET_ROWS)))
     first = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "doc_id", "place"), "place")
