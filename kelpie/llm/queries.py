@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, minhash, packing, sharding
+from . import bpe, exact_dedup, jaccard, license_scan, minhash, packing, pii, sharding, toxicity
+
+#: The key of the registered queries; a production run passes its own secret.
+PII_KEY = "registered-query"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("values", lambda v: v["kind"] == kind)).alias(f"n_{kind}")
+
+    return pii.findings(_docs(spark, sf_dir), PII_KEY).select("doc_id", "text", "n_values", *map(count, pii.KINDS))
+
+
+def toxicity_weights(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return toxicity.scores(docs, toxicity_weights(spark, docs, sf_dir))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(_docs(spark, sf_dir))
 
@@ -48,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints)
+    f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints)
 }
 
 ORACLE_SQL = {
