@@ -37,3 +37,14 @@ def prefix_totals(counts: DataFrame, order: list[str], value: str, out: str, by:
 
 def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names of our own that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

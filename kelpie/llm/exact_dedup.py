@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, written
+from .common import ASCII_SPACE, fresh, written
 
 FAN_IN = 8
 
@@ -76,17 +76,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    key, digest, keep, points, n = fresh(docs, "key", "digest", "keep", "points", "n")
     leaf = written(_leaf(docs, id_col, text_col), "digest_runs")
-    kept = merge_runs(leaf, fan_in).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_points").alias("__points")
-    )
-    marked = docs.withColumn("__key", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    kept = merge_runs(leaf, fan_in).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("keep_points").alias(points))
+    marked = docs.withColumn(key, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     rows = marked.join(
         kept,
-        (F.col("__key") == F.col("__digest"))
-        & F.col(id_col).eqNullSafe(F.col("__keep"))
-        & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__points")),
+        (F.col(key) == F.col(digest))
+        & F.col(id_col).eqNullSafe(F.col(keep))
+        & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col(points)),
     )
     # Fully repeated rows share identifier and text; one of them stays.
-    w = Window.partitionBy("__key", "__keep", "__points").orderBy(F.lit(1))
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    w = Window.partitionBy(key, keep, points).orderBy(F.lit(1))
+    return rows.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

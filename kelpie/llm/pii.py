@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The shapes of the kinds, tried in this order at each place.
 SHAPES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -171,26 +173,27 @@ class Pseudonyms:
         return _let(kind, k, f"struct({k} AS kind, {new} AS pseudonym)")
 
 
-def _marked(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``docs`` with __old (matches in order) and __new (kind and pseudonym of each)."""
-    found = docs.withColumn("__old", F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
-    return found.withColumn("__new", F.expr(f"transform(__old, v0 -> {Pseudonyms(key).value('v0')})"))
+def _marked(docs: DataFrame, key: str, text_col: str, old: str, new: str) -> DataFrame:
+    """``docs`` with the matches in order, and the kind and pseudonym of each."""
+    found = docs.withColumn(old, F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
+    return found.withColumn(new, F.expr(f"transform(`{old}`, v0 -> {Pseudonyms(key).value('v0')})"))
 
 
-def _rebuilt(text: Column) -> Column:
+def _rebuilt(text: Column, old: str, new: str) -> Column:
     parts = F.split(text, PATTERN, -1)
-    new = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new.pseudonym"), i), F.lit(""))))
-    return F.when(F.size("__old") > 0, F.array_join(new, "")).otherwise(text)
+    filled = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(f"{new}.pseudonym"), i), F.lit(""))))
+    return F.when(F.size(old) > 0, F.array_join(filled, "")).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in its text replaced; all other columns as they are."""
-    return _marked(docs, key, text_col).withColumn(text_col, _rebuilt(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    old, new = fresh(docs, "old", "new")
+    return _marked(docs, key, text_col, old, new).withColumn(text_col, _rebuilt(F.col(text_col), old, new)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def findings(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, text with pseudonyms, number of values replaced, and (kind, pseudonym) of each."""
-    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key, "text")
+    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key, "text", "__old", "__new")
     changed = F.filter(F.zip_with("__old", "__new", lambda o, n: F.struct(n["kind"].alias("kind"), n["pseudonym"].alias("pseudonym"), (o != n["pseudonym"]).alias("changed"))), lambda x: x["changed"])
     values = F.coalesce(F.transform(changed, lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))), F.array().cast("array<struct<kind:string,pseudonym:string>>"))
-    return rows.select("doc_id", _rebuilt(F.col("text")).alias("text"), values.alias("values")).withColumn("n_values", F.size("values"))
+    return rows.select("doc_id", _rebuilt(F.col("text"), "__old", "__new").alias("text"), values.alias("values")).withColumn("n_values", F.size("values"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, minhash, packing, pii, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, sharding, toxicity
 
 #: The key of the registered queries; a production run passes its own secret.
 PII_KEY = "registered-query"
@@ -17,18 +17,23 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> tuple[str, str]:
+def tokenizer(name: str) -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return merkle.fixity(pages, merkle.damaged(pages))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_docs(spark, sf_dir))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+    return packing.pack(_docs(spark, sf_dir), *tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_docs(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"), full=False)
+    return bpe.encode_decode(_docs(spark, sf_dir), *tokenizer("byte_bpe_50k.tiktoken"), full=False)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +73,42 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints)
+    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints)
 }
 
+def _merkle_sql(replica: str) -> str:
+    """The root over up to 64 ** 3 records, as SQL over (n, digest)."""
+    return f"""(SELECT CASE WHEN (SELECT count(*) FROM first) <= 64 THEN (SELECT any_value(d) FROM {replica}1)
+                WHEN (SELECT count(*) FROM first) <= 4096 THEN (SELECT any_value(d) FROM {replica}2)
+                ELSE (SELECT any_value(d) FROM {replica}3) END)"""
+
+
+def _levels_sql(replica: str, leaves: str) -> str:
+    up = "SELECT n // 64 AS n, sha256(string_agg(d, '' ORDER BY n)) AS d FROM {} GROUP BY n // 64"
+    return ", ".join(f"{replica}{k} AS ({up.format(leaves if k == 1 else f'{replica}{k - 1}')})" for k in (1, 2, 3))
+
+
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)
+    || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10)"""
+
 ORACLE_SQL = {
+    "op1_merkle_fixity": f"""
+        WITH p AS (SELECT page_id, url, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS html FROM pages),
+        first AS (
+            SELECT page_id, mark, sha256({_RECORD.replace('body', 'html')}) AS d, strlen({_RECORD.replace('body', 'html')}) AS length,
+                   row_number() OVER (ORDER BY page_id) - 1 AS n
+            FROM p),
+        second AS (
+            SELECT n, CASE WHEN mark = '0f' THEN '' ELSE e END AS d
+            FROM first JOIN (
+                SELECT page_id, sha256({_RECORD}) AS e
+                FROM (SELECT page_id, url, CASE WHEN mark = '07' THEN '?' || substr(html, 2) ELSE html END AS body FROM p)) USING (page_id)),
+        {_levels_sql('a', 'first')}, {_levels_sql('b', 'second')}
+        SELECT page_id, (sum(length) OVER (ORDER BY n) - length)::BIGINT AS "offset", length::BIGINT AS length, f.d AS record_sha256,
+               (n // 64)::BIGINT AS range_id, CASE WHEN s.d = '' THEN 'missing' WHEN s.d <> f.d THEN 'altered' ELSE 'ok' END AS status,
+               {_merkle_sql('a')} AS root_sha256, {_merkle_sql('b')} AS replica_root_sha256
+        FROM first f JOIN second s USING (n)""",
     "op2_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -218,38 +218,31 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stems, contexts
 
 
-def _scored(stems: dict[str, float], contexts: dict[str, float], keep_text: bool):
+def _scored(stems: dict[str, float], contexts: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems, contexts)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            scores = [grammar.score(t) for _, texts in text_chunks(batch.column(at)) for t in texts]
-            names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+            found = [grammar.score(t) for _, texts in text_chunks(batch.column(1)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return run
 
 
 def scores(docs: DataFrame, weights: tuple[dict[str, float], dict[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    scored = rows.mapInArrow(_scored(*weights, False), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scored = rows.mapInArrow(_scored(*weights), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT_AT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, weights: tuple[dict[str, float], dict[str, float]], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``REJECT_AT``, with all their columns."""
-    grammar = _scored(*weights, True)
-    keep = docs.schema
-    cols = keep.names
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
+        grammar = Grammar(*weights)
         for batch in batches:
-            renamed = pa.RecordBatch.from_arrays(batch.columns, names=[*map(str, range(len(cols))), "__text"])
-            for out in grammar([renamed]):
-                left = out.filter(pc.less(out.column(len(cols)), REJECT_AT))
-                yield pa.RecordBatch.from_arrays(left.columns[:-1], names=cols)
+            kept = [grammar.score(t) < REJECT_AT for _, texts in text_chunks(batch.column(at)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.select("*", F.col(text_col).alias("__text")).mapInArrow(run, keep)
+    return docs.mapInArrow(run, docs.schema)
