@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shingles import text_chunks
 
 LONG_WORD = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 QUERY_WORDS = 20_000
 
 ENCODE = """
@@ -136,9 +136,9 @@ class Codec:
         new = words.difference(self.ids)
         if new:
             if len(self.ids) + len(new) > CACHE_WORDS:
-                self.ids.clear()
-                self.decoded.clear()
-                new = words
+                # Only the words in use stay.
+                self.ids = {w: self.ids[w] for w in words - new}
+                self.decoded = {w: self.decoded[w] for w in self.ids}
             self.learn(list(new))
 
 
