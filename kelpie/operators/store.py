@@ -12,7 +12,8 @@ def checked_scope(docs: DataFrame) -> DataFrame:
 
     by_id, by_place = Window.partitionBy("scope", "id"), Window.partitionBy("scope", "session", "ord")
     ok = (F.count("*").over(by_id) == 1) & (F.count("*").over(by_place) == 1) & F.col("tier").isin("T0", "T1", "T2", "T3")
-    return docs.filter(F.assert_true(ok, F.lit("duplicate id or position, or unknown tier")).isNull())
+    marked = docs.withColumn("__ok", ok)
+    return marked.filter(F.assert_true("__ok", F.lit("duplicate id or position, or unknown tier")).isNull()).drop("__ok")
 
 
 def content_hash(docs: DataFrame) -> DataFrame:
