@@ -36,7 +36,7 @@ def markdown_documents(spark: SparkSession, root: str, scope: str, tier: str = "
     """Sections of all ``*.md`` files below ``root``: split at headings and section-sign lines; numbers count blank parts too."""
     if tier not in ("T0", "T1", "T3"):
         raise ValueError("sections are T0, T1 or T3")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     name = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E/*")), F.lit(""))
     parts = raw.select(name.alias("rel"), F.posexplode(F.split("value", SECTION)).alias("n", "text"))
@@ -85,7 +85,7 @@ def telemetry_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """The overlay ``{"entries": {id: fields}}`` as rows."""
     fields = "struct<resident_units:int,miss_penalty_tokens:double,locator:string,scope:string,project:string,profile:string>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"entries map<string,{fields}>", {"mode": "FAILFAST"}).alias("c"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"entries map<string,{fields}>", {"mode": "FAILFAST"}).alias("c"))
     return raw.select(F.explode("c.entries").alias("id", "f")).select("id", "f.*")
 
 
