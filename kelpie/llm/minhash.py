@@ -7,9 +7,9 @@ equal bytes, corrected for the one in 256 that agree by chance.
 ``edited_fingerprints`` needs each document's successor by identifier. Documents are range-partitioned once and sorted;
 within a partition the next row is the successor, and only the last row of each partition waits for the first of the next.
 
-``near_pairs`` joins documents on bands of their fingerprints in Spark and verifies the Jaccard similarity on whole
-shingle sets. Members of a band's group are compared with its smallest member, so large groups yield stars, not all pairs;
-with ``BANDS`` bands of ``ROWS`` bytes a pair of similarity 0.8 shares a band with probability above 0.999.
+``near_groups`` joins documents on bands of their fingerprints in Spark and verifies the Jaccard similarity on whole
+shingle sets, in the groups, stars and cells of the parity-sketch join. With ``BANDS`` bands of ``ROWS`` bytes a pair of
+similarity 0.8 shares a band with probability above 0.999.
 
 Edge cases: a null or empty text has no shingles and the fingerprint of all ``f``; two such texts are alike (1); a text
 of fewer than five words is one shingle; repeated identifiers are ordered by text; a table of one row follows itself; an
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import jaccard
 from .common import written
-from .jaccard import verify
-from .shingles import shingle_sets, text_chunks
+from .shingles import mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 _rng = np.random.default_rng(128)
@@ -146,22 +146,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.filter("kind = 0").select("doc_id", *(n for n, _ in _OUT)).union(last)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, texts in text_chunks(batch.column(1)):
-            ids, at, band = batch.column(0), [], []
-            for k, tokens in enumerate(shingle_sets(texts)):
-                if len(tokens):
-                    f = fingerprint(tokens)
-                    at += [row + k] * BANDS
-                    band += [bytes([b]) + f[b * ROWS : (b + 1) * ROWS] for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(band, pa.binary())], names=["doc_id", "band"])
-
-
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links (a, b), a < b, between documents and the smallest member of a band's group."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bands = written(docs.mapInArrow(_banded, "doc_id bigint, band binary"), "bands")
-    least = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = written(bands.join(least, "band").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    return verify(pairs, docs)
+def band_words(tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit word for each band of the fingerprint."""
+    rows = np.frombuffer(fingerprint(tokens), dtype=">u4").astype(np.uint64)
+    return mix(rows + (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, from verified links among documents that share a band."""
+    return jaccard.near_groups(docs, id_col, text_col, band_words)
