@@ -141,3 +141,29 @@ def admission(base: DataFrame, new: DataFrame) -> DataFrame:
         (F.col("all_gold") >= F.col("b_all_gold")).alias("all_gold_kept"),
         F.coalesce(F.col("p95") <= 1.25 * F.col("b_p95"), F.lit(False)).alias("latency_kept"),
     )
+
+
+def drift(reference: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """(drift, n): each pair of rows in exactly one class, from identical to a change of the selected set.
+
+    Rows have selected_ids, selected_ranked_ids, packed (arrays), budget_used and score.
+    """
+    j = reference.alias("l").join(candidate.alias("r"), keys, "full_outer")
+    same = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    both = F.col("l.budget_used").isNotNull() & F.col("r.budget_used").isNotNull()
+    kind = (
+        F.when(~both, "other-semantic-change")
+        .when(same("selected_ids") & same("selected_ranked_ids") & same("packed") & same("budget_used"), F.when(same("score"), "identical").otherwise("numeric-only"))
+        .when(as_set("l.selected_ids") != as_set("r.selected_ids"), "selected-set-change")
+        .when(same("selected_ids") & same("packed") & same("budget_used"), "rank-only")
+        .when(same("budget_used") & (F.array_sort("l.packed") == F.array_sort("r.packed")), "same-set-different-order")
+        .when(~same("packed") | ~same("budget_used"), "packed-boundary-change")
+        .otherwise("other-semantic-change")
+    )
+    return j.groupBy(kind.alias("drift")).agg(F.count("*").alias("n"))
+
+
+def best_on_development(scores: DataFrame) -> DataFrame:
+    """Of (policy, development, held_out): the policy best on development, ties by name; its held-out rate is the result."""
+    return scores.orderBy(F.desc("development"), "policy").limit(1)

@@ -77,3 +77,58 @@ def latest_profiles(rows: DataFrame, now: Column, max_age_s: int, keep: int) ->
 def summary(samples: DataFrame, *group: str) -> DataFrame:
     """Median of each group, null if any sample is unknown."""
     return samples.groupBy(*group).agg(F.when(F.count("ms") == F.count("*"), F.median("ms")).alias("median"), F.count("*").alias("n"))
+
+
+def predicted_finish(points: DataFrame) -> DataFrame:
+    """``points`` with the time until a request ends: p95, queue, and start, compile and staging where these are due; null if unknown."""
+    due = lambda flag, cost: F.when(F.col(flag), F.lit(0.0)).otherwise(F.col(cost))
+    queue = F.greatest(F.lit(0), "queue_depth") * F.col("p95") / F.greatest(F.lit(1), "concurrency")
+    return points.withColumn("finish", F.col("p95") + queue + due("model_warm", "startup") + due("provider_ready", "compile") + due("index_resident", "stage_ms"))
+
+
+def select_interactive(points: DataFrame, slo_ms: float) -> DataFrame:
+    """By workload: the point on the skyline that is predicted to end first within the limit."""
+    p = predicted_finish(points)
+    return select_policy(p, ["workload"], [F.col("finish"), F.coalesce("cpu_seconds", F.lit(0.0)), F.col("id")], F.coalesce(F.col("finish") <= slo_ms, F.lit(False)))
+
+
+def same_result(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(…keys, same): whether two results agree in every field, nulls included."""
+    j = left.alias("l").join(right.alias("r"), keys, "full_outer")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}"))
+    return j.select(*keys, same.alias("same"))
+
+
+def joint_choice(candidates: DataFrame, objective: str, reuses: int = 1) -> DataFrame:
+    """Candidates with the reasons against each; the best without any is chosen by the objective's order of costs."""
+    costs = ["latency_ms", "transfer_ms", "startup_ms", "compile_ms", "throughput", "cpu_seconds"]
+    unknown = F.lit(False)
+    for c in costs:
+        unknown = unknown | F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0)
+    why = F.filter(F.array(F.when(~F.col("current"), "stale-profile-or-generation"), F.when(~F.col("semantic_safe"), "semantic-evidence"), F.when(unknown, "unknown-cost")), lambda x: x.isNotNull())
+    latency = F.col("latency_ms") + (F.col("transfer_ms") + F.col("startup_ms") + F.col("compile_ms")) / reuses
+    order = {"interactive": [F.col("total_ms"), -F.col("throughput")], "bulk": [-F.col("throughput"), F.col("total_ms")], "background": [F.col("cpu_seconds"), F.col("total_ms")]}[objective]
+    c = candidates.withColumn("reasons", F.array_join(why, ",")).withColumn("total_ms", latency)
+    w = Window.partitionBy("objective").orderBy((F.col("reasons") != "").cast("int"), *order, "id")
+    c = c.withColumn("objective", F.lit(objective)).withColumn("chosen", (F.row_number().over(w) == 1) & (F.col("reasons") == ""))
+    return c.select("id", "reasons", F.when(F.col("reasons") == "", F.col("total_ms")).alias("total_ms"), "chosen")
+
+
+def headroom(rows: DataFrame, slo_ms: float) -> DataFrame:
+    """What a measured gain leaves below the limit; a report, never a change of policy."""
+    return rows.withColumns({"headroom_ms": F.greatest(F.lit(0.0), F.lit(slo_ms) - F.col("optimized_ms")), "dividend_ms": F.col("baseline_ms") - F.col("optimized_ms")})
+
+
+def score_deltas(reference: DataFrame, candidate: DataFrame, cutoff: int) -> DataFrame:
+    """By query: largest score difference of shared rows, rows that change place, and rows that cross the cutoff."""
+    r, c = (x.select("query_id", "rowid", F.col("score").alias(f"s_{n}"), F.col("rank").alias(f"k_{n}")) for x, n in ((reference, "r"), (candidate, "c")))
+    j = r.join(c, ["query_id", "rowid"], "full_outer")
+    inside = lambda n: F.coalesce(F.col(f"k_{n}") <= cutoff, F.lit(False))
+    return j.groupBy("query_id").agg(F.max(F.abs(F.col("s_r") - F.col("s_c"))).alias("max_delta"), F.count_if(F.col("k_r") != F.col("k_c")).alias("moved"), F.count_if(inside("r") != inside("c")).alias("crossed"))
+
+
+def decomposed(timings: DataFrame) -> DataFrame:
+    """Total time by part, where a batch's clock counts once however many queries share it (columns batch, part, ms)."""
+    return timings.groupBy("batch", "part").agg(F.max("ms").alias("ms")).groupBy("part").agg(F.sum("ms").alias("total_ms"), F.count("*").alias("batches"))
