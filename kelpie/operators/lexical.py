@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,11 @@ def focus_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.withColumn("focus", F.when(F.size(focus) > 0, focus).otherwise(F.col("content"))).drop("speaker_terms")
 
 
+def _places(tokens: str, col: int, weight: float) -> Column:
+    """(col, weight, pos, token) of every token of an array column."""
+    return F.transform(tokens, lambda t, p: F.struct(F.lit(col).alias("col"), F.lit(float(weight)).alias("weight"), p.alias("pos"), t.alias("token")))
+
+
 def bm25(
     docs: DataFrame,
     queries: DataFrame,
@@ -60,17 +65,21 @@ def bm25(
     asked = queries.select("query_id", F.col("scope").alias("q_scope"), F.explode(terms_col).alias("phrase"))
     parts = stemmed(asked.select("phrase").distinct().select("phrase", X.word_tokens(F.col("phrase")).alias("__p")), stem)
     parts = parts.select("phrase", F.size("__p").alias("n_parts"), F.posexplode("__p").alias("part", "token"))
-    postings = None
-    for i, (_, weight) in enumerate(columns):
-        p = sized.select("rowid", "scope", F.posexplode(f"__{i}").alias("pos", "token")).withColumn("col", F.lit(i)).withColumn("weight", F.lit(float(weight)))
-        postings = p if postings is None else postings.unionByName(p)
+    # One pass over the texts: a posting carries what scoring needs of its row.
+    places = [_places(f"__{i}", i, w) for i, (_, w) in enumerate(columns)]
+    postings = sized.select("rowid", "id", "scope", sum((F.size(f"__{i}") for i in range(len(columns))), F.lit(0)).alias("length"), F.explode(F.concat(*places)).alias("t"))
+    postings = postings.select("rowid", "id", "scope", "length", "t.col", "t.weight", "t.pos", "t.token")
+    row = ["phrase", "rowid", "id", "scope", "length"]
+    # A word counts wherever it stands; a phrase where all its parts stand one after another.
+    start = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("part"))
     starts = (
         postings.join(parts, "token")
-        .groupBy("phrase", "rowid", "scope", "col", "weight", "n_parts", (F.col("pos") - F.col("part")).alias("start"))
+        .groupBy(*row, "col", "weight", "n_parts", start.alias("start"))
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") == F.col("n_parts"))
+        .filter((F.col("n_parts") == 1) | (F.col("n") == F.col("n_parts")))
+        .withColumn("weight", F.when(F.col("n_parts") == 1, F.col("weight") * F.col("n")).otherwise(F.col("weight")))
     )
-    tf = starts.groupBy("phrase", "rowid", "scope").agg(F.sum("weight").alias("f"))
+    tf = starts.groupBy(*row).agg(F.sum("weight").alias("f"))
     df = tf.groupBy("phrase", *group).agg(F.count("*").alias("df"))
     seen = df.join(stats, group) if group else df.crossJoin(stats)  # one row of totals
     ratio = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -80,7 +89,6 @@ def bm25(
         tf.join(idf, ["phrase", *group])
         .join(asked, "phrase")
         .filter("scope = q_scope")
-        .join(lengths.select("rowid", "id", "length"), "rowid")
         .groupBy("query_id", "rowid", "id")
         .agg(F.round(F.sum(part), DIGITS).alias("score"))
     )
