@@ -8,7 +8,8 @@ weighs ``stem weight * context weight``, a clause scores the noisy-or of its mat
 clauses. Words outside a match never count.
 
 Learning uses at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled rows, those of smallest hash (documented bound; the
-share of each class is known, so weights are corrected for it). Stems are whole words or word beginnings, chosen greedily:
+share of each class is known, so weights are corrected for it). Stems are whole words, word beginnings, or beginnings that
+several words of a document share (for those that clean documents have now and then), chosen greedily:
 each next stem must be rare in clean documents and explain toxic documents that no stem so far explains. So copies of one
 toxic document, which share every rare word, add a single stem at most; copies are also dropped before counting. Context weights are shares in the sample with
 prior counts.
@@ -35,6 +36,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 6_000
 REJECT_AT = 0.7
 STEM_LENGTHS = range(3, 8)
 MAX_STEMS = 400
+#: A beginning too common for one occurrence to tell may tell where so many words of a document share it.
+REPEATS = (2, 3, 5)
 #: A stem's share among toxic documents is at least so many times its (smoothed) share among clean ones.
 LEAST_RATIO = 25
 #: Toxic documents that a stem must explain for each sampled clean document that has it.
@@ -57,14 +60,26 @@ _QUOTES = "\"“„«"
 
 
 def stems_of(text: str) -> set[str]:
-    """Words as ``word$`` and word beginnings as ``beg``."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
+    """Words as ``word$``, word beginnings as ``beg``, and beginnings that several words share as ``beg#n``."""
+    words = Counter(_WORD.findall(text.lower()))
+    out, begins = set(), Counter()
+    for w, n in words.items():
         out.add(w + "$")
-        out.update(w[:n] for n in STEM_LENGTHS if n <= len(w))
+        for k in STEM_LENGTHS:
+            if k <= len(w):
+                begins[w[:k]] += n
+    for s, n in begins.items():
+        out.add(s)
+        if n >= REPEATS[0] and len(s) > 3:
+            out.update(f"{s}#{r}" for r in REPEATS if n >= r)
     return out
 
 
+def bare(stem: str) -> str:
+    """The letters of a stem."""
+    return stem.partition("#")[0].removesuffix("$")
+
+
 def choose_stems(toxic: list[set[str]], clean: list[str]) -> dict[str, tuple[int, int]]:
     """stem -> (toxic documents, clean documents) with it, chosen greedily."""
     least = 3 if len(toxic) < 1000 else 5
@@ -82,7 +97,7 @@ def choose_stems(toxic: list[set[str]], clean: list[str]) -> dict[str, tuple[int
     gain = {s: len(v) for s, v in owners.items()}
     while gain and len(chosen) < MAX_STEMS:
         # Of equal gain: fewer clean documents, then the longer beginning.
-        best = max(gain, key=lambda s: (gain[s] - CLEAN_COST * against[s], -against[s], not s.endswith("$"), len(s), s))
+        best = max(gain, key=lambda s: (gain[s] - CLEAN_COST * against[s], -against[s], "#" not in s, not s.endswith("$"), len(s), s))
         if gain[best] - CLEAN_COST * against[best] < max(2, least - 1):
             break
         chosen[best] = (len(owners[best]), against[best])
@@ -92,10 +107,9 @@ def choose_stems(toxic: list[set[str]], clean: list[str]) -> dict[str, tuple[int
             gain[s] = sum(i in open_docs for i in owners[s])
         gain = {s: g for s, g in gain.items() if g > 0 and s != best}
     # Words that mostly stand beside others explain few documents alone; frequent ones count all the same.
-    for s in sorted(owners, key=lambda s: (-len(owners[s]), s.endswith("$"), -len(s), s)):
-        bare = s.removesuffix("$")
+    for s in sorted(owners, key=lambda s: (-len(owners[s]), "#" in s, s.endswith("$"), -len(s), s)):
         if len(owners[s]) >= max(5, FREQUENT * len(toxic)) and not against[s] and len(chosen) < MAX_STEMS:
-            if not any(c.startswith(bare) or bare.startswith(c) for c in (c.removesuffix("$") for c in chosen)):
+            if not any(bare(c).startswith(bare(s)) or bare(s).startswith(bare(c)) for c in chosen):
                 chosen[s] = (len(owners[s]), 0)
     return chosen
 
@@ -118,31 +132,35 @@ class Grammar:
     def __init__(self, stems: dict[str, float], contexts: dict[str, float]):
         import ahocorasick
 
-        self.stems, self.contexts = stems, contexts
+        self.contexts = contexts
+        self.words = {s[:-1]: w for s, w in stems.items() if s.endswith("$")}
+        self.begins = {s: w for s, w in stems.items() if s[-1] != "$" and "#" not in s}
+        self.repeats: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for s, w in stems.items():
+            if "#" in s:
+                self.repeats[bare(s)].append((int(s.partition("#")[2]), w))
+        self.lengths = sorted({len(s) for s in (*self.begins, *self.repeats)})
         self.find = ahocorasick.Automaton()
-        for s in stems:
-            self.find.add_word(s.removesuffix("$"), len(s.removesuffix("$")))
-        for s in THREATS:
-            self.find.add_word(s, len(s))
+        for s in {*map(bare, stems), *THREATS}:
+            self.find.add_word(s, s)
         self.find.make_automaton()
-        self.begins = defaultdict(list)
-        for s, w in stems.items():
-            if not s.endswith("$"):
-                self.begins[len(s)].append(s)
-        self.lengths = sorted(self.begins)
         self.closed = {w: "target" for w in TARGETS} | {w: "threat" for w in THREATS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
 
-    def weight(self, word: str) -> float:
-        return max([self.stems.get(word + "$", 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word))])
+    def weight(self, word: str, often: dict[str, float]) -> float:
+        best = self.words.get(word, 0.0)
+        for n in self.lengths:
+            if n <= len(word):
+                best = max(best, self.begins.get(word[:n], 0.0), often.get(word[:n], 0.0))
+        return best
 
-    def matches(self, clause: str) -> list[tuple[str, float]]:
-        """Context and weight of each match of a lowered clause."""
+    def matches(self, clause: str, often: dict[str, float]) -> list[tuple[str, float]]:
+        """Context and weight of each match of a lowered clause; ``often`` has the beginnings that its document repeats."""
         found, negated, reported, target, threat = [], 0, False, False, 0
         at = 0
         for m in _WORD.finditer(clause):
             reported |= any(q in clause[at : m.start()] for q in _QUOTES)
             at, word = m.end(), m.group()
-            kind, w = self.closed.get(word), self.weight(word)
+            kind, w = self.closed.get(word), self.weight(word, often)
             if w:
                 found.append(("negated" if negated else "reported" if reported else "target" if target else "plain", w))
             if kind == "negation":
@@ -159,24 +177,27 @@ class Grammar:
             negated, threat = max(0, negated - 1), max(0, threat - 1)
         return found
 
-    def clauses(self, text: str) -> Iterator[str]:
-        """The clauses that hold a match, found by one pass of the automaton."""
+    def scan(self, text: str) -> Iterator[tuple[str, float]]:
+        """Context and weight of every match: one pass of the automaton finds the clauses that can hold one."""
         text = text.lower()
+        hits = [(e - len(s) + 1, s) for e, s in self.find.iter(text) if e < len(s) or not text[e - len(s)].isalpha()]
+        if not hits:
+            return
+        counts = Counter(s for _, s in hits)
+        often = {s: max(ws) for s, rs in self.repeats.items() if (ws := [w for r, w in rs if counts[s] >= r])}
         done = -1
-        for end, n in self.find.iter(text):
-            start = end - n + 1
-            if start <= done or (start and text[start - 1].isalpha()):
+        for start, s in sorted(hits):
+            if start <= done or (s in self.repeats and s not in often and s not in self.begins and s not in self.words and s not in self.closed):
                 continue
-            a = max(map(lambda c: text.rfind(c, 0, start), ".!?;\n")) + 1
-            stop = _STOP.search(text, end)
+            a = max(text.rfind(c, 0, start) for c in ".!?;\n") + 1
+            stop = _STOP.search(text, start + len(s))
             done = stop.start() if stop else len(text)
-            yield text[a:done]
+            yield from self.matches(text[a:done], often)
 
     def score(self, text: str | None) -> float:
         miss = 1.0 - LEAST_SCORE
-        for clause in self.clauses(text or ""):
-            for context, w in self.matches(clause):
-                miss *= 1.0 - w * self.contexts[context]
+        for context, w in self.scan(text or ""):
+            miss *= 1.0 - w * self.contexts[context]
         return 1.0 - miss
 
 
@@ -186,10 +207,10 @@ def learn_from(rows: list[tuple[int, str]]) -> tuple[dict[str, float], dict[str,
     chosen = choose_stems([stems_of(t) for t in without_copies(toxic)], clean)
     stems = {s: (t + 1e-9) / (t + c + 0.1) for s, (t, c) in chosen.items()}
     seen = {c: [PRIOR_COUNT * PRIOR[c], PRIOR_COUNT] for c in PRIOR}
-    bare = Grammar(stems, dict.fromkeys(PRIOR, 1.0))
+    plain = Grammar(stems, dict.fromkeys(PRIOR, 1.0))
     for y, t in rows:
         # Documents of one context tell about it; those of several tell nothing apart.
-        contexts = {c for clause in bare.clauses(t) for c, _ in bare.matches(clause)}
+        contexts = {c for c, _ in plain.scan(t)}
         if len(contexts) == 1:
             s = seen[contexts.pop()]
             s[0] += y
