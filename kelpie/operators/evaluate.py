@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def judged(packed: DataFrame, candidates: DataFrame, gold: DataFrame, selected: str = "selected_ids") -> DataFrame:
@@ -52,15 +51,18 @@ def metrics(rows: DataFrame, *group: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, *group: str) -> DataFrame:
-    """Mean and percentiles by all three rules: linear, nearest rank (ceil(q n)) and floor index (int(q (n - 1)))."""
-    ordered = Window.partitionBy(*group).orderBy(value)
-    n = Window.partitionBy(*group)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("__k", F.row_number().over(ordered)).withColumn("__n", F.count("*").over(n))
-    nearest = lambda q: F.max(F.when(F.col("__k") == F.greatest(F.ceil(F.lit(q) * F.col("__n")), F.lit(1)), F.col(value)))
-    floor = lambda q: F.max(F.when(F.col("__k") == F.floor(F.lit(q) * (F.col("__n") - 1)) + 1, F.col(value)))
-    return ranked.groupBy(*group).agg(
-        F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)), nearest(0.95).alias("p95_nearest"), floor(0.95).alias("p95_floor")
+    """Mean and percentiles by all three rules: linear, nearest rank (ceil(q n)) and floor index (int(q (n - 1))).
+
+    Aggregations throughout: the value at the floor index is the largest one up to the linear percentile.
+    """
+    known = rows.filter(F.col(value).isNotNull())
+    first = known.groupBy(*group).agg(
+        F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)").alias("p95_nearest")
     )
+    line = first.select(*group, F.col("p95").alias("__p"))
+    below = (known.join(line, list(group)) if group else known.crossJoin(line)).filter(F.col(value) <= F.col("__p"))
+    floor = below.groupBy(*group).agg(F.max(value).alias("p95_floor"))
+    return first.join(floor, list(group)) if group else first.crossJoin(floor)
 
 
 def cohorts(rows: DataFrame, tags: dict[str, Column]) -> DataFrame:
