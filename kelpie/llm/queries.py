@@ -92,6 +92,28 @@ _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13
     || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)
     || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10)"""
 
+def _license_sql() -> str:
+    phrases = [(p, label, True) for p, label in license_scan.BASE] + [(p, label, False) for p, label in license_scan.TEMPLATES]
+    values = ", ".join(f"({i}, '{p}', '{label}', {base})" for i, (p, label, base) in enumerate(phrases))
+    return rf"""
+        WITH t AS (SELECT template, label, base, string_split(phrase, ' ') AS w FROM (VALUES {values}) v(template, phrase, label, base)),
+        tg AS (SELECT template, label, base, len(w) AS n, i - 1 AS tpos, w[i:i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        dg AS (SELECT doc_id, i - 1 AS pos, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+        votes AS (SELECT doc_id, template, label, base, n, pos - tpos AS diagonal, list(DISTINCT tpos) AS places FROM dg JOIN tg USING (g) GROUP BY ALL),
+        marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.SLACK} THEN 0 ELSE 1 END AS new FROM votes),
+        spanned AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+        covered AS (SELECT doc_id, label, base, count(DISTINCT p + k) / any_value(n) AS score
+                    FROM (SELECT *, unnest(places) AS p FROM spanned), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id, template, label, base, span),
+        whole AS (SELECT doc_id, label, diagonal FROM votes WHERE base AND len(places) = n - 2),
+        named AS (SELECT doc_id, label FROM whole UNION SELECT doc_id, label FROM covered WHERE NOT base AND score >= {license_scan.THRESHOLD}),
+        a AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM whole GROUP BY ALL),
+        b AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY ALL),
+        c AS (SELECT doc_id, max(score) AS score FROM covered GROUP BY ALL)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_merkle_fixity": f"""
         WITH p AS (SELECT page_id, url, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS html FROM pages),
@@ -132,4 +154,5 @@ ORACLE_SQL = {
         links AS (SELECT x, y FROM shared JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
         reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
         SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s""",
+    "op7_license_scan": _license_sql(),
 }
