@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 from kelpie import queries
@@ -25,7 +26,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     if hasattr(x, "year"):
         return str(x)[:10]
