@@ -130,16 +130,34 @@ def sessions_file(spark: SparkSession, path: str, scope: str) -> DataFrame:
     )
 
 
-def haystack_file(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of session haystacks, one scope per question; a session listed twice gets its place in its name."""
+def session_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(id, scope, question, gold, malformed, category, diagnostic) of a conversation file: gold are the turns it names as evidence."""
+    from ..functions.text import evidence_ids
+
+    raw = spark.read.schema("sample_id string, qa array<struct<question:string,evidence:array<string>,category:int,answer:string>>").option("multiLine", True).json(path)
+    q = raw.select("sample_id", F.posexplode("qa").alias("n", "q")).withColumn("e", evidence_ids(F.array_join("q.evidence", " ")))
+    gold = F.transform("e.ids", lambda x: F.concat_ws("/", "sample_id", x))
+    return q.select(
+        F.concat_ws("?", "sample_id", F.col("n").cast("string")).alias("id"), F.col("sample_id").alias("scope"), F.col("q.question").alias("question"), gold.alias("gold"),
+        F.col("e.malformed").alias("malformed"), F.col("q.category").alias("category"), (F.col("q.category") == 5).alias("diagnostic"),
+    )
+
+
+def haystack_file(spark: SparkSession, path: str, own_sessions: bool = False) -> DataFrame:
+    """Turns of session haystacks, one scope per question; a session listed twice gets its place in its name.
+
+    With ``own_sessions`` every turn is a session of its own, so that none has a neighbour.
+    """
     schema = "question_id string, question string, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>, answer_session_ids array<string>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     s = raw.select("question_id", F.posexplode(F.arrays_zip(F.col("haystack_session_ids").alias("sid"), F.col("haystack_sessions").alias("turns"))).alias("i", "z"))
     seen = Window.partitionBy("question_id", "z.sid").orderBy("i")
     s = s.withColumn("again", F.row_number().over(seen) - 1).withColumn("session", F.when(F.col("again") > 0, F.format_string("%s~%d#%d", "z.sid", "i", "again")).otherwise(F.col("z.sid")))
     t = s.select("question_id", "session", F.posexplode("z.turns").alias("ord", "t"))
+    name = F.concat_ws("#", "session", F.col("ord").cast("string"))
+    place, ord_ = (name, F.lit(0)) if own_sessions else (F.col("session"), F.col("ord"))
     return t.select(
-        F.concat_ws("#", "session", F.col("ord").cast("string")).alias("id"), F.col("question_id").alias("scope"), "session", "ord", F.concat_ws(": ", "t.role", "t.content").alias("text"),
+        name.alias("id"), F.col("question_id").alias("scope"), place.alias("session"), ord_.alias("ord"), F.concat_ws(": ", "t.role", "t.content").alias("text"),
         F.col("t.role").alias("speaker"), F.lit("").alias("timestamp"), F.col("session").alias("source"), F.lit("T1").alias("tier"),
     )
 

@@ -150,6 +150,32 @@ def test_associations_and_aliases(spark, three):
     assert {r.rowid for r in ranking.alias_channel(three, q(spark, "what says bob")).collect()} == {2}
 
 
+def test_second_hop_and_edge_cap(spark):
+    d = docs_of(spark, ("a", "s", 0, "x", "P"), ("b", "s", 1, "y", "Q"), ("c", "t", 0, "z", "Q"), ("d", "u", 0, "see a", "R")).withColumn("source", F.lit(""))
+    seeds = spark.createDataFrame([(1, 1, 1)], "query_id bigint, rowid bigint, rank int")
+    got = sorted((r.hop, r.from_id, r.to_id, r.relation) for r in ranking.associations(seeds, d).collect())
+    assert got == [(1, "a", "b", "session-adjacency"), (2, "b", "c", "same-explicit-speaker")]
+    assert ranking.associations(seeds, d, 2, 1).count() == 1
+    from_d = spark.createDataFrame([(1, 4, 1)], "query_id bigint, rowid bigint, rank int")
+    assert ranking.associations(from_d, d, 1).first().relation == "explicit-identifier-reference"
+
+
+def test_two_scopes_share_a_budget(spark):
+    rows = lambda ids, n: spark.createDataFrame([(1, k, i, "", "", "x" * n) for k, i in enumerate(ids)], "query_id bigint, rank int, id string, speaker string, timestamp string, text string")
+    for budget in (150, 300, 700, 3000):
+        r = ranking.pack_two_scopes(rows("ab", 60), rows("cdefg", 60), budget).first()
+        assert r.budget_used == len(r.context.encode()) <= budget
+    assert r.live_ids == ["a", "b"] and r.base_ids == list("cdefg")
+
+
+def test_adjacent_and_value_order(spark, three):
+    rows = spark.createDataFrame([(1, 3, 1), (1, 1, 2)], "query_id bigint, rowid bigint, rank int")
+    order = lambda df: [r.rowid for r in df.orderBy("rank").collect()]
+    assert order(ranking.adjacent(rows, three)) == [3, 1, 2]
+    sized = rows.withColumn("units", F.when(F.col("rowid") == 3, 400).otherwise(100))
+    assert order(ranking.value_order(sized, F.col("units"))) == [1, 3]
+
+
 def test_segments_are_slices(spark):
     text = "First sentence here. The database moved to port 5432. Last words of it."
     d = docs_of(spark, ("a", "s", 0, text * 1, "x"))
@@ -343,11 +369,14 @@ def test_readers(spark, tmp_path):
     got = [(r.id, r.text) for r in readers.markdown_documents(spark, str(md), "p").orderBy("ord").collect()]
     assert [t for _, t in got] == ["intro", "# One\nbody", "last"] and got[0][0] == "file:sub/x.md#0" and got[2][0].endswith("#3")
     assert [(r.name, r.first) for r in readers.file_manifest(spark, str(md / "sub")).collect()] == [("x.md", "intro")]
-    (tmp_path / "s.json").write_text(json.dumps({"sample_id": "c1", "conversation": {"session_1": [{"dia_id": "D1:1", "speaker": "A", "text": "hello"}], "session_1_date_time": "1 May 2024", "speaker_a": "A"}, "qa": [{"question": "?"}]}))
+    (tmp_path / "s.json").write_text(json.dumps({"sample_id": "c1", "conversation": {"session_1": [{"dia_id": "D1:1", "speaker": "A", "text": "hello"}], "session_1_date_time": "1 May 2024", "speaker_a": "A"}, "qa": [{"question": "?", "evidence": ["D1:1; D1:2"], "category": 5}]}))
+    t = readers.session_tasks(spark, str(tmp_path / "s.json")).first()
+    assert (t.gold, t.malformed, t.diagnostic) == (["c1/D1:1", "c1/D1:2"], False, True)
     r = readers.sessions_file(spark, str(tmp_path / "s.json"), "p").first()
     assert (r.id, r.text, r.timestamp) == ("c1/D1:1", "hello", "1 May 2024")
     (tmp_path / "h.json").write_text(json.dumps([{"question_id": "q", "question": "?", "haystack_session_ids": ["x", "x"], "haystack_sessions": [[{"role": "user", "content": "a"}], [{"role": "user", "content": "b"}]]}]))
     assert sorted((r.session, r.text) for r in readers.haystack_file(spark, str(tmp_path / "h.json")).collect()) == [("x", "user: a"), ("x~1#1", "user: b")]
+    assert {(r.session == r.id, r.ord) for r in readers.haystack_file(spark, str(tmp_path / "h.json"), own_sessions=True).collect()} == {(True, 0)}
     (tmp_path / "b.json").write_text(json.dumps([{"id": "1", "chat": [{"turns": [[{"role": "user", "content": "a"}], [{"role": "assistant", "content": "b"}]]}]}]))
     assert [r.text for r in readers.batched_chat_file(spark, str(tmp_path / "b.json")).orderBy("ord").collect()] == ["user: a", "assistant: b"]
     (tmp_path / "t.json").write_text(json.dumps([{"id": "1", "trajectories": [{"id": "j", "goal": "g", "start_url": "u", "states": [{"url": "u", "accessibility_tree": "t", "action": "c"}]}]}]))
