@@ -12,13 +12,14 @@ shingle sets, in the groups, stars and cells of the parity-sketch join. With ``B
 similarity 0.8 shares a band with probability above 0.999.
 
 Edge cases: a null or empty text has no shingles and the fingerprint of all ``f``; two such texts are alike (1); a text
-of fewer than five words is one shingle; repeated identifiers are ordered by text; a table of one row follows itself; an
+of fewer than five words is one shingle; repeated identifiers are ordered by a hash of their texts; a table of one row follows itself; an
 empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,14 @@ def _results(texts: list[str], followers: list[str], own: list[bytes], following
     ]
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts deflated for the one exchange that carries them whole."""
+    for batch in batches:
+        for row, texts in text_chunks(batch.column(2)):
+            small = pa.array([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), batch.column(1).slice(row, len(texts)), small], names=["doc_id", "tie", "small"])
+
+
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by identifier. kind 0: a result; kind 1: the partition's last row; kind 2: its first."""
     from pyspark import TaskContext
@@ -100,8 +109,8 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         kind_of = batch.column(0).type
-        for row, texts in text_chunks(batch.column(1)):
-            texts = [t or "" for t in texts]
+        for row, small in text_chunks(batch.column(2), 2 << 20):
+            texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in small]
             ids = batch.column(0).slice(row, len(texts)).to_pylist()
             if held is None:
                 yield out(pa.array(ids[:1], kind_of), 2, None, texts[:1])
@@ -130,9 +139,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = ", ".join(f"{n} {sql[k]}" for n, k in _OUT)
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000 + 1)
     rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+        .mapInArrow(_squeezed, f"doc_id {id_type}, tie bigint, small binary")
         .repartitionByRange(n_parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .sortWithinPartitions("doc_id", "tie")
         .mapInArrow(_along, f"doc_id {id_type}, kind int, part int, {schema}, text string"),
         "fingerprints",
     )
