@@ -80,19 +80,30 @@ def bare(stem: str) -> str:
     return stem.partition("#")[0].removesuffix("$")
 
 
-def choose_stems(toxic: list[set[str]], clean: list[str]) -> dict[str, tuple[int, int]]:
-    """stem -> (toxic documents, clean documents) with it, chosen greedily."""
+def choose_stems(toxic: list[str], clean: list[str]) -> dict[str, tuple[int, int]]:
+    """stem -> (toxic documents, clean documents) with it, chosen greedily.
+
+    Stems are counted before any are kept, so only those frequent enough take memory by document.
+    """
     least = 3 if len(toxic) < 1000 else 5
-    owners: dict[str, list[int]] = defaultdict(list)
-    for i, stems in enumerate(toxic):
-        for s in stems:
-            owners[s].append(i)
-    owners = {s: v for s, v in owners.items() if len(v) >= least}
+    seen: Counter[str] = Counter()
+    for text in toxic:
+        seen.update(stems_of(text))
+    owners: dict[str, list[int]] = {s: [] for s, n in seen.items() if n >= least}
+    del seen
+    for i, text in enumerate(toxic):
+        for s in stems_of(text):
+            if s in owners:
+                owners[s].append(i)
     against: Counter[str] = Counter()
     for text in clean:
         against.update(stems_of(text) & owners.keys())
     share = max(len(clean), 1) / max(len(toxic), 1)
     owners = {s: v for s, v in owners.items() if len(v) * share / (against[s] + 0.5) >= LEAST_RATIO}
+    of_doc: dict[int, list[str]] = defaultdict(list)
+    for s, v in owners.items():
+        for i in v:
+            of_doc[i].append(s)
     open_docs, chosen = set(range(len(toxic))), {}
     gain = {s: len(v) for s, v in owners.items()}
     while gain and len(chosen) < MAX_STEMS:
@@ -103,7 +114,7 @@ def choose_stems(toxic: list[set[str]], clean: list[str]) -> dict[str, tuple[int
         chosen[best] = (len(owners[best]), against[best])
         done = open_docs.intersection(owners[best])
         open_docs -= done
-        for s in set().union(*(toxic[i] for i in done)) & gain.keys() if done else ():
+        for s in {s for i in done for s in of_doc[i]} & gain.keys():
             gain[s] = sum(i in open_docs for i in owners[s])
         gain = {s: g for s, g in gain.items() if g > 0 and s != best}
     # Words that mostly stand beside others explain few documents alone; frequent ones count all the same.
@@ -204,7 +215,7 @@ class Grammar:
 def learn_from(rows: list[tuple[int, str]]) -> tuple[dict[str, float], dict[str, float]]:
     """Stem and context weights from (label, text) rows."""
     toxic, clean = [t for y, t in rows if y == 1], [t for y, t in rows if y == 0]
-    chosen = choose_stems([stems_of(t) for t in without_copies(toxic)], clean)
+    chosen = choose_stems(without_copies(toxic), clean)
     stems = {s: (t + 1e-9) / (t + c + 0.1) for s, (t, c) in chosen.items()}
     seen = {c: [PRIOR_COUNT * PRIOR[c], PRIOR_COUNT] for c in PRIOR}
     plain = Grammar(stems, dict.fromkeys(PRIOR, 1.0))
