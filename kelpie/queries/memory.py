@@ -208,8 +208,13 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", "session", F.col("speaker").alias("role"), "text", F.timestamp_seconds(seconds).alias("ts"))
 
 
-def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = observe.windowed(_records(spark, sf_dir), F.lit("2024-04-10 12:00:00").cast("timestamp"), 90)
+def _observed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Observations of the 90 days before a fixed time, or, if ``whole``, of a window from the table's first stamp to its last."""
+    records, now, days = _records(spark, sf_dir), F.lit("2024-04-10 12:00:00").cast("timestamp"), 90
+    if whole:
+        ends = records.agg(F.max("ts").alias("now"), (F.date_diff(F.max("ts"), F.min("ts")) + 1).alias("days")).first()  # two numbers
+        now, days = F.lit(ends.now), ends.days or 0
+    records = observe.windowed(records, now, days)
     words = ["the", "of", "la", "der", "que"]
     anchors = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', '1', array('{w}'), 1, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP))" for w in words) + " AS a(anchor, version, aliases, min_anchors, valid_from, valid_until)")
     return observe.scan(records, anchors)
@@ -232,6 +237,20 @@ def mention_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.summary(_observed(spark, sf_dir)).drop("version")
 
 
+ALL_MENTIONS = MENTIONS.replace(" WHERE ts <= TIMESTAMP '2024-04-10 12:00:00' AND ts >= TIMESTAMP '2024-04-10 12:00:00' - INTERVAL 90 DAY", "")
+
+
+@query(f"WITH {ALL_MENTIONS} SELECT anchor, id, session, day FROM obs")
+def mention_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(spark, sf_dir, whole=True).select("anchor", "id", "session", "day")
+
+
+@query(f"""WITH {ALL_MENTIONS} SELECT anchor, count(*) AS mentions, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days, count(DISTINCT session) >= 2 AND count(DISTINCT day) >= 2 AS review_candidate
+    FROM obs GROUP BY ALL""")
+def mention_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.summary(_observed(spark, sf_dir, whole=True)).drop("version")
+
+
 @query()
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.duplicate_pairs(D.entries(spark, sf_dir).select(F.col("scope").alias("store"), "id", F.concat_ws(" ", "id", "locator", "cost_class").alias("text")), 0.9).withColumn("ratio", F.round("ratio", 9))
