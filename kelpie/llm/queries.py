@@ -23,6 +23,11 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    added = packing.added_tokens(tokenizer("byte_bpe_50k.json")[0])
+    return packing.pack(docs, *tokenizer("byte_bpe_50k.tiktoken"), added=added)
+
+
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return merkle.fixity(pages, merkle.damaged(pages))
@@ -33,7 +38,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), *tokenizer("byte_bpe_50k.tiktoken"))
+    return packed(_docs(spark, sf_dir))
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
