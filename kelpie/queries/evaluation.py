@@ -10,7 +10,7 @@ from ..operators import economics, evaluate, lexical, planners, telemetry
 from ..plans import recall as R
 from ..sources import driver as D
 from .memory import EVENTS, TOTALS
-from .retrieval import ASKED, CORPUS, HELD, _asked, _corpus, bm25_sql
+from .retrieval import ASKED, CORPUS, HELD, _asked, _corpus, also_whole, bm25_sql
 
 QUERIES, SQL = {}, {}
 BUDGETS = (5, 10)
@@ -26,9 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _run(spark: SparkSession, sf_dir: str, selected: int) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, selected: int, whole: bool = False) -> DataFrame:
     """Judged rows of a literal run: candidates are the best ten documents, the first ``selected`` are packed."""
-    found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus"), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
+    found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus", whole), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
     first = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= selected, F.struct("rank", "id")))), lambda x: x["id"])
     packed = found.groupBy("query_id").agg(first.alias("selected_ids"), F.count_if(F.col("rank") <= selected).alias("budget_used"))
     gold = R.gold(D.articles(spark, sf_dir), D.questions(spark, sf_dir))
@@ -48,9 +48,10 @@ def run_sql(selected: int, name: str = "run") -> str:
 BASE = f"{CORPUS}, {ASKED}, {bm25_sql('corpus', 'queries', {'text': 1.0, 'meta': 0.0}, 10)}, {HELD}"
 
 
+@also_whole(QUERIES, SQL)
 @query(f"WITH {BASE}, {run_sql(5)} SELECT query_id, n_gold::INTEGER AS n_gold, hits::INTEGER AS hits, candidate_hits::INTEGER AS candidate_hits, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg FROM run_n")
-def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, 5).select("query_id", "n_gold", "hits", "candidate_hits", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
+def judged_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _run(spark, sf_dir, 5, whole).select("query_id", "n_gold", "hits", "candidate_hits", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
 
 
 METRICS = ["any_gold", "all_gold", "macro_recall", "micro_recall", "candidate_any_gold", "mrr", "ndcg", "empty_rate", "mean_budget"]
@@ -63,36 +64,40 @@ def _rounded(m: DataFrame, *keys: str) -> DataFrame:
     return m.select(*keys, "scorable", *(F.round(c, 6).alias(c) for c in METRICS))
 
 
+@also_whole(QUERIES, SQL)
 @query(f"WITH {BASE}, {run_sql(5)} SELECT {METRICS_SQL} FROM run_n")
-def metrics_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.metrics(_run(spark, sf_dir, 5)))
+def metrics_mrr_ndcg(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _rounded(evaluate.metrics(_run(spark, sf_dir, 5, whole)))
 
 
+@also_whole(QUERIES, SQL)
 @query(f"""WITH {BASE}, {run_sql(5)}, c AS (SELECT *, 'all' AS cohort FROM run_n UNION ALL SELECT *, 'single' FROM run_n WHERE n_gold = 1 UNION ALL SELECT *, 'development' FROM run_n WHERE query_id % 3 = 0
     UNION ALL SELECT *, 'held_out' FROM run_n WHERE query_id % 3 <> 0) SELECT cohort, {METRICS_SQL} FROM c GROUP BY cohort""")
-def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cohort_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     tags = {"all": F.lit(True), "single": F.col("n_gold") == 1, "development": F.col("query_id") % 3 == 0, "held_out": F.col("query_id") % 3 != 0}
-    return _rounded(evaluate.metrics(evaluate.cohorts(_run(spark, sf_dir, 5), tags), "cohort"), "cohort")
+    return _rounded(evaluate.metrics(evaluate.cohorts(_run(spark, sf_dir, 5, whole), tags), "cohort"), "cohort")
 
 
+@also_whole(QUERIES, SQL)
 @query(f"""WITH {BASE}, {run_sql(1)} SELECT CASE WHEN hits > 0 THEN 'success' WHEN candidate_hits > 0 THEN 'found_not_packed' ELSE 'candidate_miss' END AS outcome, count(*) AS n FROM run_n GROUP BY ALL""")
-def failure_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.census(_run(spark, sf_dir, 1).withColumn("smallest_gold_block", F.lit(0)).withColumn("budget", F.lit(1)))
+def failure_census(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return evaluate.census(_run(spark, sf_dir, 1, whole).withColumn("smallest_gold_block", F.lit(0)).withColumn("budget", F.lit(1)))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired(_run(spark, sf_dir, 1), _run(spark, sf_dir, 5), ["query_id"], "hits")
+def _pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return evaluate.paired(_run(spark, sf_dir, 1, whole), _run(spark, sf_dir, 5, whole), ["query_id"], "hits")
 
 
+@also_whole(QUERIES, SQL)
 @query(f"""WITH {BASE}, {run_sql(1, 'one')}, {run_sql(5, 'five')} SELECT CASE WHEN f.hits > o.hits THEN 'win' WHEN f.hits < o.hits THEN 'loss' ELSE 'tie' END AS outcome, count(*) AS n
     FROM one_n o JOIN five_n f USING (query_id) GROUP BY ALL""")
-def paired_win_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+def paired_win_loss(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _pairs(spark, sf_dir, whole).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.bootstrap(_pairs(spark, sf_dir).withColumn("cluster", F.col("query_id") % 50), "cluster")
+    return evaluate.bootstrap(_pairs(spark, sf_dir, whole=True).withColumn("cluster", F.col("query_id") % 50), "cluster")
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER w AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value))
@@ -131,10 +136,11 @@ def marginal_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("mode", "from_budget", "to_budget", *(F.round(c, 9).alias(c) for c in ("d_cost", "d_share", "cost_per_point")))
 
 
+@also_whole(QUERIES, SQL)
 @query(f"""WITH {EVENTS}, {TOTALS}, {BASE}, {run_sql(5)} SELECT (SELECT count(*) FROM run_n) AS queries, (SELECT sum(hits) FROM run_n)::BIGINT AS gold_found, (SELECT sum(n_gold) FROM run_n)::BIGINT AS gold_total,
     round((SELECT sum(hits) / sum(n_gold) FROM run_n), 6) AS recall, events, demand_count, miss_count, miss_extra_tokens FROM totals""")
-def evidence_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = economics.evidence(telemetry.totals(D.telemetry(spark, sf_dir)), _run(spark, sf_dir, 5))
+def evidence_export(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    e = economics.evidence(telemetry.totals(D.telemetry(spark, sf_dir)), _run(spark, sf_dir, 5, whole))
     return e.select("queries", "gold_found", "gold_total", F.round("recall", 6).alias("recall"), "events", "demand_count", "miss_count", "miss_extra_tokens")
 
 

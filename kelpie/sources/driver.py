@@ -47,10 +47,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as queries: the first 200 characters of each ask for the documents that hold it."""
+def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Benchmark passages as queries: each, or its first 200 characters unless ``whole``, asks for the documents that hold it."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.col("text").alias("passage"))
+    query = F.col("text") if whole else F.substring("text", 1, 200)
+    return b.select(F.col("item_id").alias("query_id"), query.alias("query"), F.col("text").alias("passage"))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,3 +11,16 @@ def test_mentions_of_all_conversations(spark, tmp_path):
     got = queries.QUERIES["mention_scan_all"](spark, str(tmp_path))
     assert sorted(r.session for r in got.collect()) == sorted(str(r[0]) for r in rows)
     assert queries.QUERIES["mention_summary_all"](spark, str(tmp_path)).first().mentions == len(rows)
+
+
+def test_passages_are_asked_whole(spark, tmp_path):
+    passage = "common " * 40 + "zebra"
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "zebra", "en", "s"), *((n, f"other words {n}", "en", "s") for n in range(2, 9))]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(c, 0, "user", t) for c, t, *_ in docs]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
+    assert [r.id for r in run("bm25_literal_whole")] == ["1"] and run("bm25_weighted_whole")[0].id == "1:0"
+    assert [r.selected for r in run("recall_sparse")] == ["1:0"]
+    assert "bm25_literal" in queries.ORACLE_SQL and "substr(text, 1, 200)" not in "".join(v for k, v in queries.ORACLE_SQL.items() if k.endswith("_whole"))
