@@ -247,7 +247,7 @@ def temporal_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def association_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.turns(spark, sf_dir)
     seeds = t.filter("ord = 0").select(F.col("session").cast("long").alias("query_id"), "rowid", F.lit(1).alias("rank"))
-    return ranking.association(seeds, t.withColumn("speaker", F.lit("")))
+    return ranking.associations(seeds, t)
 
 
 @query()

@@ -1,6 +1,12 @@
 """Queries do the whole job: no row, term, relation or place in a text is left out."""
 
+import re
+
+import pytest
+
 from kelpie import queries
+from kelpie.operators import ranking
+from kelpie.sources import driver as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +30,31 @@ def test_passages_are_asked_whole(spark, tmp_path):
     assert [r.id for r in run("bm25_literal_whole")] == ["1"] and run("bm25_weighted_whole")[0].id == "1:0"
     assert [r.selected for r in run("recall_sparse")] == ["1:0"]
     assert "bm25_literal" in queries.ORACLE_SQL and "substr(text, 1, 200)" not in "".join(v for k, v in queries.ORACLE_SQL.items() if k.endswith("_whole"))
+
+
+def hop(ranked, docs, known, cap):
+    """[(from_id, to_id, relation, target)] of one query, from all pairs."""
+    best = {}
+    for rank, a in ranked:
+        refs = set(re.findall(r"[\w:./#-]+", a.text))
+        for b in docs:
+            kinds = (a.speaker and a.speaker == b.speaker, a.source and a.source == b.source, a.session == b.session and abs(a.ord - b.ord) == 1, b.id in refs)
+            if b.rowid not in known and any(kinds):
+                e = (rank, [bool(k) for k in kinds].index(True), a.id)
+                best[b.rowid] = min(best.get(b.rowid, (e, b)), (e, b))
+    names = ["same-explicit-speaker", "same-source", "session-adjacency", "explicit-identifier-reference"]
+    return [(e[2], b.id, names[e[1]], b) for e, b in sorted(best.values(), key=lambda x: (x[0][0], x[1].rowid))][:cap]
+
+
+@pytest.mark.parametrize("cap", [16, 45])
+def test_associations_are_those_of_all_pairs(spark, cap):
+    t = D.turns(spark, SF)
+    docs, want = t.collect(), set()
+    for a in (d for d in docs if d.ord == 0):
+        first = hop([(1, a)], docs, {a.rowid}, cap)
+        second = hop([(n, e[3]) for n, e in enumerate(first, 1)], docs, {a.rowid, *(e[3].rowid for e in first)}, cap)
+        want |= {(int(a.session), *e[:3], 1) for e in first} | {(int(a.session), *e[:3], 2) for e in second[: cap - len(first)]}
+    seeds = t.filter("ord = 0").selectExpr("cast(session AS bigint) AS query_id", "rowid", "1 AS rank")
+    got = queries.QUERIES["association_expand"](spark, SF) if cap == 16 else ranking.associations(seeds, t, 2, cap)
+    assert {(r.query_id, r.from_id, r.to_id, r.relation, r.hop) for r in got.collect()} == want
+    assert {"same-explicit-speaker"} <= {e[3] for e in want}
