@@ -68,6 +68,19 @@ def contains_word(text: Column, term: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.regexp_replace(term, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w)")))
 
 
+def word_places(text: Column, term: Column) -> Column:
+    """(start, end) of every place where ``contains_word`` finds the term, from 1 and end exclusive; places do not overlap."""
+    # \G: each match starts where the last one ended, so the text is read once.
+    pattern = F.concat(F.lit(r"(?isU)\G(.*?)((?<!\w)\Q"), F.regexp_replace(term, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w))"))
+    found = F.arrays_zip(*(F.transform(F.regexp_extract_all(text, pattern, F.lit(k)), F.char_length).alias(n) for k, n in ((1, "before"), (2, "length"))))
+
+    def step(acc, x):
+        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(1)) + x["before"]
+        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["length"]).alias("end"))))
+
+    return F.aggregate(found, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def visible_text(text: Column) -> Column:
     """``text`` without fenced blocks (closed or not) and quoted lines."""
     lines = F.split(text, "\n")

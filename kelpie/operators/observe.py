@@ -24,16 +24,14 @@ def scan(records: DataFrame, anchors: DataFrame, span: int = 200) -> DataFrame:
     """(event_id, anchor, version, id, session, day, n_aliases): records whose visible text holds enough aliases close together.
 
     Anchors are a curated list; each alias meets only records that hold its first word. ``min_anchors`` distinct aliases must
-    stand within ``span`` characters. Copies of a text at the same time collapse to one event.
+    stand within ``span`` characters, wherever in the text; every whole-word place of an alias counts. Copies of a text at the same time collapse to one event.
     """
     r = records.withColumn("visible", X.visible_text(F.col("text")))
     words = r.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("visible"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("head"))
     a = anchors.select("anchor", "version", "min_anchors", "valid_from", "valid_until", F.explode("aliases").alias("alias")).withColumn("head", F.lower(F.regexp_extract("alias", r"(?U)\w+", 0)))
     hits = words.join(a, "head").select("id", "anchor", "version", "min_anchors", "valid_from", "valid_until", "alias").join(r, "id")
-    hits = hits.filter(X.contains_word(F.col("visible"), F.col("alias")))
     hits = hits.filter(F.coalesce(F.col("ts") >= F.col("valid_from"), F.lit(True)) & F.coalesce(F.col("ts") < F.col("valid_until"), F.lit(True)))
-    start = F.expr("position(lower(alias) IN lower(visible))")
-    at = hits.withColumn("start", start).withColumn("end", start + F.length("alias"))
+    at = hits.withColumn("place", F.explode(X.word_places(F.col("visible"), F.col("alias")))).select("*", "place.start", "place.end").drop("place")
     w = Window.partitionBy("id", "anchor", "version").orderBy("start").rangeBetween(0, span)
     near = at.withColumn("close", F.size(F.array_distinct(F.transform(F.filter(F.collect_list(F.struct("alias", "end")).over(w), lambda x: x["end"] <= F.col("start") + span), lambda x: x["alias"]))))
     enough = near.groupBy("id", "anchor", "version", "min_anchors").agg(F.max("close").alias("n_aliases"), F.first("visible").alias("visible"), F.first("session").alias("session"), F.first("ts").alias("ts"))

@@ -240,6 +240,14 @@ def mention_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL_MENTIONS = MENTIONS.replace(" WHERE ts <= TIMESTAMP '2024-04-10 12:00:00' AND ts >= TIMESTAMP '2024-04-10 12:00:00' - INTERVAL 90 DAY", "")
 
 
+@query()
+def mention_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in which words of one language's group of aliases stand close together, at any place."""
+    anchors = spark.sql("SELECT * FROM VALUES ('en', '1', array('the', 'of', 'and'), 2, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP)), ('de', '1', array('der', 'die', 'und'), 3, NULL, NULL) AS a(anchor, version, aliases, min_anchors, valid_from, valid_until)")
+    records = _records(spark, sf_dir).filter("role = 'assistant'")
+    return observe.scan(records, anchors).select("anchor", "id", "session", "day", "n_aliases")
+
+
 @query(f"WITH {ALL_MENTIONS} SELECT anchor, id, session, day FROM obs")
 def mention_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observed(spark, sf_dir, whole=True).select("anchor", "id", "session", "day")

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from kelpie import queries
-from kelpie.operators import ranking
+from kelpie.operators import observe, ranking
 from kelpie.sources import driver as D
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,26 @@ def test_associations_are_those_of_all_pairs(spark, cap):
     got = queries.QUERIES["association_expand"](spark, SF) if cap == 16 else ranking.associations(seeds, t, 2, cap)
     assert {(r.query_id, r.from_id, r.to_id, r.relation, r.hop) for r in got.collect()} == want
     assert {"same-explicit-speaker"} <= {e[3] for e in want}
+
+
+def test_every_place_of_an_alias_counts(spark):
+    far = "alpha " + "x " * 200
+    rows = [
+        ("1", "a", f"{far} Alpha and beta", 2), ("2", "a", "alphabet " + "x " * 200 + "alpha beta", 2), ("3", "a", f"{far} beta", 0),
+        ("4", "a", "alpha alpha alpha", 0), ("5", "a", f"beta. {'x ' * 200}alpha.\nbeta", 2),
+    ]
+    records = spark.createDataFrame([r[:3] for r in rows], "id string, session string, text string").selectExpr("*", "timestamp'2026-09-01' AS ts")
+    anchors = spark.sql("SELECT 'p' AS anchor, '1' AS version, array('alpha', 'beta') AS aliases, 2 AS min_anchors, CAST(NULL AS timestamp) AS valid_from, CAST(NULL AS timestamp) AS valid_until")
+    assert {r.id: r.n_aliases for r in observe.scan(records, anchors).collect()} == {r[0]: r[3] for r in rows if r[3]}
+
+
+def test_close_mentions_are_those_of_a_plain_scan(spark):
+    texts = {r.id: r.text for r in D.turns(spark, SF).collect() if r.speaker == "assistant" and ">" not in r.text and "```" not in r.text}
+    want = set()
+    for anchor, words, least in (("en", "the of and", 2), ("de", "der die und", 3)):
+        for i, text in texts.items():
+            at = sorted((m.start(), m.end(), w) for w in words.split() for m in re.finditer(rf"(?<!\w){w}(?!\w)", text, re.I))
+            close = max((len({w for b, e, w in at if b >= a and e <= a + 200}) for a, *_ in at), default=0)
+            want |= {(anchor, i, close)} if close >= least else set()
+    got = {(r.anchor, r.id, r.n_aliases) for r in queries.QUERIES["mention_close"](spark, SF).collect() if r.id in texts}
+    assert got == want and want
