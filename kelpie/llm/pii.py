@@ -7,20 +7,25 @@ of values and without a shuffle:
 
 * payment cards (Luhn): the digits before the check digit are permuted, the check digit is computed anew;
 * IBANs (remainder of 97): the digits of the account part are permuted, the check digits are computed anew;
-* telephone numbers in international form: all digits after the country code, 7 to 12 of them;
+* telephone numbers: in international form all digits after the country code (one, two or three digits, by the zones of the
+  numbering plan), 7 to 12 of them, wherever separators stand; ten-digit North American numbers also without the code,
+  with the pseudonym of the same number with it, and area and exchange again from 2 to 9;
 * social security numbers: nine digits, walked until the result is a valid number again;
 * IPv4 addresses: as two 16-bit halves;
-* calendar dates from 1900-01-01 over 73,441 = 271 * 271 days: as two digits of base 271, in the layout they had;
+* calendar dates of the years 1900 to 2101, within the strings of their own layout: same separators and order, fields of one
+  digit, of two and with a leading zero each stay so, and dates with slashes that can be read month first only, day first
+  only, or both ways are three domains; year and fields are the halves, walked until the result is a date again;
 * e-mail addresses: letters and digits of the local part in base 36, in pieces of 16; the domain stays;
-* keys and tokens of 32 to 64 hexadecimal digits: in pieces of 24.
+* keys and tokens of 32 to 64 hexadecimal digits: in pieces of 24; keys with a known prefix, which stays: in base 36 or 62.
 
-Values that look alike but are not valid (a wrong check digit, 2023-02-30, an octet above 255) stay as they are, and so does
-all text around values. Cards, telephone numbers and social security numbers written with and without separators share
-their digits' pseudonym.
+A walk takes up to ``WALK`` steps; the least likely domain leaves it open with a chance below 1e-12. Values that look alike
+but are not valid (a wrong check digit, 2023-02-30, an octet above 255) stay as they are, and so does all text around values;
+other national telephone numbers and other keys are not recognised. Cards, telephone numbers and social security numbers
+written with and without separators share their digits' pseudonym.
 
 Edge cases: a null text stays null with no findings; an empty text stays empty; a value that occurs often is replaced at
 every place; repeated rows are treated alike; an empty table gives an empty result; other columns stay as they are in
-``pseudonymised`` and are not read by ``findings``. Dates with slashes are month first where that is a date, else day first.
+``pseudonymised`` and are not read by ``findings``.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ SHAPES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
+    ("key", r"(?<![0-9A-Za-z])(?:A[KS]IA[0-9A-Z]{16}|[sprk]k_(?:live|test)_[0-9A-Za-z]{16,64}|gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9A-Za-z+(.-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -43,8 +49,13 @@ SHAPES = [
 ]
 KINDS = [k for k, _ in SHAPES]
 PATTERN = "|".join(p for _, p in SHAPES)
-ROUNDS = 8
-FIRST_DAY, BASE = "1900-01-01", 271
+ROUNDS, WALK = 8, 64
+FIRST_YEAR, YEARS = 1900, 202
+# Country codes by the zones of the numbering plan (all codes not of one or two digits have three), and a
+# North American number.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+AMERICAN = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
+LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -55,7 +66,7 @@ class Pseudonyms:
     """Builds the SQL of the permutations for one key. Arguments and results are SQL text over strings."""
 
     def __init__(self, key: str):
-        self.key = key.encode().hex()
+        self.salt = key.encode().hex()
         self.n = 0
 
     def name(self) -> str:
@@ -65,21 +76,27 @@ class Pseudonyms:
     def feistel(self, a: str, b: str, mod_a: str, mod_b: str, tag: str) -> str:
         """A struct (a, b) permuted; after an even number of rounds each half has its own range again."""
         s, i = self.name(), self.name()
-        other = f"concat('{self.key}|', {tag}, '|', {i}, '|', {s}.b)"
+        other = f"concat('{self.salt}|', {tag}, '|', {i}, '|', {s}.b)"
         drawn = f"cast(conv(substr(sha2({other}, 256), 1, 15), 16, 10) AS bigint)"
         step = f"struct({s}.b AS a, ({s}.a + {drawn} % if({i} % 2 = 0, {mod_a}, {mod_b})) % if({i} % 2 = 0, {mod_a}, {mod_b}) AS b)"
         return f"aggregate(sequence(0, {ROUNDS - 1}), struct(cast({a} AS bigint) AS a, cast({b} AS bigint) AS b), ({s}, {i}) -> {step})"
 
     def symbols(self, text: str, radix: int, kind: str, piece: int) -> str:
-        """Digits of a base up to 36 (lower case), permuted in pieces."""
+        """Digits of a base up to 36 (lower case) or 62 (``LETTERS``), permuted in pieces."""
         t, k, p, h, r = (self.name() for _ in range(5))
-        number = lambda x: f"cast(conv({x}, {radix}, 10) AS bigint)"
-        power = lambda n: number(f"rpad('1', {n} + 1, '0')")
-        back = lambda x, n: f"lpad(lower(conv(cast({x} AS string), 10, {radix})), {n}, '0')"
+        if radix == len(LETTERS):
+            s, i = self.name(), self.name()
+            power = lambda n: f"element_at(array({', '.join(f'{radix**e}L' for e in range(piece // 2 + 1))}), cast({n} AS int) + 1)"
+            number = lambda x: f"aggregate(sequence(1, length({x})), 0L, ({s}, {i}) -> {s} * {radix} + instr('{LETTERS}', substr({x}, {i}, 1)) - 1)"
+            back = lambda x, n: f"array_join(transform(sequence(1, {n}), {i} -> substr('{LETTERS}', cast({x} div {power(f'({n} - {i})')} % {radix} AS int) + 1, 1)), '')"
+        else:
+            number = lambda x: f"cast(conv({x}, {radix}, 10) AS bigint)"
+            power = lambda n: number(f"rpad('1', {n} + 1, '0')")
+            back = lambda x, n: f"lpad(lower(conv(cast({x} AS string), 10, {radix})), {n}, '0')"
         tag = f"concat('{kind}|', length({t}), '|', {k})"
         halves = self.feistel(number(f"substr({p}, 1, {h})"), number(f"substr({p}, {h} + 1)"), power(h), power(f"(length({p}) - {h})"), tag)
         two = _let(f"length({p}) div 2", h, _let(halves, r, f"concat({back(r + '.a', h)}, {back(r + '.b', f'(length({p}) - {h})')})"))
-        shift = f"cast(conv(substr(sha2(concat('{self.key}|', {tag}), 256), 1, 15), 16, 10) AS bigint)"
+        shift = f"cast(conv(substr(sha2(concat('{self.salt}|', {tag}), 256), 1, 15), 16, 10) AS bigint)"
         one = back(f"(({number(p)} + {shift}) % {radix})", "1")
         pieces = f"transform(sequence(0, (length({t}) - 1) div {piece}), {k} -> {_let(f'substr({t}, {k} * {piece} + 1, {piece})', p, f'if(length({p}) = 1, {one}, {two})')})"
         return _let(text, t, f"if({t} = '', '', array_join({pieces}, ''))")
@@ -125,12 +142,26 @@ class Pseudonyms:
         valid = f"length({t}) BETWEEN 15 AND 34 AND {self._mod97(f'concat(substr({t}, 5), substr({t}, 1, 4))')} = 1"
         return _let(f"replace({v}, ' ', '')", t, f"if({valid}, {self.filled(v, '0-9A-Z', whole)}, {v})")
 
+    def walk(self, start: str, step, ok) -> str:
+        """``step`` applied until ``ok``: a permutation of all values taken to one of those that are ``ok``."""
+        s, i, x = self.name(), self.name(), self.name()
+        moved = _let(step(f"{s}.at"), x, f"struct({x} AS at, {ok(x)} AS done)")
+        return f"aggregate(sequence(1, {WALK}), struct({start} AS at, false AS done), ({s}, {i}) -> if({s}.done, {s}, {moved}), {s} -> {s}.at)"
+
+    def key(self, v: str) -> str:
+        n = self.name()
+        body = f"substr({v}, {n} + 1)"
+        new = f"if({v} LIKE 'A%', upper({self.symbols(f'lower({body})', 36, 'key', 16)}), {self.symbols(body, len(LETTERS), 'key', 20)})"
+        return _let(f"CASE WHEN {v} LIKE 'A%' OR {v} LIKE 'g%' THEN 4 ELSE 8 END", n, f"concat(substr({v}, 1, {n}), {new})")
+
     def phone(self, v: str) -> str:
-        code, rest = self.name(), self.name()
-        n = f"length(regexp_replace({rest}, '[^0-9]', ''))"
-        new = self.filled(rest, "0-9", self.digits(f"regexp_replace({rest}, '[^0-9]', '')", "phone"))
-        body = f"if({n} BETWEEN 7 AND 12, concat({code}, {new}), {v})"
-        return _let(rf"regexp_extract({v}, r'^\+[0-9]{{1,3}}', 0)", code, _let(f"substr({v}, length({code}) + 1)", rest, body))
+        d, code, rest = self.name(), self.name(), self.name()
+        american = lambda x: f"({x} rlike '{AMERICAN}')"
+        home = self.walk(rest, lambda x: self.digits(x, "phone"), lambda x: f"{american(x)} = {american(rest)}")
+        new = f"if({code} IN ('', '1') AND length({rest}) = 10, {home}, {self.digits(rest, 'phone')})"
+        body = f"if(length({rest}) BETWEEN 7 AND 12, {self.filled(v, '0-9', f'concat({code}, {new})')}, {v})"
+        body = _let(f"substr({d}, length({code}) + 1)", rest, body)
+        return _let(f"regexp_replace({v}, '[^0-9]', '')", d, _let(f"if({v} LIKE '+%', regexp_extract({d}, '{COUNTRY}', 0), '')", code, body))
 
     def ip(self, v: str) -> str:
         o, r = self.name(), self.name()
@@ -141,29 +172,54 @@ class Pseudonyms:
         return _let(octets, o, f"if(array_max({o}) < 256, {new}, {v})")
 
     def ssn(self, v: str) -> str:
-        s, i = self.name(), self.name()
         valid = lambda x: rf"({x} rlike r'^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$')"
         d = f"replace({v}, '-', '')"
-        walked = f"aggregate(sequence(1, 64), {d}, ({s}, {i}) -> if({i} > 1 AND {valid(s)}, {s}, {self.digits(s, 'ssn')}))"
-        return f"if({valid(d)}, {self.filled(v, '0-9', walked)}, {v})"
+        return f"if({valid(d)}, {self.filled(v, '0-9', self.walk(d, lambda x: self.digits(x, 'ssn'), valid))}, {v})"
 
     def date(self, v: str) -> str:
-        day, n, r = self.name(), self.name(), self.name()
-        layout = lambda f: f"cast(try_to_timestamp({v}, '{f}') AS date)"
-        out = self.name()
-        parse = (
-            f"CASE WHEN {v} LIKE '%-%' THEN struct({layout('yyyy-MM-dd')} AS day, 'yyyy-MM-dd' AS f) WHEN {v} LIKE '%.%' THEN struct({layout('d.M.yyyy')} AS day, 'dd.MM.yyyy' AS f) "
-            f"WHEN {layout('M/d/yyyy')} IS NOT NULL THEN struct({layout('M/d/yyyy')} AS day, 'MM/dd/yyyy' AS f) ELSE struct({layout('d/M/yyyy')} AS day, 'dd/MM/yyyy' AS f) END"
+        p, f, q, r = (self.name() for _ in range(4))
+        parts = f"split({v}, '[-./]')"
+        iso, dotted, slashed = (f"{v} LIKE '%{c}%'" for c in "-./")
+        fields = f"if({iso}, struct({p}[0] AS y, {p}[1] AS a, {p}[2] AS b), struct({p}[2] AS y, {p}[0] AS a, {p}[1] AS b))"
+        one, two = f"cast({f}.a AS int)", f"cast({f}.b AS int)"
+        # Bounds of both fields: by the order of month and day, then by how the fields are written.
+        low = lambda x: f"if({slashed} AND {x} > 12, 13, 1)"
+        month_first = f"({iso} OR ({slashed} AND {one} <= 12))"
+        short = f"(length({f}.a) = 1 OR length({f}.b) = 1)"
+        bound = lambda x, lo, hi: (
+            f"CASE WHEN length({x}) = 1 THEN struct({lo} AS lo, least(9, {hi}) AS hi) WHEN {short} AND {x} LIKE '0%' THEN struct(1 AS lo, 9 AS hi) "
+            f"WHEN {short} THEN struct(greatest(10, {lo}) AS lo, {hi} AS hi) ELSE struct({lo} AS lo, {hi} AS hi) END"
         )
-        halves = self.feistel(f"{n} div {BASE}", f"{n} % {BASE}", str(BASE), str(BASE), "'date'")
-        new = _let(halves, r, f"date_format(date_add(DATE'{FIRST_DAY}', cast({r}.a * {BASE} + {r}.b AS int)), {day}.f)")
-        body = _let(f"datediff({day}.day, DATE'{FIRST_DAY}')", n, f"if({n} BETWEEN 0 AND {BASE * BASE - 1}, {new}, {v})")
-        return _let(_let(parse, day, body), out, f"coalesce({out}, {v})")
+        a_high = f"if({month_first}, 12, 31)"
+        b_high = f"CASE WHEN {iso} THEN 31 WHEN {dotted} OR {one} > 12 OR {two} <= 12 THEN 12 ELSE 31 END"
+        ra, rb = bound(f"{f}.a", low(one), a_high), bound(f"{f}.b", low(two), b_high)
+        shape = f"struct(cast({f}.y AS int) - {FIRST_YEAR} AS y, {month_first} AS mf, if({month_first}, {one}, {two}) AS m, if({month_first}, {two}, {one}) AS d, if({month_first}, {ra}, {rb}) AS rm, if({month_first}, {rb}, {ra}) AS rd)"
+        width = f"({q}.rd.hi - {q}.rd.lo + 1)"
+        size = f"(({q}.rm.hi - {q}.rm.lo + 1) * {width})"
+        # Layouts of one domain share its permutation, so a date keeps its pseudonym among them.
+        tag = f"concat('date|', {q}.rm.lo, '|', {q}.rm.hi, '|', {q}.rd.lo, '|', {q}.rd.hi)"
+        month, day = lambda x: f"({x}.b div {width} + {q}.rm.lo)", lambda x: f"({x}.b % {width} + {q}.rd.lo)"
+
+        def ok(x: str) -> str:
+            y = f"({x}.a + {FIRST_YEAR})"
+            leap = f"({y} % 4 = 0 AND ({y} % 100 <> 0 OR {y} % 400 = 0))"
+            return f"({day(x)} <= 30 + ({month(x)} + {month(x)} div 8) % 2 - if({month(x)} = 2, if({leap}, 1, 2), 0))"
+
+        start = f"struct(cast({q}.y AS bigint) AS a, cast(({q}.m - {q}.rm.lo) * {width} + {q}.d - {q}.rd.lo AS bigint) AS b)"
+        walked = self.walk(start, lambda x: self.feistel(f"{x}.a", f"{x}.b", str(YEARS), size, tag), ok)
+        year, sep = f"cast({r}.a + {FIRST_YEAR} AS string)", f"regexp_extract({v}, '[-./]', 0)"
+        a, b = f"if({q}.mf, {month(r)}, {day(r)})", f"if({q}.mf, {day(r)}, {month(r)})"
+        ab = f"lpad(cast({a} AS string), length({f}.a), '0'), {sep}, lpad(cast({b} AS string), length({f}.b), '0')"
+        new = _let(walked, r, f"if({iso}, concat({year}, {sep}, {ab}), concat({ab}, {sep}, {year}))")
+        inside = f"{q}.y BETWEEN 0 AND {YEARS - 1} AND {q}.m BETWEEN {q}.rm.lo AND {q}.rm.hi AND {q}.d BETWEEN {q}.rd.lo AND {q}.rd.hi"
+        s = self.name()
+        body = f"if({inside} AND {_let(start, s, ok(s))}, {new}, {v})"
+        return _let(parts, p, _let(fields, f, _let(shape, q, body)))
 
     def value(self, v: str) -> str:
         """A struct (kind, pseudonym) of one match."""
         cases = [
-            ("email", f"{v} LIKE '%@%'"), ("phone", f"{v} LIKE '+%'"), ("secret", f"{v} rlike '^[0-9a-fA-F]{{32,64}}$'"),
+            ("email", f"{v} LIKE '%@%'"), ("phone", f"{v} rlike '^([+(]|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}$)'"), ("key", f"{v} rlike '^(A[KS]IA[0-9A-Z]{{16}}$|[a-z]k_|gh._)'"), ("secret", f"{v} rlike '^[0-9a-fA-F]{{32,64}}$'"),
             ("iban", f"{v} rlike '^[A-Z]'"), ("ip", f"{v} rlike r'^[0-9]+[.][0-9]+[.][0-9]+[.]'"),
             ("ssn", f"{v} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'"), ("date", f"{v} rlike '^([0-9]{{4}}-[0-9]{{2}}-|[0-9]{{1,2}}[./])'"),
         ]
