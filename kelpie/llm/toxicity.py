@@ -1,18 +1,27 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause word by word: *insult* (stems learned from labelled documents, one automaton for all
-of them), *threat* (a verb of harm that reaches a target within three words), *target* (a second or third person),
-*negation* (which holds for the next two words) and *reported speech* (a verb of saying or an opening quotation mark, which
-holds to the clause's end). Their composition runs once over the clause's words and gives each match its context; a match
-weighs ``stem weight * context weight``, a clause scores the noisy-or of its matches and a document the noisy-or of its
-clauses. Words outside a match never count.
+Words of a clause are read as symbols: *insult* (stems learned from labelled documents), *harm* (a verb of threat), *target*
+(a second or third person), *not*, *say* (a verb of saying), *quote* (an opening quotation mark) and *word*. Four small
+weighted transducers rewrite the symbols in a cascade:
+
+* ``NEGATION`` marks insults and verbs of harm within two words after *not*;
+* ``REPORT`` marks insults and threats after *say* or *quote*, to the end of the clause;
+* ``ADDRESS`` marks insults that stand after a target, and turns a target after unmarked insults into an *address*;
+* ``THREAT`` turns a target within three words after an unmarked verb of harm into a *threat*.
+
+``compose`` builds one machine from the cascade (its states are those reachable, its arcs carry the product of the arcs'
+weights), which runs once over a clause's words. Every arc of it that emits a match has a weight; a match weighs the weight
+of its stem times that of its arc, a clause scores the noisy-or of its matches and a document the noisy-or of its clauses.
+Words outside a match never count.
 
 Learning uses at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled rows, those of smallest hash (documented bound; the
 share of each class is known, so weights are corrected for it). Stems are whole words, word beginnings, or beginnings that
-several words of a document share (for those that clean documents have now and then), chosen greedily:
+several words of a document share (for those that clean documents have now and then), read only where neither negation
+nor report holds, and chosen greedily:
 each next stem must be rare in clean documents and explain toxic documents that no stem so far explains. So copies of one
-toxic document, which share every rare word, add a single stem at most; copies are also dropped before counting. Context weights are shares in the sample with
-prior counts.
+toxic document, which share every rare word, add a single stem at most; copies are also dropped before counting. The
+weights of negation, report and address are shares of toxic documents among those of one context, with prior counts; an
+insult with a target never weighs less than one without.
 
 Edge cases: a null or empty text scores as a text without a match; without labelled rows only the threat part scores; a
 document whose label rows disagree takes part with each of them; repeated rows are scored alike; an empty table gives an
@@ -22,6 +31,7 @@ empty result; further columns are not read.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -42,6 +52,8 @@ REPEATS = (2, 3, 5)
 LEAST_RATIO = 25
 #: Toxic documents that a stem must explain for each sampled clean document that has it.
 CLEAN_COST = 5
+#: A stem is in at least so many sampled toxic documents, and in this share of them.
+LEAST_DOCS, LEAST_SHARE = 3, 0.0025
 #: Share of the toxic documents from which a stem counts even if other stems explain them, if no sampled clean one has it.
 FREQUENT = 0.03
 
@@ -51,17 +63,107 @@ THREATS = "kill hurt destroy attack murder beat burn shoot stab strangle tuer fr
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says say wrote writes claimed claims quoted reported called dit disait écrit sagte sagt schrieb dijo dice escribió".split()
 # Prior share and prior count of each context, and the weight of a threat that reaches a target.
-PRIOR = {"plain": 0.9, "target": 0.95, "negated": 0.4, "reported": 0.5}
+PRIOR = {"plain": 0.9, "target": 0.95, "negated": 0.3, "reported": 0.4}
 PRIOR_COUNT, THREAT_WEIGHT, LEAST_SCORE = 4.0, 0.85, 0.01
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _STOP = re.compile(r"[.!?;\n]")
+_PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“„«]|[.!?;\n]")
 _QUOTES = "\"“„«"
+CLOSED = {w: "target" for w in TARGETS} | {w: "harm" for w in THREATS} | {w: "not" for w in NEGATIONS} | {w: "say" for w in REPORTS}
+_SHIFTS = {*NEGATIONS, *REPORTS}
+
+# The transducers. State 0 starts; (state, symbol) -> (next state, rewritten symbol, name of the arc's weight or None).
+# A symbol without an arc passes unchanged, to the state that ``*`` gives (its own where there is none).
+Transducer = dict[tuple[int, str], tuple[int, str, str | None]]
+#: States: words for which negation still holds.
+NEGATION: Transducer = {
+    **{(s, "not"): (2, "not", None) for s in range(3)},
+    **{(s, "quote"): (s, "quote", None) for s in range(3)},
+    **{(s, "*"): (s - 1, "*", None) for s in (1, 2)},
+    **{(s, "insult"): (s - 1, "insult-", "negated") for s in (1, 2)},
+    **{(s, "harm"): (s - 1, "harm-", None) for s in (1, 2)},
+}
+#: States: 1 after a verb of saying or a quotation mark.
+REPORT: Transducer = {
+    **{(s, x): (1, x, None) for s in (0, 1) for x in ("say", "quote")},
+    (1, "insult"): (1, "insult:", "reported"),
+    (1, "insult-"): (1, "insult-", "reported"),
+    (1, "harm"): (1, "harm:", None),
+}
+#: States: 1 after an unmarked insult, 2 after a target.
+ADDRESS: Transducer = {
+    **{(s, "insult"): (1, "insult", "plain") for s in (0, 1)},
+    (2, "insult"): (2, "insult", "target"),
+    (0, "target"): (2, "target", None),
+    (1, "target"): (2, "address", "target"),
+}
+#: States: words that a target may still take, 1 to 3 after a verb of harm, 4 to 6 after a reported one.
+THREAT: Transducer = {
+    **{(s, "harm"): (3, "harm", None) for s in range(7)},
+    **{(s, "harm:"): (6, "harm:", None) for s in range(7)},
+    **{(s, "quote"): (s, "quote", None) for s in range(7)},
+    **{(s, "*"): (0 if s == 4 else s - 1, "*", None) for s in range(1, 7)},
+    **{(s, x): (0, "threat", "threat") for s in (1, 2, 3) for x in ("target", "address")},
+    **{(s, x): (0, "threat", "reported threat") for s in (4, 5, 6) for x in ("target", "address")},
+}
+CASCADE = {"negation": NEGATION, "report": REPORT, "address": ADDRESS, "threat": THREAT}
+SYMBOLS = ("word", "insult", "harm", "target", "not", "say", "quote")
+#: Last rewritings that are matches.
+MATCHES = ("insult", "insult-", "insult:", "address", "threat")
+
+
+def arc(t: Transducer, state: int, symbol: str) -> tuple[int, str, str | None]:
+    if (state, symbol) in t:
+        return t[state, symbol]
+    return t.get((state, "*"), (state, "*", None))[0], symbol, None
+
+
+def compose(cascade: list[Transducer]) -> list[dict[str, tuple[int, str, tuple[str, ...]]]]:
+    """One machine: by state and symbol the next state, the last rewriting, and the names of the weights on the way."""
+    states, machine = {(0,) * len(cascade): 0}, []
+    todo = list(states)
+    for state in todo:
+        arcs = {}
+        for symbol in SYMBOLS:
+            x, then, weights = symbol, [], []
+            for t, s in zip(cascade, state, strict=True):
+                s, x, w = arc(t, s, x)
+                then.append(s)
+                if w:
+                    weights.append(w)
+            if tuple(then) not in states:
+                states[tuple(then)] = len(states)
+                todo.append(tuple(then))
+            arcs[symbol] = states[tuple(then)], x, tuple(weights)
+        machine.append(arcs)
+    return machine
+
+
+_MARKS = compose([NEGATION, REPORT])
+
+
+def asserted(text: str) -> list[str]:
+    """The words of a lowered text that neither negation nor report marks."""
+    words = _WORD.findall(text)
+    if _SHIFTS.isdisjoint(words) and not any(q in text for q in _QUOTES):
+        return words
+    out, state = [], 0
+    for piece in _PIECE.findall(text):
+        if piece in _QUOTES:
+            state = _MARKS[state]["quote"][0]
+        elif piece in ".!?;\n":
+            state = 0
+        else:
+            state, symbol, _ = _MARKS[state][CLOSED.get(piece, "insult") if piece in _SHIFTS else "insult"]
+            if symbol != "insult-" and symbol != "insult:":
+                out.append(piece)
+    return out
 
 
 def stems_of(text: str) -> set[str]:
     """Words as ``word$``, word beginnings as ``beg``, and beginnings that several words share as ``beg#n``."""
-    words = Counter(_WORD.findall(text.lower()))
+    words = Counter(asserted(text.lower()))
     out, begins = set(), Counter()
     for w, n in words.items():
         out.add(w + "$")
@@ -85,7 +187,7 @@ def choose_stems(toxic: list[str], clean: list[str]) -> dict[str, tuple[int, int
 
     Stems are counted before any are kept, so only those frequent enough take memory by document.
     """
-    least = 3 if len(toxic) < 1000 else 5
+    least = max(LEAST_DOCS, round(LEAST_SHARE * len(toxic)))
     seen: Counter[str] = Counter()
     for text in toxic:
         seen.update(stems_of(text))
@@ -138,12 +240,19 @@ def without_copies(texts: list[str]) -> list[str]:
 
 
 class Grammar:
-    """The composed automaton. ``stems`` maps a stem to its weight, ``contexts`` a context to its weight."""
+    """The composed machine over words. ``stems`` maps a stem to its weight, ``contexts`` the arcs' names to theirs.
+
+    ``without`` names transducers to leave out of the cascade.
+    """
 
-    def __init__(self, stems: dict[str, float], contexts: dict[str, float]):
+    def __init__(self, stems: dict[str, float], contexts: dict[str, float], without: tuple[str, ...] = ()):
         import ahocorasick
 
-        self.contexts = contexts
+        weights = contexts | {"threat": THREAT_WEIGHT, "reported threat": THREAT_WEIGHT * contexts["reported"]}
+        self.machine = [
+            {x: (then, last if last in MATCHES else None, names, math.prod(weights[n] for n in names)) for x, (then, last, names) in arcs.items()}
+            for arcs in compose([t for name, t in CASCADE.items() if name not in without])
+        ]
         self.words = {s[:-1]: w for s, w in stems.items() if s.endswith("$")}
         self.begins = {s: w for s, w in stems.items() if s[-1] != "$" and "#" not in s}
         self.repeats: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -155,7 +264,6 @@ class Grammar:
         for s in {*map(bare, stems), *THREATS}:
             self.find.add_word(s, s)
         self.find.make_automaton()
-        self.closed = {w: "target" for w in TARGETS} | {w: "threat" for w in THREATS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
 
     def weight(self, word: str, often: dict[str, float]) -> float:
         best = self.words.get(word, 0.0)
@@ -164,32 +272,28 @@ class Grammar:
                 best = max(best, self.begins.get(word[:n], 0.0), often.get(word[:n], 0.0))
         return best
 
-    def matches(self, clause: str, often: dict[str, float]) -> list[tuple[str, float]]:
-        """Context and weight of each match of a lowered clause; ``often`` has the beginnings that its document repeats."""
-        found, negated, reported, target, threat = [], 0, False, False, 0
-        at = 0
-        for m in _WORD.finditer(clause):
-            reported |= any(q in clause[at : m.start()] for q in _QUOTES)
-            at, word = m.end(), m.group()
-            kind, w = self.closed.get(word), self.weight(word, often)
+    def symbol(self, word: str, often: dict[str, float]) -> tuple[str, float]:
+        """A word's symbol and the weight of its stem; targets, negations and verbs of saying are no insults."""
+        kind = CLOSED.get(word, "word")
+        if kind in ("word", "harm"):
+            w = self.weight(word, often)
             if w:
-                found.append(("negated" if negated else "reported" if reported else "target" if target else "plain", w))
-            if kind == "negation":
-                negated = 3
-            elif kind == "report":
-                reported = True
-            elif kind == "threat":
-                threat = 0 if negated else 4
-            elif kind == "target":
-                target = True
-                if threat:
-                    found.append(("reported" if reported else "target", THREAT_WEIGHT))
-                    threat = 0
-            negated, threat = max(0, negated - 1), max(0, threat - 1)
-        return found
-
-    def scan(self, text: str) -> Iterator[tuple[str, float]]:
-        """Context and weight of every match: one pass of the automaton finds the clauses that can hold one."""
+                return "insult", w
+        return kind, 0.0
+
+    def matches(self, clause: str, often: dict[str, float]) -> Iterator[tuple[tuple[str, ...], float]]:
+        """Names and weight of each match of a lowered clause; ``often`` has the beginnings that its document repeats."""
+        state, last = 0, 0.0
+        for piece in _PIECE.findall(clause):
+            x, w = ("quote", 0.0) if piece in _QUOTES else self.symbol(piece, often)
+            state, match, names, along = self.machine[state][x]
+            last = w or last
+            if match:
+                # An address weighs what the insult before it weighs.
+                yield names, (1.0 if match == "threat" else last) * along
+
+    def scan(self, text: str) -> Iterator[tuple[tuple[str, ...], float]]:
+        """Names and weight of every match: one pass of the automaton finds the clauses that can hold one."""
         text = text.lower()
         hits = [(e - len(s) + 1, s) for e, s in self.find.iter(text) if e < len(s) or not text[e - len(s)].isalpha()]
         if not hits:
@@ -198,7 +302,7 @@ class Grammar:
         often = {s: max(ws) for s, rs in self.repeats.items() if (ws := [w for r, w in rs if counts[s] >= r])}
         done = -1
         for start, s in sorted(hits):
-            if start <= done or (s in self.repeats and s not in often and s not in self.begins and s not in self.words and s not in self.closed):
+            if start <= done or (s in self.repeats and s not in often and s not in self.begins and s not in self.words and s not in CLOSED):
                 continue
             a = max(text.rfind(c, 0, start) for c in ".!?;\n") + 1
             stop = _STOP.search(text, start + len(s))
@@ -207,8 +311,8 @@ class Grammar:
 
     def score(self, text: str | None) -> float:
         miss = 1.0 - LEAST_SCORE
-        for context, w in self.scan(text or ""):
-            miss *= 1.0 - w * self.contexts[context]
+        for _, w in self.scan(text or ""):
+            miss *= 1.0 - w
         return 1.0 - miss
 
 
@@ -218,14 +322,17 @@ def learn_from(rows: list[tuple[int, str]]) -> tuple[dict[str, float], dict[str,
     chosen = choose_stems(without_copies(toxic), clean)
     stems = {s: (t + 1e-9) / (t + c + 0.1) for s, (t, c) in chosen.items()}
     seen = {c: [PRIOR_COUNT * PRIOR[c], PRIOR_COUNT] for c in PRIOR}
-    plain = Grammar(stems, dict.fromkeys(PRIOR, 1.0))
+    every = Grammar(stems, dict.fromkeys(PRIOR, 1.0))
     for y, t in rows:
         # Documents of one context tell about it; those of several tell nothing apart.
-        contexts = {c for c, _ in plain.scan(t)}
-        if len(contexts) == 1:
-            s = seen[contexts.pop()]
+        contexts = {n for n, _ in every.scan(t)}
+        if len(contexts) == 1 and len(one := contexts.pop()) == 1 and one[0] in seen:
+            s = seen[one[0]]
             s[0] += y
             s[1] += 1
+    if seen["plain"][0] * seen["target"][1] > seen["target"][0] * seen["plain"][1]:
+        # With a target an insult weighs no less than without: where shares say so, both take the share of all.
+        seen["plain"] = seen["target"] = [a + b for a, b in zip(seen["plain"], seen["target"], strict=True)]
     return stems, {c: a / n for c, (a, n) in seen.items()}
 
 
