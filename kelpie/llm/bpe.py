@@ -6,8 +6,11 @@ contracted, and words without a pair left stop. Decoding looks ids up and concat
 aggregation. Encoded words are kept in a cache of a fixed number of entries, so memory is bounded however many words the
 corpus has.
 
-Words of more than ``LONG_WORD`` bytes (a run of one symbol, for instance) would need as many steps as they have merges;
-they take the same contractions from a heap instead, with the same ids.
+A word's steps grow with its length, so the query holds words in segments of ``SEGMENT`` bytes that overlap their neighbours
+by ``OVERLAP`` on either side (most words are one segment). Two segments join at a token that both have at the same place.
+That is exact: an encoding is the right one if every two tokens side by side are what their bytes alone encode to, any
+part of a right encoding is right itself, and the joined encoding has only pairs of tokens that one of its segments has.
+A word with two segments that have no token in common is done again with longer ones, up to the whole word.
 
 Edge cases: a null text is the empty text, with no ids; repeated rows give repeated results; an empty table gives an
 empty result; further columns are not read.
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import warnings
 from collections.abc import Iterator
 
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .shingles import text_chunks
 
-LONG_WORD = 256
+SEGMENT, OVERLAP = 128, 32
 CACHE_WORDS = 500_000
-QUERY_WORDS = 20_000
+#: Words (or segments) and, in longer segments, bytes that one query holds.
+QUERY_WORDS, QUERY_BYTES = 20_000, 300_000
 
 ENCODE = """
 WITH RECURSIVE steps(word, step, toks) AS (
@@ -68,6 +71,9 @@ class Codec:
         # White space as Unicode defines it; \s of this module has four control characters more.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.token = {r: b for b, r in self.ranks.items()}
+        self.length = np.zeros(max(self.token) + 1, dtype=np.int64)
+        for r, b in self.token.items():
+            self.length[r] = len(b)
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         merges = np.array(
             [(self.ranks[b[:i]] << 16 | self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks],
@@ -81,50 +87,68 @@ class Codec:
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        short = []
+    def contracted(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Ids of each piece and the bytes they decode to."""
+        ends = np.zeros(len(pieces) + 1, dtype=np.int32)
+        np.cumsum([len(raw) for raw in pieces], out=ends[1:])
+        symbols = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        init = pa.table({"word": np.arange(len(pieces), dtype=np.int32), "toks": pa.ListArray.from_arrays(ends, symbols)})
+        self.db.register("init", init)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            out = self.db.execute(ENCODE).to_arrow_table().combine_chunks()
+        self.db.unregister("init")
+        toks = out.column("toks").combine_chunks()
+        flat, at = toks.values.to_numpy().astype("<u4"), toks.offsets.to_numpy()
+        for a, b, hexed in zip(at[:-1], at[1:], out.column("bytes").to_pylist(), strict=True):
+            yield flat[a:b], bytes.fromhex(hexed)
+
+    def learn(self, words: list[str], segment: int = SEGMENT) -> None:
+        """Encodes words, those of more bytes than a segment and its overlaps in several."""
+        overlap = segment * OVERLAP // SEGMENT
+        short, long = [], []
         for w in words:
             raw = w.encode()
-            if len(raw) > LONG_WORD:
-                ids = self._heap(raw)
-                self.ids[w], self.decoded[w] = np.array(ids, dtype="<u4").tobytes(), b"".join(map(self.token.__getitem__, ids))
-            else:
-                short.append((w, raw))
+            (short if len(raw) <= segment + 2 * overlap else long).append((w, raw))
         for k in range(0, len(short), QUERY_WORDS):
             part = short[k : k + QUERY_WORDS]
-            ends = np.zeros(len(part) + 1, dtype=np.int32)
-            np.cumsum([len(raw) for _, raw in part], out=ends[1:])
-            symbols = self.first[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
-            init = pa.table({"word": np.arange(len(part), dtype=np.int32), "toks": pa.ListArray.from_arrays(ends, symbols)})
-            self.db.register("init", init)
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                out = self.db.execute(ENCODE).to_arrow_table().combine_chunks()
-            self.db.unregister("init")
-            toks = out.column("toks").combine_chunks()
-            flat, at = toks.values.to_numpy().astype("<u4"), toks.offsets.to_numpy()
-            for (w, _), a, b, hexed in zip(part, at[:-1], at[1:], out.column("bytes").to_pylist(), strict=True):
-                self.ids[w], self.decoded[w] = flat[a:b].tobytes(), bytes.fromhex(hexed)
-
-    def _heap(self, raw: bytes) -> list[int]:
-        toks = [self.ranks[bytes([b])] for b in raw]
-        nxt, prv = [*range(1, len(toks)), -1], [*range(-1, len(toks) - 1)]
-        alive = [True] * len(toks)
-        rank = lambda i: self.ranks.get(self.token[toks[i]] + self.token[toks[nxt[i]]]) if nxt[i] >= 0 else None
-        heap = [(r, i) for i in range(len(toks)) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank(i) != r:
-                continue
-            j = nxt[i]
-            toks[i], alive[j], nxt[i] = r, False, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            for k in (i, prv[i]):
-                if k >= 0 and (s := rank(k)) is not None:
-                    heapq.heappush(heap, (s, k))
-        return [t for t, ok in zip(toks, alive, strict=True) if ok]
+            for (w, _), (ids, raw) in zip(part, self.contracted([raw for _, raw in part]), strict=True):
+                self.ids[w], self.decoded[w] = ids.tobytes(), raw
+        again = []
+        per_query = max(1, QUERY_BYTES // (segment + 2 * overlap))
+        for w, raw in long:
+            starts = [max(0, k - overlap) for k in range(0, len(raw), segment)]
+            pieces = [raw[a : k + segment + overlap] for a, k in zip(starts, range(0, len(raw), segment), strict=True)]
+            done = [x for k in range(0, len(pieces), per_query) for x in self.contracted(pieces[k : k + per_query])]
+            if (joined := self.joined(starts, done)) is None:
+                again.append(w)
+            else:
+                self.ids[w], self.decoded[w] = joined
+        if again:
+            self.learn(again, segment * 4)
+
+    def joined(self, starts: list[int], pieces: list[tuple[np.ndarray, bytes]]) -> tuple[bytes, bytes] | None:
+        """Ids and decoded bytes of a word from its segments, or None where neighbours share no token."""
+        ids, back, enter = [], [], 0
+        for k, (toks, raw) in enumerate(pieces):
+            ends = np.cumsum(self.length[toks])
+            places = np.append(0, ends[:-1])
+            leave, following = len(toks), 0
+            if k + 1 < len(pieces):
+                other = pieces[k + 1][0]
+                other_ends = np.cumsum(self.length[other]) + starts[k + 1]
+                spans = (places + starts[k] << 20) + self.length[toks]
+                theirs = (other_ends - self.length[other] << 20) + self.length[other]
+                common, at, to = np.intersect1d(spans, theirs, assume_unique=True, return_indices=True)
+                usable = np.flatnonzero(at >= enter)
+                if not len(usable):
+                    return None
+                leave, following = int(at[usable[0]]), int(to[usable[0]])
+            if leave > enter:
+                ids.append(toks[enter:leave].tobytes())
+                back.append(raw[places[enter] : ends[leave - 1]])
+            enter = following
+        return b"".join(ids), b"".join(back)
 
     def run(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit integers, and the bytes they decode to."""
