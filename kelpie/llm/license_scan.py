@@ -128,6 +128,8 @@ def _template_table(spark, phrases: list[tuple[str, str]]) -> DataFrame:
 
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
+    if short := [p for p, _ in [*base, *templates] if len(word_hashes(p.encode())[0]) < K]:
+        raise ValueError(f"phrases need at least {K} words: {short}")
     phrases = [(p, label, True) for p, label in base] + [(p, label, False) for p, label in templates]
     table = F.broadcast(_template_table(docs.sparkSession, phrases))  # a row per window of the fixed phrases
     id_type = docs.schema[id_col].dataType.simpleString()
