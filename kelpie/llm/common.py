@@ -13,10 +13,19 @@ from pyspark.sql.window import Window
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
+#: Identifiers or keys (8 to 60 bytes each) that may be broadcast.
+SMALL_IDS = 1_000_000
+
+#: Folders of the tables written so far by this driver, oldest first.
+_made: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own where it names none."""
+    """The shared folder that the cluster names; with a local master and none named, a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/kelpie-scratch"
     return root.rstrip("/")
 
@@ -24,9 +33,44 @@ def scratch_root(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/kelpie-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_root(spark)}/kelpie-{uuid.uuid4().hex}"
+    _made.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def mark() -> int:
+    """Names the present moment for ``settled``."""
+    return len(_made)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``written``, and the tables written from ``since`` on, which only led to this one, are deleted."""
+    out = written(df, name)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in _made[since:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    del _made[since:-1]
+    return out
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counted: DataFrame | None = None, hot_at: int = 10_000) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key; the rows of a hot key meet copies of its one row.
+
+    ``counted`` (``many`` itself if None) is a table with at least the keys of ``many``. A key is hot above ``hot_at`` rows
+    and above a share of 1 / SMALL_IDS of all rows, so at most SMALL_IDS keys are broadcast.
+    """
+    counted = many if counted is None else counted
+    copies, copy = fresh(many, "copies", "copy")
+    least = max(hot_at, counted.count() // SMALL_IDS)
+    hot = written(counted.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias(copies)), "hot")
+    if hot.isEmpty():
+        return many.join(one, keys)
+    n = F.coalesce(F.col(copies), F.lit(1))
+    many = many.join(F.broadcast(hot), keys, "left").withColumn(copy, F.pmod(F.xxhash64(*many.columns), n).cast("int")).drop(copies)
+    one = one.join(F.broadcast(hot), keys, "left").withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(copies)
+    return many.join(one, [*keys, copy]).drop(copy)
 
 
 def prefix_totals(counts: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every input partition makes one run: its digests in order, each with the best row seen and a count. Runs then merge
 ``fan_in`` at a time: in round r the runs whose numbers agree after dividing by ``fan_in ** r`` exchange their entries,
-equal digests combine and the better identifier survives, so what moves shrinks from round to round and no task ever
+equal digests combine and the better identifier survives, so copies of a text leave one entry a run; texts without copies
+keep theirs, and each of the rounds (as many as the logarithm of the partitions) moves these digests again. No task ever
 holds more than its share of a run. An entry is *verified*: rows combine only where SHA-256, a second independent
 64-bit hash and the length of the normalised text all agree.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, fresh, written
+from .common import ASCII_SPACE, fresh, spread_join, written
 
 FAN_IN = 8
 
@@ -65,7 +66,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     leaf = written(_leaf(docs, id_col, text_col), "digest_runs")
     merged = merge_runs(leaf, fan_in)
-    return leaf.join(merged, _KEY).select(
+    # A text with very many copies meets copies of its result row.
+    return spread_join(leaf, merged, _KEY).select(
         "doc_id",
         "keep_id",
         "group_size",
