@@ -82,15 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _merkle_sql(replica: str) -> str:
-    """The root over up to 64 ** 3 records, as SQL over (n, digest)."""
-    return f"""(SELECT CASE WHEN (SELECT count(*) FROM first) <= 64 THEN (SELECT any_value(d) FROM {replica}1)
-                WHEN (SELECT count(*) FROM first) <= 4096 THEN (SELECT any_value(d) FROM {replica}2)
-                ELSE (SELECT any_value(d) FROM {replica}3) END)"""
+    """The root over up to 64 ** 4 places."""
+    return f"""(SELECT CASE WHEN (SELECT count(*) FROM place) <= 64 THEN (SELECT any_value(d) FROM {replica}1)
+                WHEN (SELECT count(*) FROM place) <= 4096 THEN (SELECT any_value(d) FROM {replica}2)
+                WHEN (SELECT count(*) FROM place) <= 262144 THEN (SELECT any_value(d) FROM {replica}3) ELSE (SELECT any_value(d) FROM {replica}4) END)"""
 
 
 def _levels_sql(replica: str, leaves: str) -> str:
-    up = "SELECT n // 64 AS n, sha256(string_agg(d, '' ORDER BY n)) AS d FROM {} GROUP BY n // 64"
-    return ", ".join(f"{replica}{k} AS ({up.format(leaves if k == 1 else f'{replica}{k - 1}')})" for k in (1, 2, 3))
+    up = "SELECT n // 64 AS n, min(o) AS o, sum(l)::BIGINT AS l, sha256(string_agg(o || ':' || l || ':' || d, chr(10) ORDER BY n)) AS d FROM {} GROUP BY n // 64"
+    return ", ".join(f"{replica}{k} AS ({up.format(leaves if k == 1 else f'{replica}{k - 1}')})" for k in (1, 2, 3, 4))
 
 
 _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
@@ -123,19 +123,21 @@ ORACLE_SQL = {
     "op1_merkle_fixity": f"""
         WITH p AS (SELECT page_id, url, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS html FROM pages),
         first AS (
-            SELECT page_id, mark, sha256({_RECORD.replace('body', 'html')}) AS d, strlen({_RECORD.replace('body', 'html')}) AS length,
-                   row_number() OVER (ORDER BY page_id) - 1 AS n
-            FROM p),
-        second AS (
-            SELECT n, CASE WHEN mark = '0f' THEN '' ELSE e END AS d
-            FROM first JOIN (
-                SELECT page_id, sha256({_RECORD}) AS e
-                FROM (SELECT page_id, url, CASE WHEN mark = '07' THEN '?' || substr(html, 2) ELSE html END AS body FROM p)) USING (page_id)),
-        {_levels_sql('a', 'first')}, {_levels_sql('b', 'second')}
-        SELECT page_id, (sum(length) OVER (ORDER BY n) - length)::BIGINT AS "offset", length::BIGINT AS length, f.d AS record_sha256,
-               (n // 64)::BIGINT AS range_id, CASE WHEN s.d = '' THEN 'missing' WHEN s.d <> f.d THEN 'altered' ELSE 'ok' END AS status,
+            SELECT page_id, sha256({_RECORD.replace('body', 'html')}) AS d, strlen({_RECORD.replace('body', 'html')}) AS l, row_number() OVER (PARTITION BY page_id ORDER BY d) AS nth FROM p),
+        copy AS (
+            SELECT page_id, sha256({_RECORD}) AS d, strlen({_RECORD}) AS l
+            FROM (SELECT page_id, url, CASE WHEN mark = '07' THEN '?' || substr(html, 2) ELSE html END AS body FROM p, (SELECT unnest([1, 2]) AS time) WHERE mark <> '0f' AND (time = 1 OR mark = '0b'))),
+        second AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY d) AS nth FROM copy),
+        place AS (
+            SELECT coalesce(f.page_id, s.page_id) AS page_id, f.d, f.l, s.d AS rd, s.l AS rl, row_number() OVER w - 1 AS n, (sum(coalesce(f.l, 0)) OVER w - coalesce(f.l, 0))::BIGINT AS o
+            FROM first f FULL JOIN second s ON f.page_id IS NOT DISTINCT FROM s.page_id AND f.nth = s.nth
+            WINDOW w AS (ORDER BY coalesce(f.page_id, s.page_id) NULLS FIRST, coalesce(f.nth, s.nth) ROWS UNBOUNDED PRECEDING)),
+        a AS (SELECT n, o, coalesce(l, 0) AS l, coalesce(d, '') AS d FROM place), b AS (SELECT n, o, coalesce(rl, 0) AS l, coalesce(rd, '') AS d FROM place),
+        {_levels_sql('a', 'a')}, {_levels_sql('b', 'b')}
+        SELECT page_id, o AS "offset", coalesce(l, rl)::BIGINT AS length, coalesce(d, rd) AS record_sha256,
+               (n // 64)::BIGINT AS range_id, CASE WHEN rd IS NULL THEN 'missing' WHEN d IS NULL THEN 'extra' WHEN d <> rd THEN 'altered' ELSE 'ok' END AS status,
                {_merkle_sql('a')} AS root_sha256, {_merkle_sql('b')} AS replica_root_sha256
-        FROM first f JOIN second s USING (n)""",
+        FROM place""",
     "op2_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

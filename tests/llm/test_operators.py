@@ -387,12 +387,30 @@ def test_merkle_finds_exactly_the_damage(spark, monkeypatch):
     assert [o for o, _ in at] == [0, *np.cumsum([n for _, n in at])[:-1]]
     same = merkle.fixity(pages, pages.repartition(5)).collect()
     assert {r.status for r in same} == {"ok"} and same[0].root_sha256 == same[0].replica_root_sha256 == got[0].root_sha256
-    index = merkle.manifest(merkle.hashed(pages))
-    more = pages.union(spark.createDataFrame([(500, "u", "h", "e")], pages.schema))
-    assert [r.record for r in merkle.extra_records(index, merkle.hashed(more)).collect()] == [500]
+    more = pages.union(spark.createDataFrame([(500, "u", "h", "e"), (7, "http://x/7", "<p>again</p>", "e")], pages.schema))
+    got = merkle.fixity(pages, more).collect()
+    assert len(got) == 104 and sorted(r.page_id for r in got if r.status == "extra") == [7, 500]
+    assert {r.page_id for r in got if r.status == "altered"} <= {7}  # a record more can shift the numbers of its identifier
+    assert got[0].root_sha256 != got[0].replica_root_sha256
+    assert [r.status for r in merkle.fixity(pages.limit(0), more.limit(3)).collect()] == ["extra"] * 3
     assert merkle.fixity(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_merkle_hashes_cover_offsets_and_lengths(spark):
+    leaves = lambda *rows: spark.createDataFrame([(0, *rows[0]), (1, *rows[1])], "n bigint, start bigint, length bigint, digest string")
+    root = lambda *rows: merkle.tree(leaves(*rows), 2)[-1].first().digest
+    assert len({root((0, 5, "x"), (5, 3, "y")), root((0, 4, "x"), (5, 3, "y")), root((0, 5, "x"), (6, 3, "y"))}) == 3
+
+
+def test_merkle_spreads_a_shared_identifier(spark):
+    data = [(None if i % 3 == 0 else i // 3, "u", "z" * (i % 7) if i % 2 else f"b{i}") for i in range(900)] + [(1, "u", "long " * 300_000)]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(4)
+    got = merkle.fixity(pages, pages.filter("html IS NULL OR html <> 'b4'").repartition(2)).collect()
+    assert len(got) == 901 and [r.page_id for r in got if r.status == "missing"] == [1]
+    assert [r.status for r in got].count("altered") <= 3  # the shifted numbers of that identifier's records
+    assert sorted(r.offset for r in got) == [0, *np.cumsum([n for _, n in sorted((r.offset, r.length) for r in got)])[:-1]]
+
+
 def test_queries_run_over_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert [f"op{k}_" for k in range(1, 11)] == [q[: q.index("_") + 1] for q in queries.QUERIES]
