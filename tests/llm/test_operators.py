@@ -350,8 +350,9 @@ def test_fingerprints(docs, edge, none):
     for df in (docs, edge.filter("doc_id <> 12 AND doc_id IS NOT NULL")):
         texts = {r.doc_id: r.text or "" for r in df.collect()}
         order = sorted(texts)
-        got = {r.doc_id: r for r in minhash.edited_fingerprints(df).collect()}
+        got = {r.doc_id: r for r in minhash.fingerprints(df).collect()}
         assert set(got) == set(texts)
+        assert {d: r.near_id for d, r in got.items()} == {d: c for d, (_, c) in brute.near_groups(list(texts.items())).items()}
         prints = {}
         for i, d in enumerate(order):
             t, nxt = texts[d], texts[order[(i + 1) % len(order)]]
@@ -364,7 +365,38 @@ def test_fingerprints(docs, edge, none):
             x, y = brute.shingles(t), brute.shingles(changed)
             if len(x) > 100:
                 assert abs(r.near_edited - len(x & y) / len(x | y)) < 0.25
-    assert minhash.edited_fingerprints(edge).count() == len(TEXTS) and minhash.edited_fingerprints(none).count() == 0
+    out = minhash.fingerprints(edge).collect()
+    assert sorted((str(r.doc_id), r.near_id) for r in out if r.doc_id in (None, 6, 12)) == [("12", 11), ("12", 11), ("6", 4), ("None", None)]
+    assert len(out) == len(TEXTS) and minhash.fingerprints(none).count() == 0
+
+
+def test_fingerprints_of_ties_and_one_row(spark):
+    df = spark.createDataFrame([(1, "b c d e f g h"), (1, "a"), (1, None), (2, "z" * 9)], "doc_id bigint, text string")
+    out = minhash.edited_fingerprints(df).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in out) == [(1, 0), (1, 1), (1, 13), (2, 9)]
+    assert sorted(tuple(r) for r in minhash.edited_fingerprints(df.repartition(3)).collect()) == sorted(tuple(r) for r in out)
+    (one,) = minhash.edited_fingerprints(df.filter("doc_id = 2")).collect()
+    assert one.edited_sha256 == hashlib.sha256(b"z" * 9).hexdigest() and one.near_next == 1.0
+
+
+def plain_fingerprint(text):
+    """Permutation by permutation, shingle by shingle."""
+    out = b""
+    tokens = [int(x) >> 32 for x in next(iter(minhash.shingle_sets([text])))]
+    for a, b in zip(minhash._A[:, 0].tolist(), minhash._B[:, 0].tolist()):
+        low = min(((a * x + b) % 2**32 for x in tokens), default=2**32 - 1)
+        if tokens:
+            low ^= low >> 15
+            low = low * 0x2C1B3C6D % 2**32
+            low ^= low >> 12
+            low = low * 0x297A2D39 % 2**32
+        out += bytes([low >> 24])
+    return out
+
+
+def test_fingerprint_equals_the_plain_one():
+    for t in ("", "one", "one two three four five six", "w " * 3000, " ".join(f"w{i}" for i in range(2500))):
+        assert minhash.fingerprint(next(iter(minhash.shingle_sets([t])))) == plain_fingerprint(t)
 
 
 def test_bands_find_verified_groups(docs):
