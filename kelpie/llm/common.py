@@ -55,15 +55,19 @@ def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     return out
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counted: DataFrame | None = None, hot_at: int = 10_000) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counted: DataFrame | None = None, hot_at: int = 20_000) -> DataFrame:
     """``many`` joined with ``one``, which has a row for each key; the rows of a hot key meet copies of its one row.
 
     ``counted`` (``many`` itself if None) is a table with at least the keys of ``many``. A key is hot above ``hot_at`` rows
-    and above a share of 1 / SMALL_IDS of all rows, so at most SMALL_IDS keys are broadcast.
+    and above a share of 1 / SMALL_IDS of all rows, so at most SMALL_IDS keys are broadcast. Tables of few rows are joined as
+    they are: no task can get more than all of them.
     """
     counted = many if counted is None else counted
+    n_rows = counted.count()
+    if n_rows <= 50 * hot_at:
+        return many.join(one, keys)
     copies, copy = fresh(many, "copies", "copy")
-    least = max(hot_at, counted.count() // SMALL_IDS)
+    least = max(hot_at, n_rows // SMALL_IDS)
     hot = written(counted.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias(copies)), "hot")
     if hot.isEmpty():
         return many.join(one, keys)

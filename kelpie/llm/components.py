@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); a component is named by its smallest node.
 
-    Edges, labels and pointers stay in tables. Star-shaped input ends after one round, chains after about log rounds.
+    Edges, labels and pointers stay in tables; a hub's edges meet copies of its pointer. Star-shaped input ends after one round, chains after about log rounds.
     """
     spark = edges.sparkSession
     node = edges.schema["a"].dataType.simpleString()
@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parents")
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        jumped = written(parent.join(up, "p").select(F.col("a").alias("node"), F.col("pp").alias("component")), "pointers")
+        jumped = written(spread_join(parent, up, ["p"]).select(F.col("a").alias("node"), F.col("pp").alias("component")), "pointers")
         rounds.append(jumped)
         to_a = jumped.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         to_b = jumped.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         left = written(
-            left.join(to_a, "a").join(to_b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(),
+            spread_join(spread_join(left, to_a, ["a"]), to_b, ["b"], left).filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(),
             "edges",
         )
     if not rounds:

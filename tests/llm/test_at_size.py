@@ -67,7 +67,7 @@ def test_hot_keys_meet_copies(spark, monkeypatch):
     many = common.written(many, "many")
     one = spark.range(11).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     plain = sorted(map(tuple, many.join(one, "k").collect()))
-    assert sorted(map(tuple, common.spread_join(many, one, ["k"], hot_at=100).collect())) == plain
+    assert sorted(map(tuple, common.spread_join(many, one, ["k"], hot_at=50).collect())) == plain
     assert sorted(map(tuple, common.spread_join(many, one, ["k"], hot_at=10**6).collect())) == plain
 
 
