@@ -99,9 +99,10 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["made"])
 
 
-def dictionary(docs: DataFrame, text_col: str) -> bytes:
-    """A compression dictionary from the texts of smallest hash among those of moderate length."""
-    sample = docs.filter(F.octet_length(text_col).between(1, DICTIONARY_BYTES)).select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(DICTIONARY_TEXTS)
+def dictionary(docs: DataFrame, n_docs: int, text_col: str) -> bytes:
+    """A compression dictionary from about DICTIONARY_TEXTS texts, chosen by a hash of their places."""
+    chosen = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, n_docs // DICTIONARY_TEXTS))) == 0
+    sample = docs.filter(chosen).filter(F.octet_length(text_col).between(1, DICTIONARY_BYTES)).select(text_col).limit(2 * DICTIONARY_TEXTS)
     made = sample.repartition(1).mapInArrow(_dictionary, "made binary").collect()  # one row of DICTIONARY_BYTES at most
     return bytes(made[0].made) if made else b""
 
@@ -175,9 +176,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A row per document: doc_id, n_chars, edited_sha256, both fingerprints and both likenesses."""
     id_type = docs.schema[id_col].dataType.simpleString()
     sql = {pa.int64(): "bigint", pa.binary(): "binary", pa.float64(): "double"}
-    words = dictionary(docs, text_col)
     schema = ", ".join(f"{n} {sql[k]}" for n, k in _OUT)
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000 + 1)
+    n_docs = docs.count()
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_docs // 20_000 + 1)
+    words = dictionary(docs, n_docs, text_col)
     rows = written(
         docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
         .mapInArrow(_squeezed(words), f"doc_id {id_type}, tie bigint, small binary")
