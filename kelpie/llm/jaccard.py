@@ -17,7 +17,8 @@ components compare their bit sketches, in cells of at most 2 * ``CELL`` members,
 only pairs near enough to be verified become rows. No pair or partner is ever capped.
 
 Edge cases: a null or empty text has no shingles and links with nothing; a text of fewer than five words is one shingle;
-equal texts in a partition share one representative; repeated rows each get a result row; a row without an identifier is
+equal texts in a partition share one representative; repeated rows each get a result row; rows of one identifier with
+different texts are one node, whose candidate pairs are compared by the sketch of one of these texts and verified by any; a row without an identifier is
 linked with nothing and its component is null; an empty table gives an empty result; further columns are not read.
 Identifiers are whole numbers.
 """
@@ -29,18 +30,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import SMALL_IDS, fresh, mark, settled, written
 from .components import components
 from .shingles import mix, shingle_sets, text_chunks
 
 SAMPLE_DOCS = 12_000
 #: A shingle in so many sampled documents is frequent; at most HOT_SHINGLES of them are broadcast (8 bytes each).
 HOT_AT, HOT_SHINGLES = 4, 100_000
-#: Identifiers (8 bytes each) that may be broadcast.
-SMALL_IDS = 1_000_000
 #: Members of a group that one cell takes from each of its two blocks.
 CELL = 512
 _U = np.uint64
@@ -138,15 +138,29 @@ def _signatures(words_of: Callable[[np.ndarray], np.ndarray]):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, id): document rows as they are, and a row for each further member of a word's group."""
+    """From rows sorted by (sig, id): document rows, and a row for each further member of a word's group.
+
+    Of rows with one identifier only one keeps its bit sketch.
+    """
     last = None  # (sig, pivot, pivot's size, last id, rank of the last)
+    sketched = None  # the last document with a bit sketch
     for batch in batches:
         sig, ids, n = (batch.column(k).to_numpy() for k in range(3))
         own = np.flatnonzero(n < 0)
         if len(own):
             m = len(own)
+            bits = batch.column(3).take(pa.array(own))
+            has = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False))
+            if len(has):
+                docs = sig[own][has]
+                again = np.append(sketched == docs[0], docs[1:] == docs[:-1])
+                sketched = docs[-1]
+                if again.any():
+                    drop = np.zeros(m, bool)
+                    drop[has[again]] = True
+                    bits = pc.if_else(pa.array(drop), pa.scalar(None, pa.binary()), bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[own]), pa.array(sig[own]), pa.array(ids[own]), pa.array(-1 - n[own], pa.int32()), pa.array(np.full(m, -1, np.int32)), pa.array(np.zeros(m, np.int32)), batch.column(3).take(pa.array(own))],
+                [pa.array(sig[own]), pa.array(sig[own]), pa.array(ids[own]), pa.array(-1 - n[own], pa.int32()), pa.array(np.full(m, -1, np.int32)), pa.array(np.zeros(m, np.int32)), bits],
                 names=["sig", "a", "b", "na", "nb", "rank", "bits"],
             )
         at = np.flatnonzero(n > 0)
@@ -340,6 +354,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``words_of`` gives the 64-bit words that bring sets together, instead of the parity sketches; links are the verified ones
     among sets that share a word.
     """
+    since = mark()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     nameless, docs = docs.filter("doc_id IS NULL"), docs.filter("doc_id IS NOT NULL")
     rows = docs.mapInArrow(_signatures(words_of or sketch_prefix(frequent_shingles(docs))), "sig bigint, id bigint, n int, bits binary")
@@ -349,10 +364,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     own = grouped.filter("nb < 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), F.col("na").alias("n"), "bits")
     star = grouped.filter("nb >= 0").drop("bits")
-    bits = own.filter("bits is not null").select("doc_id", "bits").dropDuplicates(["doc_id"])
+    bits = own.filter("bits is not null").select("doc_id", "bits")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) that link."""
+        """Pairs (a, b, na, nb), a table, that link."""
+        # Both sides of each join are exchanges as they come, which Spark can split for a hot pivot.
         near = (
             pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
             .join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b")
@@ -406,7 +422,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
-    return named.union(nameless.mapInArrow(_nameless, "doc_id bigint, n_shingles bigint, component_id bigint"))
+    return settled(named, "components", since).union(nameless.mapInArrow(_nameless, "doc_id bigint, n_shingles bigint, component_id bigint"))
 
 
 def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
