@@ -55,13 +55,24 @@ def decay(age: Column, kernel: str, half_life: float = 30.0, exponent: float = 0
 
 def sanitised(text: Column, n: int) -> Column:
     """One line without pipes, at most ``n`` characters."""
-    return F.left(F.trim(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("/")), r"\s+", " ")), F.lit(n))
+    return F.left(F.trim(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("/")), r"(?U)\s+", " ")), F.lit(n))
 
 
 def safe_locator(locator: Column) -> Column:
-    """A relative path without parent steps, drive or control characters; null otherwise."""
-    bad = locator.rlike(r"^(/|\\|~|[A-Za-z]:)") | locator.rlike(r"(^|[/\\])\.\.([/\\]|$)") | locator.rlike(r"[\x00-\x1f|]") | (F.trim(locator) == "")
-    return F.when(~bad, locator)
+    """A relative path with forward slashes, without parent steps, home, drive or NUL; null otherwise."""
+    text = F.replace(F.regexp_replace(locator, r"^\s+|\s+$", ""), F.lit("\\"), F.lit("/"))
+    bad = text.rlike(r"^(/|~|[A-Za-z]:/|$)") | text.rlike(r"(^|/)\.\.(/|$)") | text.rlike(r"\x00")
+    return F.when(~bad, text)
+
+
+def entry_locator(locator: Column, store: Column) -> Column:
+    """An entry's own locator if it is safe; where it has none, its store, unless that is one of the two always resident files."""
+    return F.when(locator.isNotNull(), safe_locator(locator)).when(~store.isin("MEMORY.md", "USER.md"), safe_locator(store))
+
+
+def entry_scope(*names: Column) -> Column:
+    """The first of scope, project and profile that says anything, as a field of 80 characters."""
+    return F.coalesce(*(F.when(F.trim(n) != "", sanitised(n, 80)) for n in names), F.lit("profile-local"))
 
 
 def locator_topic(locator: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,6 +32,17 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), _pieces)))
 
 
+def terms_of(text: str) -> set[str]:
+    """``terms`` of one text in Python."""
+    out = set()
+    for run in re.findall(TERM, text):
+        if re.fullmatch(CJK_RUN, run):
+            out |= {run} if len(run) == 1 else {run[i : i + 2] for i in range(len(run) - 1)}
+        else:
+            out.add(run.lower())
+    return out
+
+
 def content_terms(text: Column) -> Column:
     return F.array_except(terms(text), F.array(*map(F.lit, STOP)))
 

@@ -38,73 +38,85 @@ def focus_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.withColumn("focus", F.when(F.size(focus) > 0, focus).otherwise(F.col("content"))).drop("speaker_terms")
 
 
-def _places(tokens: str, col: int, weight: float) -> Column:
-    """(col, weight, pos, token) of every token of an array column."""
-    return F.transform(tokens, lambda t, p: F.struct(F.lit(col).alias("col"), F.lit(float(weight)).alias("weight"), p.alias("pos"), t.alias("token")))
-
-
-def bm25(
-    docs: DataFrame,
-    queries: DataFrame,
-    columns: list[tuple[str, float]],
-    terms_col: str,
-    k: int = 100,
-    stem: bool = False,
-    idf_scope: str = "corpus",
-) -> DataFrame:
-    """(query_id, rowid, id, score, rank) of the ``k`` best documents of each query's scope.
-
-    ``queries`` has (query_id, scope, terms): each term is a phrase of one or more tokens. A phrase's document frequency
-    counts rows with it in any column, a row's length all its tokens; ``idf_scope`` is ``corpus`` or ``scope``. Only tokens
-    that queries ask for become postings: the join with query tokens comes before any grouping.
+#: Distinct tokens that may stand in a plan as a set, and asked (query, term) rows that may be broadcast.
+FEW_TOKENS, FEW_ASKED = 20_000, 500_000
+
+
+def bm25_channels(
+    docs: DataFrame, queries: DataFrame, columns: list[str], channels: dict[str, tuple[str, list[float]]], k: int = 100, stem: bool = False, idf_scope: str = "corpus"
+) -> DataFrame:
+    """(channel, query_id, rowid, id, score, rank): the ``k`` best documents of each query's scope, by channel.
+
+    A channel is (column of ``queries`` with its terms, weight of each of ``columns``); ``queries`` has (query_id, scope, terms).
+    Each term is a phrase of one or more tokens. A phrase's document frequency counts rows with it in any column, a row's length
+    all its tokens; ``idf_scope`` is ``corpus`` or ``scope``.
+
+    All channels share one pass over the texts. Only tokens that some query asks for leave the arrays of a row; they move once,
+    by row, so places, frequencies and scores of a row are summed where they are. Sets beyond FEW_TOKENS and FEW_ASKED are
+    joined by shuffles instead.
     """
     group = [] if idf_scope == "corpus" else ["scope"]
-    sized = stemmed(docs.select("rowid", "id", "scope", *(X.word_tokens(F.col(c)).alias(f"__{i}") for i, (c, _) in enumerate(columns))), stem)
-    lengths = sized.select("rowid", "id", "scope", sum((F.size(f"__{i}") for i in range(len(columns))), F.lit(0)).alias("length"))
-    stats = lengths.groupBy(*group).agg(F.count("*").alias("n_rows"), F.avg("length").alias("avg_length"))
-    asked = queries.select("query_id", F.col("scope").alias("q_scope"), F.explode(terms_col).alias("phrase"))
+    n_columns = range(len(columns))
+    tokens = docs.select("rowid", "id", "scope", *(X.word_tokens(F.col(c)).alias(f"__{i}") for i, c in enumerate(columns)))
+    tokens = tokens.withColumn("length", sum((F.size(f"__{i}") for i in n_columns), F.lit(0)))
+    stats = tokens.groupBy(*group).agg(F.count("*").alias("n_rows"), F.avg("length").alias("avg_length"))
+    asked = None
+    for name, (terms_col, _) in channels.items():
+        one = queries.select(F.lit(name).alias("channel"), "query_id", F.col("scope").alias("q_scope"), F.explode(terms_col).alias("phrase"))
+        asked = one if asked is None else asked.union(one)
     parts = stemmed(asked.select("phrase").distinct().select("phrase", X.word_tokens(F.col("phrase")).alias("__p")), stem)
     parts = parts.select("phrase", F.size("__p").alias("n_parts"), F.posexplode("__p").alias("part", "token"))
-    # One pass over the texts: a posting carries what scoring needs of its row.
-    places = [_places(f"__{i}", i, w) for i, (_, w) in enumerate(columns)]
-    postings = sized.select("rowid", "id", "scope", sum((F.size(f"__{i}") for i in range(len(columns))), F.lit(0)).alias("length"), F.explode(F.concat(*places)).alias("t"))
-    postings = postings.select("rowid", "id", "scope", "length", "t.col", "t.weight", "t.pos", "t.token")
-    row = ["phrase", "rowid", "id", "scope", "length"]
+    known = parts.groupBy("token").agg(F.max("n_parts").alias("n")).limit(FEW_TOKENS + 1).collect()
+    few = len(known) <= FEW_TOKENS and asked.count() <= FEW_ASKED
+    small = F.broadcast if few else (lambda df: df)
+
+    def places(i: int) -> Column:
+        """(col, pos, token) of the asked tokens of a column; places count only where some term has several tokens."""
+        wanted = lambda t: t.isin([r.token for r in known]) if few else F.lit(True)
+        if few and all(r.n == 1 for r in known):
+            return F.transform(F.filter(f"__{i}", wanted), lambda t: F.struct(F.lit(i).alias("col"), F.lit(0).alias("pos"), t.alias("token")))
+        every = F.transform(f"__{i}", lambda t, p: F.when(wanted(t), F.struct(F.lit(i).alias("col"), p.alias("pos"), t.alias("token"))))
+        return F.filter(every, lambda x: x.isNotNull())
+
+    row = ["rowid", "id", "scope", "length"]
+    posts = stemmed(tokens, stem).select(*row, F.explode(F.concat(*map(places, n_columns))).alias("t")).select(*row, "t.col", "t.pos", "t.token").repartition("rowid")
     # A word counts wherever it stands; a phrase where all its parts stand one after another.
     start = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("part"))
-    starts = (
-        postings.join(parts, "token")
-        .groupBy(*row, "col", "weight", "n_parts", start.alias("start"))
-        .agg(F.count("*").alias("n"))
-        .filter((F.col("n_parts") == 1) | (F.col("n") == F.col("n_parts")))
-        .withColumn("weight", F.when(F.col("n_parts") == 1, F.col("weight") * F.col("n")).otherwise(F.col("weight")))
-    )
-    tf = starts.groupBy(*row).agg(F.sum("weight").alias("f"))
-    df = tf.groupBy("phrase", *group).agg(F.count("*").alias("df"))
-    seen = df.join(stats, group) if group else df.crossJoin(stats)  # one row of totals
+    starts = posts.join(small(parts), "token").groupBy(*row, "phrase", "col", "n_parts", start.alias("start")).agg(F.count("*").alias("n"))
+    starts = starts.filter((F.col("n_parts") == 1) | (F.col("n") == F.col("n_parts"))).withColumn("n", F.when(F.col("n_parts") == 1, F.col("n")).otherwise(1))
+    tf = starts.groupBy(*row, "phrase").agg(*(F.sum(F.when(F.col("col") == i, F.col("n")).otherwise(0)).alias(f"f{i}") for i in n_columns))
+    # The most frequent use keeps this branch's columns those of the other, so both read one exchange.
+    df = tf.groupBy("phrase", *group).agg(F.count("*").alias("df"), F.max(sum(F.col(f"f{i}") for i in n_columns)).alias("most")).filter("most > 0")
+    seen = df.join(F.broadcast(stats), group) if group else df.crossJoin(F.broadcast(stats))  # a row of totals, or one a scope
     ratio = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = seen.select("phrase", *group, "avg_length", F.when(ratio > 0, ratio).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_length")))
+    f = F.lit(None).cast("double")
+    for name, (_, weights) in channels.items():
+        f = F.when(F.col("channel") == name, sum(F.lit(float(w)) * F.col(f"f{i}") for i, w in enumerate(weights))).otherwise(f)
+    part = F.col("idf") * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_length")))
     scored = (
-        tf.join(idf, ["phrase", *group])
-        .join(asked, "phrase")
+        tf.join(small(idf), ["phrase", *group])
+        .join(small(asked), "phrase")
         .filter("scope = q_scope")
-        .groupBy("query_id", "rowid", "id")
+        .groupBy("channel", "query_id", "rowid", "id")
         .agg(F.round(F.sum(part), DIGITS).alias("score"))
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("channel", "query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, columns: list[tuple[str, float]], terms_col: str, k: int = 100, stem: bool = False, idf_scope: str = "corpus") -> DataFrame:
+    """(query_id, rowid, id, score, rank): ``bm25_channels`` of one channel; ``columns`` are (name, weight)."""
+    return bm25_channels(docs, queries, [c for c, _ in columns], {"": (terms_col, [w for _, w in columns])}, k, stem, idf_scope).drop("channel")
+
+
 def channels(docs: DataFrame, queries: DataFrame, mode: str, k: int = 100, stem: bool = True) -> DataFrame:
     """(query_id, channel, rowid, id, rank) of the lexical channels of a mode: literal one, sparse and hybrid two, dense none."""
     q = focus_terms(queries, docs)
     if mode == "literal":
-        return bm25(docs.withColumn("meta", F.concat_ws(" ", "speaker", "timestamp")), q, [("text", 1.0), ("meta", 0.0)], "tokens", k).withColumn("channel", F.lit("literal"))
+        return bm25_channels(docs.withColumn("meta", F.concat_ws(" ", "speaker", "timestamp")), q, ["text", "meta"], {"literal": ("tokens", [1.0, 0.0])}, k)
     rich = context_columns(docs).withColumn("body", X.index_text(F.col("text")))
-    first = bm25(rich, q, [("body", 1.0), ("context", 0.0), ("meta", 0.02)], "focus", k, stem).withColumn("channel", F.lit("focus"))
-    second = bm25(rich, q, [("body", 1.0), ("context", 0.12), ("meta", 0.05)], "content", k, stem).withColumn("channel", F.lit("context"))
-    return first.unionByName(second)
+    return bm25_channels(rich, q, ["body", "context", "meta"], {"focus": ("focus", [1.0, 0.0, 0.02]), "context": ("content", [1.0, 0.12, 0.05])}, k, stem)
 
 
 def stemmed(df: DataFrame, on: bool = True) -> DataFrame:

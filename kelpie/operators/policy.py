@@ -65,19 +65,37 @@ def greedy_plan(entries: DataFrame, budget: int, group: list[str] | None = None)
     )
 
 
-def audit(entries: DataFrame, scores: DataFrame, now: Column, demote_below: float = 0.6, demote_after: int = 21, archive_below: float = 0.3, archive_after: int = 90) -> DataFrame:
-    """A class for each entry: excluded, pinned_low_activity, demote, archive, review_due or keep, with its rank by activity."""
-    e = entries.join(scores, entries["id"] == scores["entry_id"], "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
-    age = F.datediff(now, F.col("created"))
+def audit(
+    entries: DataFrame, scores: DataFrame, now: Column, last_hits: DataFrame, active: DataFrame,
+    demote_below: float = 0.6, demote_after: int = 21, archive_below: float = 0.3, archive_after: int = 90,
+) -> DataFrame:
+    """Proposals for each entry: class, reason, review_due, and its places in the ranking and in the order of demotion.
+
+    ``last_hits`` (id, last_hit) has the days of last use, ``active`` (store, source_hash) what the stores hold now. An entry that
+    is not current, or of T0 with a source that its store no longer holds, is ``excluded``. Of T0, what scores low for its age is
+    to ``demote``, or ``pinned_low_activity``; of T1, what scores low, is idle since its last use and not pinned, to ``archive``.
+    T0 is ranked by activity; demotion goes from cheap to dear, then by activity.
+    """
+    held = active.select(F.col("store").alias("a_store"), F.col("source_hash").alias("a_hash"), F.lit(True).alias("held")).distinct()
+    e = entries.join(scores, entries["id"] == scores["entry_id"], "left").join(last_hits.select(F.col("id").alias("hit_id"), "last_hit"), F.col("id") == F.col("hit_id"), "left")
+    e = e.join(held, (F.col("store") == F.col("a_store")) & (F.col("source_hash") == F.col("a_hash")), "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
+    age, idle = F.datediff(now, F.col("created")), F.datediff(now, F.coalesce("last_hit", "created"))
+    top = F.col("tier") == "T0"
+    reason = F.when(~current(now), "status_or_validity").when(top & F.col("held").isNull(), "source_changed_or_removed")
     kind = (
-        F.when(F.col("status") != "active", "excluded")
-        .when(F.col("pinned") & (F.col("activity") < demote_below), "pinned_low_activity")
-        .when((F.col("tier") == "T0") & (F.col("activity") < demote_below) & (age > demote_after), "demote")
-        .when((F.col("tier") == "T1") & (F.col("activity") < archive_below) & (age > archive_after), "archive")
+        F.when(reason.isNotNull(), "excluded")
+        .when(top & (F.col("activity") < demote_below) & (age > demote_after), F.when(F.col("pinned"), "pinned_low_activity").otherwise("demote"))
+        .when((F.col("tier") == "T1") & (F.col("activity") < archive_below) & (idle > archive_after) & ~F.col("pinned"), "archive")
         .otherwise("keep")
     )
-    w = Window.orderBy(F.desc("activity"), "id")
-    return e.select("id", "tier", kind.alias("class"), F.round("activity", 9).alias("activity"), age.alias("age")).withColumn("rank", F.row_number().over(w))
+    due = reason.isNull() & F.coalesce(F.col("next_review") <= now, F.lit(False))
+    out = e.select("id", "tier", "cost_class", kind.alias("class"), reason.alias("reason"), due.alias("review_due"), "activity", age.alias("age"), idle.alias("idle"))
+    ranked = top & F.col("reason").isNull()
+    rank = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc("activity"), "id"))
+    demoted = F.col("class") == "demote"
+    cost = F.array_position(F.array(F.lit("low"), F.lit("med"), F.lit("high")), F.col("cost_class"))
+    nth = F.row_number().over(Window.partitionBy(demoted).orderBy(cost, "activity", "id"))
+    return out.withColumn("rank", F.when(ranked, rank)).withColumn("demote_rank", F.when(demoted, nth)).drop("cost_class")
 
 
 def duplicate_pairs(texts: DataFrame, least: float = 0.55) -> DataFrame:
@@ -93,15 +111,23 @@ def duplicate_pairs(texts: DataFrame, least: float = 0.55) -> DataFrame:
     return near.withColumn("ratio", ratio("t_a", "t_b")).filter(F.col("ratio") > least).drop("t_a", "t_b")
 
 
-def directory(entries: DataFrame, latest: DataFrame) -> DataFrame:
-    """Current entries by (scope, locator): ids, count, latest day, whether pinned, highest class, topic and directory line."""
-    cost = F.array_position(F.array(F.lit("low"), F.lit("med"), F.lit("high")), F.col("cost_class"))
-    e = entries.filter("status = 'active'").join(latest, "id", "left").withColumn("day", F.greatest("created", F.coalesce("last_use", "created")))
-    g = e.groupBy("scope", "locator").agg(
-        F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"), F.max("day").alias("latest"), F.bool_or("pinned").alias("pinned"), F.max(cost).cast("int").alias("cost")
-    )
+def directory(entries: DataFrame, last_events: DataFrame, now: Column) -> DataFrame:
+    """Current T1 entries by (scope, locator): ids, count, latest day and its revision, whether pinned, highest class, topic and line.
+
+    ``last_events`` (id, last_use) has each entry's latest event of any type. Entries whose locator is not safe have no line. Of
+    entries equally late, the last by ``ordinal`` (else by id) gives the revision.
+    """
+    cost = F.array_position(F.array(F.lit("low"), F.lit("med"), F.lit("high")), F.coalesce("cost_class", F.lit("med")))
+    e = entries.withColumn("where", S.entry_locator(F.col("locator"), F.col("store"))).filter((F.col("tier") == "T1") & current(now) & F.col("where").isNotNull())
+    e = e.join(last_events, "id", "left").withColumn("day", F.greatest("created", "valid_from", "last_use"))
+    order = F.col("ordinal") if "ordinal" in entries.columns else F.col("id")
+    g = e.groupBy(S.entry_scope(F.col("scope")).alias("scope"), F.col("where").alias("locator")).agg(
+        F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"), F.max("day").alias("latest"), F.max_by(F.left(F.nullif("source_hash", F.lit("")), F.lit(12)), F.struct("day", order)).alias("revision"),
+        F.bool_or("pinned").alias("pinned"), F.max(cost).cast("int").alias("cost"),
+    )
+    g = g.withColumn("revision", F.coalesce("revision", F.lit("-")))
     topic = S.locator_topic(F.col("locator"))
-    line = F.concat_ws(" | ", topic, "scope", F.concat(F.col("n"), F.lit(" current")), F.date_format("latest", "yyyy-MM-dd"), "locator")
+    line = F.concat_ws(" | ", topic, "scope", F.concat(F.col("n"), F.lit(" current")), F.date_format("latest", "yyyy-MM-dd"), F.concat(F.lit("rev:"), "revision"), "locator")
     return g.withColumn("topic", topic).withColumn("line", line).withColumn("units", F.octet_length("line") + 1)
 
 

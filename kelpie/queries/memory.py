@@ -132,17 +132,31 @@ def activity_lru_lfu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lru.select("entry_id", F.round("activity", 9).alias("lru")).join(lfu.select("entry_id", F.round("activity", 6).alias("lfu")), "entry_id")
 
 
-ENTRIES = """entries AS (SELECT 'item' || k AS id, CASE WHEN k % 4 = 0 THEN 'T0' ELSE 'T1' END AS tier, 'warm/' || (k % 10) || '/topic_' || (k % 25) || '.md' AS locator, 'scope' || (k % 2) AS scope,
+ENTRIES = """entries AS (SELECT 'item' || k AS id, CASE WHEN k % 4 = 0 THEN 'T0' ELSE 'T1' END AS tier,
+    CASE WHEN k % 29 = 9 THEN '../outside.md' WHEN k % 31 = 7 THEN '/etc/absolute.md' ELSE 'warm/' || (k % 10) || '/topic_' || (k % 25) || '.md' END AS locator, 'scope' || (k % 2) AS scope,
     ['low', 'med', 'high'][k % 3 + 1] AS cost_class, k % 23 = 0 AS pinned, CASE WHEN k % 17 = 5 THEN 'invalid' ELSE 'active' END AS status, 5 + k % 13 AS resident_units,
-    CASE WHEN k % 3 = 0 THEN (k % 50)::DOUBLE END AS miss_penalty_tokens, DATE '2023-10-01' + (k % 60)::INTEGER AS created FROM (SELECT DISTINCT (props->>'$.k')::BIGINT AS k FROM events))"""
-
-
-@query(f"""WITH {USES}, {ACT}, {ENTRIES}, e AS (SELECT id, tier, pinned, status, coalesce(activity, 0) AS a, date_diff('day', created, DATE '{NOW}') AS age FROM entries LEFT JOIN act ON id = entry_id)
-    SELECT id, tier, CASE WHEN status <> 'active' THEN 'excluded' WHEN pinned AND a < 12 THEN 'pinned_low_activity' WHEN tier = 'T0' AND a < 12 AND age > 21 THEN 'demote'
-           WHEN tier = 'T1' AND a < 10 AND age > 90 THEN 'archive' ELSE 'keep' END AS class, round(a, 6) AS activity, age::INTEGER AS age FROM e""")
+    CASE WHEN k % 3 = 0 THEN (k % 50)::DOUBLE END AS miss_penalty_tokens, DATE '2023-10-01' + (k % 60)::INTEGER AS created,
+    CASE WHEN k % 11 = 3 THEN DATE '2024-06-01' WHEN k % 11 = 4 THEN DATE '2023-12-24' END AS valid_from, CASE WHEN k % 13 = 4 THEN DATE '2024-01-15' END AS valid_until,
+    CASE WHEN k % 7 = 2 THEN DATE '2024-02-01' WHEN k % 7 = 3 THEN DATE '2024-12-01' END AS next_review, CASE WHEN k % 2 = 0 THEN 'MEMORY.md' ELSE 'USER.md' END AS store,
+    sha256(CASE WHEN k % 2 = 0 THEN 'MEMORY.md' ELSE 'USER.md' END || chr(0) || 'text ' || k) AS source_hash
+    FROM (SELECT DISTINCT (props->>'$.k')::BIGINT AS k FROM events))"""
+CURRENT = f"(status = 'active' AND coalesce(valid_from <= DATE '{NOW}', true) AND coalesce(DATE '{NOW}' < valid_until, true))"
+
+
+@query(f"""WITH {USES}, {ACT}, {ENTRIES}, hits AS (SELECT 'item' || (props->>'$.k') AS hit_id, max(ts::DATE) AS last_hit FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
+    e AS (SELECT *, coalesce(activity, 0) AS a, date_diff('day', created, DATE '{NOW}') AS age, date_diff('day', coalesce(last_hit, created), DATE '{NOW}') AS idle,
+                 CASE WHEN NOT {CURRENT} THEN 'status_or_validity' WHEN tier = 'T0' AND starts_with(source_hash, '0') THEN 'source_changed_or_removed' END AS reason
+          FROM entries LEFT JOIN act ON id = entry_id LEFT JOIN hits ON id = hit_id),
+    c AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN tier = 'T0' THEN CASE WHEN a >= 12 OR age <= 21 THEN 'keep' WHEN pinned THEN 'pinned_low_activity' ELSE 'demote' END
+                         WHEN a < 10 AND idle > 2 AND NOT pinned THEN 'archive' ELSE 'keep' END AS class FROM e)
+    SELECT id, tier, class, reason, reason IS NULL AND coalesce(next_review <= DATE '{NOW}', false) AS review_due, round(a, 6) AS activity, age::INTEGER AS age, idle::INTEGER AS idle,
+           CASE WHEN tier = 'T0' AND reason IS NULL THEN row_number() OVER (PARTITION BY tier = 'T0' AND reason IS NULL ORDER BY a DESC, id) END::INTEGER AS rank,
+           CASE WHEN class = 'demote' THEN row_number() OVER (PARTITION BY class = 'demote' ORDER BY list_position(['low', 'med', 'high'], cost_class), a, id) END::INTEGER AS demote_rank FROM c""")
 def audit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = policy.audit(D.entries(spark, sf_dir), _activity(spark, sf_dir), F.lit(NOW).cast("date"), demote_below=12.0, archive_below=10.0)
-    return a.select("id", "tier", "class", F.round("activity", 6).alias("activity"), "age")
+    e, uses = D.entries(spark, sf_dir), D.use_events(spark, sf_dir)
+    hits = uses.filter("type = 'hit'").groupBy(F.col("entry_id").alias("id")).agg(F.max("t").alias("last_hit"))
+    a = policy.audit(e, _activity(spark, sf_dir), F.lit(NOW).cast("date"), hits, D.active_sources(e), demote_below=12.0, archive_below=10.0, archive_after=2)
+    return a.withColumn("activity", F.round("activity", 6))
 
 
 @query(f"""WITH {USES}, {ACT}, {ENTRIES}, e AS (SELECT id, pinned, resident_units AS u, activity * CASE cost_class WHEN 'low' THEN 1 WHEN 'med' THEN 1.25 ELSE 1.5 END AS s FROM entries JOIN act ON id = entry_id WHERE status = 'active'),
@@ -176,7 +190,7 @@ def residency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knapsack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = _rows(spark, sf_dir)
-    return residency.shadow_plan(rows.withColumn("net", F.col("net") + F.col("carry")), 400, n)
+    return residency.shadow_plan(rows, 400, n)
 
 
 @query()
@@ -185,21 +199,30 @@ def replay_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.replay(uses, D.entries(spark, sf_dir).filter("status = 'active'"), 300)
 
 
-@query(f"""WITH {USES}, {ENTRIES}, last AS (SELECT entry_id, max(day) AS day FROM uses GROUP BY ALL),
-    g AS (SELECT scope, locator, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n, max(greatest(created, coalesce(day, created))) AS latest, bool_or(pinned) AS pinned,
-                 max(CASE cost_class WHEN 'low' THEN 1 WHEN 'med' THEN 2 ELSE 3 END)::INTEGER AS cost FROM entries LEFT JOIN last ON id = entry_id WHERE status = 'active' GROUP BY ALL),
-    l AS (SELECT *, replace(regexp_extract(locator, '([^/]*)\\.md$', 1), '_', ' ') AS topic FROM g)
-    SELECT scope, locator, ids, n, latest, pinned, cost, topic || ' | ' || scope || ' | ' || n || ' current | ' || strftime(latest, '%Y-%m-%d') || ' | ' || locator AS line FROM l""")
-def warm_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+DIRECTORY = f"""last AS (SELECT entry_id, max(day) AS last_use FROM uses GROUP BY ALL),
+    current AS (SELECT *, greatest(created, valid_from, last_use) AS day FROM entries LEFT JOIN last ON id = entry_id
+                WHERE tier = 'T1' AND {CURRENT} AND NOT starts_with(locator, '/') AND NOT starts_with(locator, '../')),
+    g AS (SELECT scope, locator, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n, max(day) AS latest, arg_max(substr(source_hash, 1, 12), row(day, id)) AS revision, bool_or(pinned) AS pinned,
+                 max(list_position(['low', 'med', 'high'], cost_class))::INTEGER AS cost FROM current GROUP BY ALL),
+    l AS (SELECT *, replace(regexp_extract(locator, '([^/]*)\\.md$', 1), '_', ' ') AS topic FROM g),
+    lines AS (SELECT *, topic || ' | ' || scope || ' | ' || n || ' current | ' || strftime(latest, '%Y-%m-%d') || ' | rev:' || revision || ' | ' || locator AS line FROM l)"""
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = D.use_events(spark, sf_dir).groupBy(F.col("entry_id").alias("id")).agg(F.max("t").alias("last_use"))
-    d = policy.directory(D.entries(spark, sf_dir), last)
-    return d.select("scope", "locator", F.array_join("ids", ",").alias("ids"), "n", "latest", "pinned", "cost", "line")
+    return policy.directory(D.entries(spark, sf_dir), last, F.lit(NOW).cast("date"))
 
 
-@query()
+@query(f"WITH {USES}, {ENTRIES}, {DIRECTORY} SELECT scope, locator, ids, n, latest, revision, pinned, cost, line FROM lines")
+def warm_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _directory(spark, sf_dir).select("scope", "locator", F.array_join("ids", ",").alias("ids"), "n", "latest", "revision", "pinned", "cost", "line")
+
+
+@query(f"""WITH {USES}, {ENTRIES}, {DIRECTORY}, r AS (SELECT list_reduce(list({{'u': strlen(line)::BIGINT + 1, 'k': [scope || ' ' || locator]}} ORDER BY pinned DESC, cost DESC, n DESC, topic, locator),
+        lambda a, x: CASE WHEN a.u + x.u <= 900 THEN {{'u': a.u + x.u, 'k': a.k || x.k}} ELSE a END, {{'u': 0::BIGINT, 'k': []::VARCHAR[]}}) AS r FROM lines)
+    SELECT scope, locator, strlen(line)::INTEGER + 1 AS units, list_contains((SELECT r.k FROM r), scope || ' ' || locator) AS kept FROM lines""")
 def directory_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = D.use_events(spark, sf_dir).groupBy(F.col("entry_id").alias("id")).agg(F.max("t").alias("last_use"))
-    return policy.pack_directory(policy.directory(D.entries(spark, sf_dir), last), 600).select("scope", "locator", "units", "kept")
+    return policy.pack_directory(_directory(spark, sf_dir), 900).select("scope", "locator", "units", "kept")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,20 +231,18 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", "session", F.col("speaker").alias("role"), "text", F.timestamp_seconds(seconds).alias("ts"))
 
 
-def _observed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Observations of the 90 days before a fixed time, or, if ``whole``, of a window from the table's first stamp to its last."""
-    records, now, days = _records(spark, sf_dir), F.lit("2024-04-10 12:00:00").cast("timestamp"), 90
-    if whole:
-        ends = records.agg(F.max("ts").alias("now"), (F.date_diff(F.max("ts"), F.min("ts")) + 1).alias("days")).first()  # two numbers
-        now, days = F.lit(ends.now), ends.days or 0
-    records = observe.windowed(records, now, days)
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations in a window from the table's first stamp to its last."""
+    records = _records(spark, sf_dir)
+    ends = records.agg(F.max("ts").alias("now"), (F.date_diff(F.max("ts"), F.min("ts")) + 1).alias("days")).first()  # two numbers
+    records = observe.windowed(records, F.lit(ends.now), ends.days or 0)
     words = ["the", "of", "la", "der", "que"]
     anchors = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', '1', array('{w}'), 1, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP))" for w in words) + " AS a(anchor, version, aliases, min_anchors, valid_from, valid_until)")
     return observe.scan(records, anchors)
 
 
 MENTIONS = r"""rec AS (SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS session, text, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 86400 + turn * 60) AS ts FROM conversations WHERE role = 'assistant'),
-    win AS (SELECT *, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s*>')), chr(10)) AS visible FROM rec WHERE ts <= TIMESTAMP '2024-04-10 12:00:00' AND ts >= TIMESTAMP '2024-04-10 12:00:00' - INTERVAL 90 DAY),
+    win AS (SELECT *, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s*>')), chr(10)) AS visible FROM rec),
     hit AS (SELECT anchor, id, session, ts::DATE AS day, visible, ts FROM win, (SELECT unnest(['the', 'of', 'la', 'der', 'que']) AS anchor) WHERE regexp_matches(visible, '(?:^|[^\p{L}\p{N}_])' || anchor || '(?:$|[^\p{L}\p{N}_])', 'i')),
     obs AS (SELECT anchor, id, session, day FROM hit QUALIFY row_number() OVER (PARTITION BY anchor, visible, ts ORDER BY id) = 1)"""
 
@@ -237,9 +258,6 @@ def mention_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.summary(_observed(spark, sf_dir)).drop("version")
 
 
-ALL_MENTIONS = MENTIONS.replace(" WHERE ts <= TIMESTAMP '2024-04-10 12:00:00' AND ts >= TIMESTAMP '2024-04-10 12:00:00' - INTERVAL 90 DAY", "")
-
-
 @query()
 def mention_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in which words of one language's group of aliases stand close together, at any place."""
@@ -248,17 +266,6 @@ def mention_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.scan(records, anchors).select("anchor", "id", "session", "day", "n_aliases")
 
 
-@query(f"WITH {ALL_MENTIONS} SELECT anchor, id, session, day FROM obs")
-def mention_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observed(spark, sf_dir, whole=True).select("anchor", "id", "session", "day")
-
-
-@query(f"""WITH {ALL_MENTIONS} SELECT anchor, count(*) AS mentions, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days, count(DISTINCT session) >= 2 AND count(DISTINCT day) >= 2 AS review_candidate
-    FROM obs GROUP BY ALL""")
-def mention_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.summary(_observed(spark, sf_dir, whole=True)).drop("version")
-
-
 @query()
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.duplicate_pairs(D.entries(spark, sf_dir).select(F.col("scope").alias("store"), "id", F.concat_ws(" ", "id", "locator", "cost_class").alias("text")), 0.9).withColumn("ratio", F.round("ratio", 9))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,18 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-def also_whole(queries: dict, sql: dict):
-    """Registers a query a second time, as ``..._whole``: its SQL and its rows ask with whole passages."""
-
-    def add(f):
-        name = f"{f.__name__}_whole"
-        queries[name] = partial(f, whole=True)
-        sql[name] = sql[f.__name__].replace("substr(text, 1, 200)", "text")
-        return f
-
-    return add
-
-
 TURNS = """turns AS (
     SELECT conv_id * 100000 + turn AS rowid, conv_id || ':' || turn AS id, 'conv' AS scope, conv_id::VARCHAR AS session, turn AS ord,
            coalesce(text, '') AS text, role AS speaker, '' AS "timestamp", 'conversation:' || conv_id AS source FROM conversations)"""
@@ -91,30 +77,27 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.articles(spark, sf_dir).withColumn("scope", F.lit("corpus")).withColumn("meta", F.concat(F.col("speaker"), F.lit(" "), F.col("timestamp")))
 
 
-def _asked(spark: SparkSession, sf_dir: str, scope: str, whole: bool = False) -> DataFrame:
-    terms = X.content_terms(F.col("query"))
-    return D.questions(spark, sf_dir, whole).withColumn("scope", F.lit(scope)).withColumn("tokens", terms if whole else F.slice(terms, 1, 64))
+def _asked(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
+    return D.questions(spark, sf_dir).withColumn("scope", F.lit(scope)).withColumn("tokens", X.content_terms(F.col("query")))
 
 
 CORPUS = """corpus AS (SELECT doc_id AS rowid, doc_id::VARCHAR AS id, coalesce(text, '') AS text, source || ' ' AS meta FROM documents)"""
-ASKED = f"""raw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(substr(text, 1, 200), '{TERM}')) AS term FROM benchmark),
+ASKED = f"""raw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM benchmark),
     queries AS (SELECT DISTINCT query_id, lower(term) AS term FROM raw WHERE NOT list_contains({STOP}, lower(term)))"""
 
 
-@also_whole(QUERIES, SQL)
 @query(f"WITH {CORPUS}, {ASKED}, {bm25_sql('corpus', 'queries', {'text': 1.0, 'meta': 0.0}, 10)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked")
-def bm25_literal(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus", whole), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
+def bm25_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus"), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@also_whole(QUERIES, SQL)
 @query(f"""WITH {TURNS}, rich AS (SELECT *, concat_ws(' ', lag(text) OVER w, lead(text) OVER w) AS context, speaker || ' ' || "timestamp" AS meta
         FROM turns WINDOW w AS (PARTITION BY scope, session ORDER BY ord, id)), {ASKED},
     {bm25_sql('rich', 'queries', {'text': 1.0, 'context': 0.12, 'meta': 0.05}, 20)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked""")
-def bm25_weighted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rich = lexical.context_columns(D.turns(spark, sf_dir))
-    found = lexical.bm25(rich, _asked(spark, sf_dir, "conv", whole), [("text", 1.0), ("context", 0.12), ("meta", 0.05)], "tokens", 20)
+    found = lexical.bm25(rich, _asked(spark, sf_dir, "conv"), [("text", 1.0), ("context", 0.12), ("meta", 0.05)], "tokens", 20)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -204,7 +187,7 @@ def gold_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recall_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, q = D.turns(spark, sf_dir), D.questions(spark, sf_dir, whole=True).withColumn("scope", F.lit("conv"))
+    t, q = D.turns(spark, sf_dir), D.questions(spark, sf_dir).withColumn("scope", F.lit("conv"))
     return R.recall(t, q, "sparse", 600, reach=1).select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
 
 

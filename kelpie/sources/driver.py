@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 # How event types of the driver's table stand for kinds of telemetry.
 KIND_OF = {"view": "planned_retrieval", "click": "resident_hit", "purchase": "resident_miss", "error": "hard_miss", "signup": "prefetch"}
 
@@ -47,11 +49,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Benchmark passages as queries: each, or its first 200 characters unless ``whole``, asks for the documents that hold it."""
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as queries: each asks for the documents that hold it."""
     b = table(spark, sf_dir, "benchmark")
-    query = F.col("text") if whole else F.substring("text", 1, 200)
-    return b.select(F.col("item_id").alias("query_id"), query.alias("query"), F.col("text").alias("passage"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("passage"))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +91,19 @@ def use_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries: one for each item of the events, its class, units and state by rule from its number."""
+    """Index entries: one for each item of the events, its class, units, state, validity and source by rule from its number."""
     k = F.get_json_object("props", "$.k").cast("long")
     items = table(spark, sf_dir, "events").select(k.alias("k")).distinct()
     pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("k") % n + 1).cast("int"))
+    store = F.when(F.col("k") % 2 == 0, "MEMORY.md").otherwise("USER.md")
+    source = scalars.source_hash(store, F.concat(F.lit("text "), "k"))
     return items.select(
         F.concat(F.lit("item"), "k").alias("id"),
         F.when(F.col("k") % 4 == 0, "T0").otherwise("T1").alias("tier"),
-        F.concat(F.lit("warm/"), (F.col("k") % 10).cast("string"), F.lit("/topic_"), (F.col("k") % 25).cast("string"), F.lit(".md")).alias("locator"),
+        F.when(F.col("k") % 29 == 9, "../outside.md")
+        .when(F.col("k") % 31 == 7, "/etc/absolute.md")
+        .otherwise(F.concat(F.lit("warm/"), (F.col("k") % 10).cast("string"), F.lit("/topic_"), (F.col("k") % 25).cast("string"), F.lit(".md")))
+        .alias("locator"),
         F.concat(F.lit("scope"), (F.col("k") % 2).cast("string")).alias("scope"),
         pick(3, "low", "med", "high").alias("cost_class"),
         (F.col("k") % 23 == 0).alias("pinned"),
@@ -105,4 +111,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (5 + F.col("k") % 13).alias("resident_units"),
         F.when(F.col("k") % 3 == 0, (F.col("k") % 50).cast("double")).alias("miss_penalty_tokens"),
         F.date_add(F.lit("2023-10-01").cast("date"), (F.col("k") % 60).cast("int")).alias("created"),
+        F.when(F.col("k") % 11 == 3, F.lit("2024-06-01").cast("date")).when(F.col("k") % 11 == 4, F.lit("2023-12-24").cast("date")).alias("valid_from"),
+        F.when(F.col("k") % 13 == 4, F.lit("2024-01-15").cast("date")).alias("valid_until"),
+        F.when(F.col("k") % 7 == 2, F.lit("2024-02-01").cast("date")).when(F.col("k") % 7 == 3, F.lit("2024-12-01").cast("date")).alias("next_review"),
+        store.alias("store"),
+        source.alias("source_hash"),
     )
+
+
+def active_sources(entries: DataFrame) -> DataFrame:
+    """(store, source_hash) of the texts that the stores still hold: those of most entries."""
+    return entries.filter(F.substring("source_hash", 1, 1) != "0").select("store", "source_hash")

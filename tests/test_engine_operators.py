@@ -125,12 +125,36 @@ def test_temporal_operators(spark):
     assert order("release") == "abcd"
 
 
-def test_hints_of_queries():
-    h = ranking.parse_hints
-    assert h("When was it, May 2026?")["dates"] == ["2026-05-01"] and h("When was it, May 2026?")["precisions"] == ["month"]
-    assert h("on 2025-02-29")["dates"] == [] and h("3 May 4 2024") == h(None)
-    assert h("cats AND dogs")["operands"] == ["cats", "dogs"] and h("see db-5432")["identifiers"] == ["db-5432"]
-    assert h("who wrote it after 2024")["kind"] == "WHO" and h("who wrote it after 2024")["temporal"] == "after"
+HINT_CASES = [
+    ("When was it, May 2026?", "WHEN", None, ["2026-05-01"], ["month"], [5]),
+    ("on 2025-02-29", None, None, [], [], []),
+    ("3 May 4 2024", None, None, [], [], []),
+    ("before 3rd March 2021 or 2020-05-06, in 2019", None, "before", ["2021-03-03", "2020-05-06", "2019-01-01"], ["day", "day", "year"], [3]),
+    ("31 June 2020 and 2019", None, None, [], [], []),
+    ("March 5, 2020 between MAY 2021", None, "between", ["2020-03-05", "2021-05-01"], ["day", "month"], [3, 5]),
+    ("2021-13 or 1999-12 or 12345 or 2020x", None, None, ["1999-12-01"], ["month"], []),
+    ("who came first, in June or in june", "WHO", "first", [], [], [6]),
+    ("x" * 16_001 + " 2020", None, None, [], [], []),
+    (None, None, None, [], [], []),
+    ("⟦05⟧ 2020", None, None, ["2020-01-01"], ["year"], []),
+]
+
+
+def test_hints_of_queries(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(HINT_CASES)], "i int, query string")
+    got = {r.i: r.h for r in df.select("i", ranking.hints(F.col("query")).alias("h")).collect()}
+    for i, (_, kind, temporal, dates, precisions, months) in enumerate(HINT_CASES):
+        h = got[i]
+        assert (h.kind, h.temporal, h.dates, h.precisions, h.months) == (kind, temporal, dates, precisions, months), HINT_CASES[i]
+    df = spark.createDataFrame([("cats AND dogs",), ("see db-5432 OR\nb.c/d",), ("plain",)], "query string")
+    got = [r.h for r in df.select(ranking.hints(F.col("query")).alias("h")).collect()]
+    assert [(h.joined, h.operands, h.identifiers) for h in got] == [("AND", ["cats", "dogs"], []), ("OR", ["see db-5432", "b.c/d"], ["db-5432", "b.c/d"]), (None, [], [])]
+
+
+def test_stamps(spark):
+    values = {"2024-05-06": "2024-05-06", " 2024-05-06T10:11:12Z": "2024-05-06", "2024-05-06 10:11+02:00": "2024-05-06", "on 6 May 2024, at noon": "2024-05-06", "in May 2024": None, "2024-02-30": None, "": None}
+    df = spark.createDataFrame([(k,) for k in values], "v string")
+    assert {r.v: str(r.d) if r.d else None for r in df.select("v", ranking.stamp(F.col("v")).alias("d")).collect()} == values
 
 
 def test_entities_move_up_but_membership_stays(spark):
@@ -160,6 +184,12 @@ def test_second_hop_and_edge_cap(spark):
     assert ranking.associations(from_d, d, 1).first().relation == "explicit-identifier-reference"
 
 
+def test_references_are_whole_words(spark):
+    d = docs_of(spark, ("a", "s", 0, "see b:2. Not c:21, but (D-4)", "P"), ("b:2", "t", 0, "y", "Q"), ("c:2", "u", 0, "z", "R"), ("d-4", "v", 0, "w", "S")).withColumn("source", F.lit(""))
+    seeds = spark.createDataFrame([(1, 1, 1)], "query_id bigint, rowid bigint, rank int")
+    assert sorted(r.to_id for r in ranking.association(seeds, d).collect()) == ["b:2", "d-4"]
+
+
 def test_two_scopes_share_a_budget(spark):
     rows = lambda ids, n: spark.createDataFrame([(1, k, i, "", "", "x" * n) for k, i in enumerate(ids)], "query_id bigint, rank int, id string, speaker string, timestamp string, text string")
     for budget in (150, 300, 700, 3000):

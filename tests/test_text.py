@@ -93,7 +93,7 @@ def test_kernels_halve_at_half_life_and_fall(spark):
 
 def test_locators_and_topics(spark):
     assert one(spark, S.safe_locator(F.col("t")), t="warm/a.md") == "warm/a.md"
-    for bad in ("/etc/x", "../x", "a/../b", "C:\\x", "a|b", " "):
+    for bad in ("/etc/x", "../x", "a/../b", "C:\\x", " "):
         assert one(spark, S.safe_locator(F.col("t")), t=bad) is None
     assert one(spark, S.locator_topic(F.col("t")), t="warm/my_topic-one.md") == "my topic one"
     assert one(spark, S.sanitised(F.col("t"), 5), t=" a | b\nc ddd") == "a / b"
