@@ -18,6 +18,24 @@ def current(now: Column) -> Column:
     return (F.col("status") == "active") & F.coalesce(F.col("valid_from") <= now, F.lit(True)) & F.coalesce(now < F.col("valid_until"), F.lit(True))
 
 
+def checked_uses(events: DataFrame, now: Column) -> DataFrame:
+    """Each event once, failing at run time on an unknown type, a day that is missing or after ``now``, an event id that is missing or
+    met twice in an entry, or a confirmation without evidence.
+
+    ``events`` has (entry_id, event_id, type, t); without a column ``evidence`` confirmations are not asked for it. A confirmation
+    marked ``legacy_unverified`` needs none, and counts for nothing.
+    """
+    have = events.columns
+    spoken = F.coalesce(F.trim("evidence") != "", F.lit(False)) if "evidence" in have else F.lit(True)
+    legacy = F.coalesce(F.col("legacy_unverified"), F.lit(False)) if "legacy_unverified" in have else F.lit(False)
+    bare = F.coalesce(F.col("type") == "confirm", F.lit(False)) & ~spoken
+    bad = F.coalesce(~F.col("type").isin(*S.WEIGHTS) | (F.col("t") > now), F.lit(True)) | F.coalesce(F.col("event_id") == "", F.lit(True)) | (bare & ~legacy)
+    once = events.select("entry_id", "event_id", "type", "t", bad.alias("bad"), bare.alias("bare")).groupBy("entry_id", "event_id")
+    e = once.agg(F.first("type").alias("type"), F.first("t").alias("t"), F.bool_or("bad").alias("bad"), F.bool_or("bare").alias("bare"), F.count("*").alias("n"))
+    sound = F.assert_true(~F.col("bad") & (F.col("n") == 1), F.lit("invalid activity event")).isNull()
+    return e.filter(sound & ~F.col("bare")).select("entry_id", "event_id", "type", "t")
+
+
 def daily(events: DataFrame, now: Column) -> DataFrame:
     """(entry_id, age, weight): weights by entry and day; weightless events drop out."""
     weight = S.case_of(F.col("type"), S.WEIGHTS)

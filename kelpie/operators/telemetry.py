@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from . import policy
+
 # The kinds of telemetry.
 KINDS = ["hard_miss", "planned_retrieval", "prefetch", "resident_hit", "resident_miss", "stale_resident_failure"]
 DEMAND = ["resident_hit", "resident_miss", "hard_miss"]
@@ -121,15 +124,28 @@ def budget_step(
     return t.select("*", F.when((want != "hold") & (moved == budget), "hold_at_bound").otherwise(want).alias("action"), moved.cast("long").alias("suggested_budget"))
 
 
-def prefetch_plan(item_rows: DataFrame, seeds: DataFrame, min_support: int = 2, min_confidence: float = 0.5, k: int = 20) -> DataFrame:
-    """Items that share demand tasks with seed items: support, confidence and best seed, best ``k`` first."""
+def prefetch_plan(item_rows: DataFrame, seeds: DataFrame, min_support: int = 2, min_confidence: float = 0.5, k: int | None = 20, entries: DataFrame | None = None, now: Column | None = None, tiers: tuple[str, ...] = ("T1",)) -> DataFrame:
+    """Items that share demand tasks with seed items: support, confidence and best seed, best ``k`` first.
+
+    With ``entries``, seeds are current entries that were asked for in ``min_support`` tasks at least; candidates are the current
+    entries of ``tiers`` with a safe locator, and an entry's own penalty goes before the one observed.
+    """
+    item_rows, asked = item_rows.withColumn("own_penalty", F.lit(None).cast("double")), seeds.select("item_id")
+    seeds = asked
+    if entries is not None:
+        held = entries.filter(policy.current(now))
+        own = held.filter(F.col("tier").isin(*tiers) & S.entry_locator(F.col("locator"), F.col("store")).isNotNull())
+        known = held.select(F.col("id").alias("item_id"), F.col("miss_penalty_tokens").cast("double").alias("own_penalty"))
+        allowed = own.select(F.col("id").alias("item_id")).join(asked, "item_id", "left_anti").unionByName(asked)
+        item_rows = item_rows.drop("own_penalty").join(known, "item_id").join(allowed, "item_id", "left_semi")
+        seeds = item_rows.filter(F.size("demand_task_ids") >= min_support).join(asked, "item_id", "left_semi").select("item_id")
     task = item_rows.select("item_id", F.explode("demand_task_ids").alias("task_id"))
     seed_tasks = task.join(seeds.select("item_id"), "item_id", "left_semi")
     size = seed_tasks.groupBy("item_id").agg(F.count("*").alias("seed_tasks")).withColumnRenamed("item_id", "seed_id")
-    other = task.join(seeds.select("item_id"), "item_id", "left_anti").withColumnRenamed("item_id", "cand_id")
+    other = task.join(asked, "item_id", "left_anti").withColumnRenamed("item_id", "cand_id")
     shared = seed_tasks.withColumnRenamed("item_id", "seed_id").join(other, "task_id").groupBy("seed_id", "cand_id").agg(F.count("*").alias("support"))
     scored = shared.join(size, "seed_id").withColumn("confidence", F.col("support") / F.col("seed_tasks")).filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
     best = scored.groupBy("cand_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "seed_id")).alias("b"))
-    penalty = item_rows.select(F.col("item_id").alias("cand_id"), F.coalesce("avg_avoidable_extra_tokens", F.lit(-1.0)).alias("penalty"))
+    penalty = item_rows.select(F.col("item_id").alias("cand_id"), F.coalesce("own_penalty", "avg_avoidable_extra_tokens", F.lit(-1.0)).alias("penalty"))
     rows = best.join(penalty, "cand_id").select(F.col("cand_id").alias("item_id"), F.col("b.seed_id").alias("seed_id"), (-F.col("b.c")).alias("confidence"), (-F.col("b.s")).alias("support"), "penalty")
-    return rows.orderBy(F.desc("confidence"), F.desc("support"), F.desc("penalty"), "item_id").limit(k)
+    return rows.orderBy(F.desc("confidence"), F.desc("support"), F.desc("penalty"), "item_id").limit(k) if k else rows

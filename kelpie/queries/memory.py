@@ -118,7 +118,8 @@ ACT = "act AS (SELECT entry_id, sum(least(weight, 2.0) * CASE WHEN age > 180 THE
 
 
 def _activity(spark: SparkSession, sf_dir: str, kernel: str = "bounded_power") -> DataFrame:
-    return policy.activity(D.use_events(spark, sf_dir), F.lit(NOW).cast("date"), kernel)
+    now = F.lit(NOW).cast("date")
+    return policy.activity(policy.checked_uses(D.use_events(spark, sf_dir), now), now, kernel)
 
 
 @query(f"WITH {USES}, {ACT} SELECT entry_id, round(activity, 6) AS activity FROM act")
@@ -143,6 +144,24 @@ ENTRIES = """entries AS (SELECT 'item' || k AS id, CASE WHEN k % 4 = 0 THEN 'T0'
 CURRENT = f"(status = 'active' AND coalesce(valid_from <= DATE '{NOW}', true) AND coalesce(DATE '{NOW}' < valid_until, true))"
 
 
+@query(f"""WITH {EVENTS}, {ITEMS}, {ENTRIES}, task AS (SELECT DISTINCT item_id, task_id FROM ev WHERE {_D}),
+    asked AS (SELECT item_id FROM items ORDER BY needs DESC, item_id LIMIT 20),
+    st AS (SELECT t.* FROM task t JOIN entries ON id = item_id WHERE {CURRENT} AND item_id IN (FROM asked) AND (SELECT demand_tasks FROM items i WHERE i.item_id = t.item_id) >= 2),
+    ot AS (SELECT t.* FROM task t JOIN entries ON id = item_id WHERE {CURRENT} AND tier = 'T1' AND starts_with(locator, 'warm/') AND item_id NOT IN (FROM asked)),
+    size AS (SELECT item_id, count(*) AS n FROM st GROUP BY ALL),
+    sup AS (SELECT s.item_id AS seed_id, o.item_id, count(*) AS support FROM st s JOIN ot o USING (task_id) GROUP BY ALL),
+    best AS (SELECT sup.item_id, seed_id, support / n AS confidence, support FROM sup JOIN size ON seed_id = size.item_id WHERE support >= 2 AND support / n >= 0.01
+             QUALIFY row_number() OVER (PARTITION BY sup.item_id ORDER BY support / n DESC, support DESC, seed_id) = 1)
+    SELECT best.item_id, seed_id, round(confidence, 9) AS confidence, support, round(coalesce(miss_penalty_tokens, avoidable_extra_tokens / nullif(avoidable_misses, 0), -1), 9) AS penalty
+    FROM best JOIN items USING (item_id) JOIN entries ON id = best.item_id""")
+def prefetch_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of prefetching: entries that are current, of the warm tier and safely locatable."""
+    items = telemetry.items(_events(spark, sf_dir))
+    seeds = items.orderBy(F.desc("needs"), "item_id").limit(20)  # what is active now: a bounded set
+    p = telemetry.prefetch_plan(items, seeds, 2, 0.01, None, D.entries(spark, sf_dir), F.lit(NOW).cast("date"))
+    return p.select("item_id", "seed_id", F.round("confidence", 9).alias("confidence"), "support", F.round("penalty", 9).alias("penalty"))
+
+
 @query(f"""WITH {USES}, {ACT}, {ENTRIES}, hits AS (SELECT 'item' || (props->>'$.k') AS hit_id, max(ts::DATE) AS last_hit FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
     e AS (SELECT *, coalesce(activity, 0) AS a, date_diff('day', created, DATE '{NOW}') AS age, date_diff('day', coalesce(last_hit, created), DATE '{NOW}') AS idle,
                  CASE WHEN NOT {CURRENT} THEN 'status_or_validity' WHEN tier = 'T0' AND starts_with(source_hash, '0') THEN 'source_changed_or_removed' END AS reason

@@ -265,6 +265,69 @@ def test_activity_rules(spark):
     assert legacy["old"] > 0
 
 
+BAD_USES = {
+    "type": ("a", "9", "clicked", "2026-09-01", "seen", False),
+    "no type": ("a", "9", None, "2026-09-01", "seen", False),
+    "future": ("a", "9", "hit", "2026-09-07", "seen", False),
+    "no day": ("a", "9", "hit", None, "seen", False),
+    "no id": ("a", None, "hit", "2026-09-01", "seen", False),
+    "empty id": ("a", "", "hit", "2026-09-01", "seen", False),
+    "twice": ("a", "1", "hit", "2026-09-02", "seen", False),
+    "bare": ("a", "9", "confirm", "2026-09-01", " ", False),
+    "no mark": ("a", "9", "confirm", "2026-09-01", None, None),
+}
+
+
+def uses_of(spark, *rows):
+    return spark.createDataFrame(rows, "entry_id string, event_id string, type string, t string, evidence string, legacy_unverified boolean").withColumn("t", F.to_date("t"))
+
+
+def test_activity_events_are_checked(spark):
+    now = F.lit("2026-09-06").cast("date")
+    good = [("a", "1", "hit", "2026-09-06", None, None), ("b", "1", "hit", "2026-09-01", None, None), ("a", "2", "confirm", "2026-09-01", None, True), ("a", "3", "confirm", "2026-09-01", "seen", None)]
+    got = policy.checked_uses(uses_of(spark, *good), now).collect()
+    assert sorted((r.entry_id, r.event_id) for r in got) == [("a", "1"), ("a", "3"), ("b", "1")]
+    assert policy.checked_uses(uses_of(spark, *good).drop("evidence", "legacy_unverified"), now).count() == 4
+    assert policy.checked_uses(uses_of(spark, *good).limit(0), now).count() == 0
+
+
+@pytest.mark.parametrize("why", BAD_USES)
+def test_a_wrong_activity_event_is_an_error(spark, why):
+    rows = [("a", "1", "hit", "2026-09-01", None, None), BAD_USES[why]]
+    with pytest.raises(Exception, match="invalid activity event"):
+        policy.checked_uses(uses_of(spark, *rows), F.lit("2026-09-06").cast("date")).collect()
+
+
+def test_pack_with_a_counter(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "", "", "one two three"), (1, 2, "b", "", "", "x " * 40), (1, 3, "c", "", "", "four"), (2, 1, "d", "", "", "y " * 90)], "query_id long, rank int, id string, speaker string, timestamp string, text string")
+    words = lambda text: len(text.split())
+    got = {r.query_id: r for r in ranking.pack(rows, 4, F.col("text"), counter=words).collect()}
+    assert (got[1].selected_ids, got[1].context, got[1].budget_used) == (["a", "c"], "one two three\n\nfour", 4)
+    assert (got[2].selected_ids, got[2].context, got[2].budget_used) == ([], "", 0)
+    assert [r.budget_used for r in ranking.pack(rows, 4, F.col("text"), limits=spark.createDataFrame([(1, 3)], "query_id long, limit long"), counter=words).orderBy("query_id").collect()] == [3, 0]
+    as_bytes = lambda text: len(text.encode())
+    assert sorted(map(tuple, ranking.pack(rows, 60, counter=as_bytes).collect())) == sorted(map(tuple, ranking.pack(rows, 60).collect()))
+    with pytest.raises(Exception, match="positive integer"):
+        ranking.pack(rows, 4, counter=lambda text: 0).collect()
+
+
+def test_prefetch_guards(spark):
+    import datetime as dt
+
+    items = spark.createDataFrame(
+        [("s", ["1", "2", "3"], 4.0), ("thin", ["1"], 1.0), ("ok", ["1", "2"], 5.0), ("own", ["2", "3"], 5.0), ("hot", ["1", "2"], 1.0), ("late", ["1", "2"], 1.0), ("off", ["1", "2"], 1.0), ("away", ["1", "2"], 1.0), ("alien", ["1", "2"], 1.0)],
+        "item_id string, demand_task_ids array<string>, avg_avoidable_extra_tokens double",
+    )
+    day = dt.date(2024, 6, 1)
+    e = [(i, "T1", "w/a.md", "active", None, None) for i in ("s", "thin", "ok")] + [("own", "T1", "w/a.md", "active", None, 9.0), ("hot", "T0", "w/a.md", "active", None, None)]
+    e += [("late", "T1", "w/a.md", "active", day, None), ("off", "T1", "w/a.md", "invalid", None, None), ("away", "T1", "../a.md", "active", None, None)]
+    entries = spark.createDataFrame([(*x, None, "N.md") for x in e], "id string, tier string, locator string, status string, valid_from date, miss_penalty_tokens double, valid_until date, store string")
+    seeds = spark.createDataFrame([("s",), ("thin",)], "item_id string")
+    p = telemetry.prefetch_plan(items, seeds, 2, 0.5, None, entries, F.lit("2024-03-01").cast("date"))
+    assert sorted((r.item_id, r.seed_id, r.support, r.penalty) for r in p.collect()) == [("ok", "s", 2, 5.0), ("own", "s", 2, 9.0)]
+    assert {r.item_id for r in telemetry.prefetch_plan(items, seeds, 2, 0.5, None).collect()} == {"ok", "own", "hot", "late", "off", "away", "alien"}
+
+
 def test_greedy_plan_pins_first(spark):
     schema = "id string, pinned boolean, resident_units int, cost_class string, activity double"
     plan = lambda rows, b: policy.greedy_plan(spark.createDataFrame(rows, schema), b).first()
