@@ -39,6 +39,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+class Tables:
+    """The tables of one run, in a shared folder of their own; a table that has served can be deleted before the run ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch_root(spark)}/kelpie-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """A table whose files are dealt by ``by``: joins and groups on it move the other side only."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entry = f"kelpie_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, by).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(entry)
+        out = self.spark.table(entry)
+        out.schema  # noqa: B018  resolved while the catalog has the entry; the files stay
+        self.spark.sql(f"DROP TABLE {entry}")
+        return out
+
+    def delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mark() -> int:
     """Names the present moment for ``settled``."""
     return len(_made)

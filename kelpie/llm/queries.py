@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, resampling, sharding, toxicity
 
 #: The key of the registered queries; a production run passes its own secret.
 PII_KEY = "registered-query"
@@ -77,8 +77,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_docs(spark, sf_dir))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints)
+    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints, op12_importance_resampling)
 }
 
 def _merkle_sql(replica: str) -> str:
@@ -119,6 +123,33 @@ def _license_sql() -> str:
         FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+def _resampling_sql() -> str:
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+        WITH crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: {bit}) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+        d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
+        dw AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+        bw AS (SELECT word, count(*) AS n FROM (SELECT unnest({words}) AS word FROM benchmark) GROUP BY ALL),
+        bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS b
+                  FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+        bucketed AS MATERIALIZED (
+            SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) % {resampling.BUCKETS} AS bucket
+            FROM bytes, crc),
+        s AS (SELECT bucket, sum(n) AS s FROM dw JOIN bucketed USING (word) GROUP BY ALL),
+        t AS (SELECT bucket, sum(n) AS t FROM bw JOIN bucketed USING (word) GROUP BY ALL),
+        g AS MATERIALIZED (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {resampling.BUCKETS})::DOUBLE
+                   / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+        w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN bucketed USING (word) JOIN g USING (bucket) GROUP BY ALL),
+        scored AS (
+            SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM d LEFT JOIN w USING (doc_id)),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resampling.PERCENT} * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_merkle_fixity": f"""
         WITH p AS (SELECT page_id, url, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS html FROM pages),
@@ -162,4 +193,5 @@ ORACLE_SQL = {
         reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
         SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s""",
     "op7_license_scan": _license_sql(),
+    "op12_importance_resampling": _resampling_sql(),
 }
