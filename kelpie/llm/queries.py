@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, resampling, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, quantizer, resampling, sharding, toxicity
 
 #: The key of the registered queries; a production run passes its own secret.
 PII_KEY = "registered-query"
@@ -81,8 +81,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantizer.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints, op12_importance_resampling)
+    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints, op12_importance_resampling, op13_heap_lloyd)
 }
 
 def _merkle_sql(replica: str) -> str:
@@ -150,6 +154,31 @@ def _resampling_sql() -> str:
         SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resampling.PERCENT} * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
 
 
+def _lloyd_sql() -> str:
+    """Lloyd's rounds over all entries of each part."""
+    parts, entries, rounds = quantizer.PARTS, quantizer.ENTRIES, quantizer.ROUNDS
+
+    def near(k: int) -> str:
+        d = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f"""a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({{'d': {d}, 'e': e}}) AS best FROM x JOIN c{k} USING (p) GROUP BY vec_id, p)"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} AS (SELECT p, e, list(mean ORDER BY i) AS c FROM (
+                SELECT p, e, i, floor(sum(v) / count(*))::BIGINT AS mean FROM (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+            c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))"""
+
+    steps = ", ".join(f"{near(k)}, {moved(k)}" for k in range(rounds))
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor({quantizer.SCALE} * v::DOUBLE)::BIGINT) AS v FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, p, v[p * w + 1:(p + 1) * w] AS x FROM (SELECT vec_id, v, len(v) // {parts} AS w, unnest(range({parts})) AS p FROM kept)),
+        c0 AS MATERIALIZED (SELECT p, e, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}) USING (vec_id)),
+        {steps}, {near(rounds)},
+        coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL),
+        book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (vec_id), book"""
+
+
 ORACLE_SQL = {
     "op1_merkle_fixity": f"""
         WITH p AS (SELECT page_id, url, substr(md5(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS html FROM pages),
@@ -194,4 +223,5 @@ ORACLE_SQL = {
         SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s""",
     "op7_license_scan": _license_sql(),
     "op12_importance_resampling": _resampling_sql(),
+    "op13_heap_lloyd": _lloyd_sql(),
 }
