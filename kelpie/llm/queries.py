@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, quantizer, resampling, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, license_scan, merkle, minhash, packing, pii, quantizer, resampling, sharding, substrings, toxicity
 
 #: The key of the registered queries; a production run passes its own secret.
 PII_KEY = "registered-query"
@@ -77,6 +77,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_docs(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -86,7 +90,7 @@ def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints, op12_importance_resampling, op13_heap_lloyd)
+    f.__name__: f for f in (op1_merkle_fixity, op2_exact_dedup, op3_best_fit_packing, op4_pii_pseudonyms, op5_toxicity, op6_ngram_jaccard, op7_license_scan, op8_sharding, op9_bpe_codec, op10_fingerprints, op11_substring_dedup, op12_importance_resampling, op13_heap_lloyd)
 }
 
 def _merkle_sql(replica: str) -> str:
@@ -222,6 +226,15 @@ ORACLE_SQL = {
         reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
         SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s""",
     "op7_license_scan": _license_sql(),
+    "op11_substring_dedup": rf"""
+        WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        starts AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substrings.WINDOW - 2})) AS i FROM d)),
+        twice AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + {substrings.WINDOW})) AS j FROM starts SEMI JOIN twice USING (h)) GROUP BY ALL),
+        kept AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                 CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]) END AS left_over
+                 FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256 FROM kept""",
     "op12_importance_resampling": _resampling_sql(),
     "op13_heap_lloyd": _lloyd_sql(),
 }
