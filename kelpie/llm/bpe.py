@@ -10,7 +10,10 @@ A word's steps grow with its length, so the query holds words in segments of ``S
 by ``OVERLAP`` on either side (most words are one segment). Two segments join at a token that both have at the same place.
 That is exact: an encoding is the right one if every two tokens side by side are what their bytes alone encode to, any
 part of a right encoding is right itself, and the joined encoding has only pairs of tokens that one of its segments has.
-A word with two segments that have no token in common is done again with longer ones, up to the whole word.
+A word with two segments that have no token in common (long runs of one symbol) is encoded whole by a query that contracts in a
+step all pairs of the word's lowest rank, from the left; its steps are the distinct ranks met, few in such runs. That order could
+differ from one pair at a time where a token is made of a later one, so the same rule checks it: every two tokens side by side
+must be what their bytes alone encode to. Only a word that fails is done with longer segments.
 
 Edge cases: a null text is the empty text, with no ids; repeated rows give repeated results; an empty table gives an
 empty result; further columns are not read.
@@ -32,6 +35,8 @@ from .shingles import text_chunks
 
 SEGMENT, OVERLAP = 128, 32
 CACHE_WORDS = 500_000
+#: Memory of a worker's database, and what a run encoded whole may take besides, for each of its bytes.
+MEMORY_MB, RUN_BYTES = 256, 200
 #: Words (or segments) and, in longer segments, bytes that one query holds.
 QUERY_WORDS, QUERY_BYTES = 20_000, 300_000
 
@@ -58,6 +63,26 @@ FROM ended e JOIN (
 ORDER BY e.word
 """
 
+#: All pairs of the lowest rank in a step; in a chain of overlapping ones every second stays.
+ENCODE_RUNS = """
+WITH RECURSIVE steps(step, toks) AS (
+    SELECT 0, toks FROM init
+  UNION ALL
+    SELECT step + 1, list(tok ORDER BY pos) FROM (
+        SELECT step, pos, if(hit, best, tok) AS tok, lag(hit, 1, false) OVER (ORDER BY pos) AS eaten FROM (
+            SELECT *, lowest AND (pos - max(if(lowest, NULL, pos)) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS hit FROM (
+                SELECT *, coalesce(merged = best, false) AS lowest FROM (
+                    SELECT p.*, m.merged, min(m.merged) OVER () AS best FROM (
+                        SELECT step, unnest(range(0, len(toks) + 1)) AS pos, unnest([NULL] || toks) AS tok, unnest([NULL] || toks[2:] || [NULL]) AS following FROM steps
+                    ) p LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 65536 + p.following
+                ) WHERE best IS NOT NULL
+            )
+        )
+    ) WHERE NOT eaten AND tok IS NOT NULL GROUP BY step
+), ended AS (SELECT arg_max(toks, step) AS toks FROM steps)
+SELECT toks, (SELECT string_agg(v.hex, '' ORDER BY p.pos) FROM (SELECT unnest(toks) AS id, unnest(range(len(toks))) AS pos FROM ended) p JOIN vocabulary v USING (id)) AS bytes FROM ended
+"""
+
 
 class Codec:
     """Encodes distinct words; ``ids`` and ``decoded`` map a word to its ids and to the bytes these decode to."""
@@ -79,7 +104,7 @@ class Codec:
             [(self.ranks[b[:i]] << 16 | self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks],
             dtype=np.int64,
         ).reshape(-1, 2)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB"})
         merge_table = pa.table({"pair": merges[:, 0], "merged": merges[:, 1]})  # noqa: F841
         vocabulary_table = pa.table({"id": list(self.token), "hex": [b.hex() for b in self.token.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT pair, merged::INTEGER AS merged FROM merge_table")
@@ -124,8 +149,28 @@ class Codec:
                 again.append(w)
             else:
                 self.ids[w], self.decoded[w] = joined
-        if again:
-            self.learn(again, segment * 4)
+        failed = [w for w in again if not self.learn_run(w)]
+        if failed:
+            self.learn(failed, segment * 4)
+
+    def learn_run(self, word: str) -> bool:
+        """Encodes a word whole, all pairs of its lowest rank in a step; False if two tokens aren't what their bytes encode to."""
+        raw = word.encode()
+        self.db.register("init", pa.table({"toks": pa.array([self.first[np.frombuffer(raw, dtype=np.uint8)]], pa.list_(pa.int32()))}))
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB + RUN_BYTES * len(raw) // 1_000_000}MB'")
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            out = self.db.execute(ENCODE_RUNS).to_arrow_table()
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
+        self.db.unregister("init")
+        ids = np.asarray(out.column("toks")[0].as_py(), dtype="<u4")
+        pairs = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:])
+        sides = [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs]
+        alone = self.contracted([self.token[a] + self.token[b] for a, b in sides]) if sides else []
+        if any(list(got) != list(want) for (got, _), want in zip(alone, sides, strict=True)):
+            return False
+        self.ids[word], self.decoded[word] = ids.tobytes(), bytes.fromhex(out.column("bytes")[0].as_py())
+        return True
 
     def joined(self, starts: list[int], pieces: list[tuple[np.ndarray, bytes]]) -> tuple[bytes, bytes] | None:
         """Ids and decoded bytes of a word from its segments, or None where neighbours share no token."""

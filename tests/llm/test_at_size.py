@@ -34,12 +34,29 @@ def test_long_words_equal_tiktoken(spark):
 def test_segments_without_a_common_token_grow(monkeypatch):
     c, seen = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
     whole = c.joined
+    monkeypatch.setattr(c, "learn_run", lambda word: False)
     monkeypatch.setattr(c, "joined", lambda starts, pieces: seen.append(len(starts)) or (None if len(seen) < 3 else whole(starts, pieces)))
     t = "qwertzuiopasdfgh" * 1000
     c.learn([t])
     assert seen == [125, 32, 8] and c.decoded[t].decode() == t
 
 
+def test_long_runs_equal_tiktoken():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    k = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    texts = [chr(x) * n for x in (0x200B, 0x2022, 0x2588, 0x2500, 0x314B, 0x1F600) for n in (250, 7000, 22_001)]
+    texts += ["-" * 100_000, "日本語" * 10_000, "=-" * 9_999, "".join(rng.choice("─━█▓") for _ in range(9000)), "".join(rng.choice("qwertyuiop") for _ in range(100_000))]
+    for t in texts:
+        ids, back = c.run(t)
+        assert list(np.frombuffer(ids, "<u4")) == k.encode_ordinary(t) and back.decode() == t, (t[:3], len(t))
+
+
 def test_large_chances_are_exact():
     def exact(k, good, bad, n):
         return math.log(Fraction(math.comb(good, k) * math.comb(bad, n - k), math.comb(good + bad, n)))
