@@ -210,3 +210,24 @@ def test_telephones_link_and_leak_no_digits(spark):
     assert all(only(got[a]) == only(got[b]) == "1" + only(got[c]) for a, b, c in zip(plain, spaced, national))
     assert len({got[p] for p in plain}) == len(plain) and all(american(only(got[c])) for c in national)
     assert len({only(got[p])[1:4] for p in plain}) > 200
+
+
+def _iban(country: str, digits: str) -> str:
+    n = int("".join(str(int(c, 36)) for c in digits + country + "00"))
+    return f"{country}{98 - n % 97:02d}{digits}"
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for length, countries in pii.IBAN_LENGTHS.items():
+        for country in countries.split():
+            whole = _iban(country, "".join(rng.choice("0123456789") for _ in range(length - 4)))
+            for value in (whole, " ".join(whole[k : k + 4] for k in range(0, length, 4))):
+                rows += [(len(rows) + k, value, tail) for k, tail in enumerate(("", " OK", " 2020", " AB12 XY", ". End"))]
+    df = spark.createDataFrame([(i, v + t) for i, v, t in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.findings(df, "k").collect()}
+    for i, value, tail in rows:
+        assert value not in got[i] and got[i][: len(value)] != value and got[i][len(value) :] == tail, (value, tail, got[i])
