@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,15 @@ ASCII_SPACE = " \t\n\x0b\f\r"
 #: Identifiers or keys (8 to 60 bytes each) that may be broadcast.
 SMALL_IDS = 1_000_000
 
-#: Folders of the tables written so far by this driver, oldest first.
-_made: list[str] = []
+
+class _Made(threading.local):
+    """Folders of the tables that a thread of the driver has written so far, oldest first."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     folder = f"{scratch_root(spark)}/kelpie-{uuid.uuid4().hex}"
-    _made.append(folder)
+    _made.folders.append(folder)
     df.write.parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
@@ -66,17 +74,17 @@ class Tables:
 
 def mark() -> int:
     """Names the present moment for ``settled``."""
-    return len(_made)
+    return len(_made.folders)
 
 
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """``written``, and the tables written from ``since`` on, which only led to this one, are deleted."""
     out = written(df, name)
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in _made[since:-1]:
+    for folder in _made.folders[since:-1]:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    del _made[since:-1]
+    del _made.folders[since:-1]
     return out
 
 

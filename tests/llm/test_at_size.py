@@ -126,6 +126,6 @@ def test_settled_tables_leave_nothing_behind(spark):
     a = common.written(spark.range(5), "a")
     b = common.settled(common.written(a, "b"), "c", since)
     assert b.count() == 5 and common.mark() == since + 1
-    assert [os.path.exists(f.removeprefix("file://")) for f in (common._made[-1],)] == [True]
+    assert [os.path.exists(f.removeprefix("file://")) for f in (common._made.folders[-1],)] == [True]
     with pytest.raises(Exception, match="(?i)exist"):
         a.count()
