@@ -99,17 +99,3 @@ def ann_quality(reference: DataFrame, candidate: DataFrame) -> DataFrame:
         (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).alias("symmetric_difference"),
         F.try_divide(shift, F.size(shared)).alias("mean_rank_shift"),
     )
-
-
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """Approximate search by random projections (Spark ML's LSH) on unit vectors; same columns as ``top_k``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select(F.col("rowid"), array_to_vector("vector").alias("features"), F.col("vector"))
-    q = queries.select("query_id", array_to_vector("vector").alias("features"), F.col("vector").alias("q"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=8, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(q, v, float("inf"), distCol="d")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.rowid").alias("rowid"), F.round(dot(F.col("datasetA.q"), F.col("datasetB.vector")), 9).alias("score")).distinct()
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rowid")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

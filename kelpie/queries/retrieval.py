@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import dense, lexical, ranking, store
+from ..operators import ann, dense, lexical, ranking, store
 from ..plans import recall as R
 from ..sources import driver as D
 
@@ -150,6 +150,51 @@ def ann_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.ann_quality(*_two_channels(spark, sf_dir)).withColumn("mean_rank_shift", F.round("mean_rank_shift", 6))
 
 
+def ivf_sql(rounds: int = ann.ROUNDS) -> str:
+    """CTEs ending in ``member`` (rowid, v, cell) and ``place`` (query_id, cell, p): cells by Lloyd's rounds over integers, and each row's cells by distance."""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = "".join(
+        f""", n{r} AS MATERIALIZED (SELECT rowid, any_value(x) AS x, min({{'d': {far}, 'cell': cell}}).cell AS cell FROM x, c{r} GROUP BY rowid),
+        m{r} AS (SELECT cell, list(mean ORDER BY i) AS c FROM (SELECT cell, i, floor(sum(v) / count(*)) AS mean FROM (SELECT cell, unnest(x) AS v, unnest(range(len(x))) AS i FROM n{r}) GROUP BY ALL) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT cell, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cell))"""
+        for r in range(rounds)
+    )
+    return f"""x AS MATERIALIZED (SELECT vec_id AS rowid, list_transform(embedding, lambda e: floor(e::DOUBLE * {ann.SCALE})) AS x, embedding::DOUBLE[] AS v FROM embeddings),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(rowid::VARCHAR), rowid) - 1 AS cell, x AS c FROM x QUALIFY cell < (SELECT floor(sqrt(count(*))) FROM x)){steps},
+        far AS MATERIALIZED (SELECT rowid, cell, row_number() OVER (PARTITION BY rowid ORDER BY {far}, cell) AS p FROM x, c{rounds}),
+        member AS MATERIALIZED (SELECT x.rowid, v, cell FROM x JOIN far USING (rowid) WHERE p = 1),
+        exact AS MATERIALIZED (SELECT q.rowid AS query_id, e.rowid, row_number() OVER (PARTITION BY q.rowid ORDER BY round(list_dot_product(q.v, e.v), 9) DESC, e.rowid) AS rank
+                  FROM x q JOIN x e ON q.rowid % 50 = 0 QUALIFY rank <= 10)"""
+
+
+IVF_FOUND = """found AS (SELECT q.rowid AS query_id, m.rowid, round(list_dot_product(q.v, m.v), 9) AS score, row_number() OVER (PARTITION BY q.rowid ORDER BY round(list_dot_product(q.v, m.v), 9) DESC, m.rowid) AS rank
+    FROM x q JOIN far ON q.rowid = far.rowid AND p <= {probes} JOIN member m USING (cell) WHERE q.rowid % 100 = 0 QUALIFY rank <= 10)"""
+IVF_PROBES = 6
+
+
+@query(f"WITH {ivf_sql()}, {IVF_FOUND.format(probes=IVF_PROBES)} SELECT query_id, rowid, round(score, 6) AS score, rank::INTEGER AS rank FROM found")
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return ann.search(ann.build(v), _probes(v), 10, IVF_PROBES).select("query_id", "rowid", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {ivf_sql()},
+    kept AS (SELECT p, row_number() OVER (ORDER BY p) AS n, count(*) OVER () AS total FROM exact e JOIN member m USING (rowid) JOIN far f ON f.rowid = e.query_id AND f.cell = m.cell WHERE e.query_id % 100 = 50),
+    probes AS (SELECT min(p) AS probes FROM kept WHERE n >= ceil(0.95 * total)), {IVF_FOUND.format(probes='(SELECT probes FROM probes)')},
+    shares AS (SELECT f.rowid AS query_id, sum(n) / (SELECT count(*) FROM x) AS scanned_share FROM far f LEFT JOIN (SELECT cell, count(*) AS n FROM member GROUP BY ALL) USING (cell)
+               WHERE f.rowid % 100 = 0 AND p <= (SELECT probes FROM probes) GROUP BY ALL)
+    SELECT query_id, count(f.rowid) / 10.0 AS recall, count(f.rowid)::INTEGER AS overlap, probes::INTEGER AS probes, round(any_value(scanned_share), 9) AS scanned_share
+    FROM exact e LEFT JOIN found f USING (query_id, rowid) JOIN shares USING (query_id), probes WHERE query_id % 100 = 0 GROUP BY query_id, probes""")
+def ivf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at a number of probes calibrated on other vectors to hold 95 % of their exact neighbours."""
+    v = _vectors(spark, sf_dir)
+    index, asked = ann.build(v), _probes(v)
+    others = v.filter("rowid % 100 = 50").select(F.col("rowid").alias("query_id"), "vector")
+    probes = ann.calibrated(index, v, others, 10, 0.95)
+    q = dense.ann_quality(dense.top_k(v, asked, 10), ann.search(index, asked, 10, probes)).join(ann.scanned(index, asked, probes), "query_id")
+    return q.select("query_id", "recall", "overlap", F.lit(probes).alias("probes"), F.round("scanned_share", 9).alias("scanned_share"))
+
+
 @query(f"""WITH {TURNS}, seeds AS (SELECT session::BIGINT AS query_id, rowid, session, ord, row_number() OVER (PARTITION BY session ORDER BY length(text) DESC, ord) AS rank FROM turns QUALIFY rank <= 2),
     around AS (SELECT s.query_id, t.rowid, min(row(s.rank, (t.rowid <> s.rowid)::INTEGER, abs(t.ord - s.ord), t.ord, t.rowid)) AS o
                FROM seeds s JOIN turns t ON s.session = t.session AND abs(t.ord - s.ord) <= 1 GROUP BY ALL)
