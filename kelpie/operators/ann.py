@@ -38,7 +38,8 @@ class Index:
 
     def members(self) -> DataFrame:
         """(rowid, vector, cell) of every vector, partitioned by cell."""
-        return self.spark.read.parquet(f"{self.path}/members")
+        kind = self.spark.read.parquet(f"{self.path}/assigned").schema  # has a file even without rows
+        return self.spark.read.schema(kind).parquet(f"{self.path}/members")
 
     def sizes(self) -> DataFrame:
         """(cell, members) of the cells that have members."""
