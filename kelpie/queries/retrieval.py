@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import ann, dense, lexical, ranking, store
 from ..plans import recall as R
 from ..sources import driver as D
+from ..sources import scratch, segments
 
 QUERIES, SQL = {}, {}
 
@@ -195,6 +196,17 @@ def ivf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_id", "recall", "overlap", F.lit(probes).alias("probes"), F.round("scanned_share", 9).alias("scanned_share"))
 
 
+@query("""SELECT vec_id AS rowid, len(embedding) AS dimension, md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',')) AS vector_md5 FROM embeddings""")
+def segment_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors through segments, a migration and back; each block is a partition that checks its own hash."""
+    folder = scratch.folder(spark)
+    segments.written(_vectors(spark, sf_dir), f"{folder}/first", profile="driver", generation="1")
+    segments.migrated(spark, f"{folder}/first", f"{folder}/second", blockRows="512")
+    back = segments.read(spark, f"{folder}/second", profile="driver", generation="1")
+    digits = F.transform("vector", lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
+    return back.select("rowid", F.size("vector").cast("long").alias("dimension"), F.md5(F.array_join(digits, ",")).alias("vector_md5"))
+
+
 @query(f"""WITH {TURNS}, seeds AS (SELECT session::BIGINT AS query_id, rowid, session, ord, row_number() OVER (PARTITION BY session ORDER BY length(text) DESC, ord) AS rank FROM turns QUALIFY rank <= 2),
     around AS (SELECT s.query_id, t.rowid, min(row(s.rank, (t.rowid <> s.rowid)::INTEGER, abs(t.ord - s.ord), t.ord, t.rowid)) AS o
                FROM seeds s JOIN turns t ON s.session = t.session AND abs(t.ord - s.ord) <= 1 GROUP BY ALL)
