@@ -19,6 +19,7 @@ STOP = (
 # Latin compounds joined by - _ . / and runs of CJK ideographs.
 TERM = r"[A-Za-z0-9]+(?:[-_./][A-Za-z0-9]+)*|[㐀-鿿]+"
 CJK_RUN = r"^[㐀-鿿]+$"
+WORD = r"[\p{L}\p{N}\p{Co}]+"
 COMPOUND = r"\b[A-Za-z0-9]+(?:[-_./][A-Za-z0-9]+)+\b"
 
 
@@ -72,7 +73,7 @@ _OLD, _NEW = _folds()
 
 def word_tokens(text: Column) -> Column:
     """All tokens in order: runs of letters and digits, lowered, accents folded."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), _OLD, _NEW), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), _OLD, _NEW), F.lit(WORD), F.lit(0))
 
 
 def contains_word(text: Column, term: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import ann, dense, lexical, ranking, store
 from ..plans import recall as R
+from ..plans import table_functions
 from ..sources import driver as D
 from ..sources import scratch, segments
 
@@ -248,6 +249,31 @@ def recall_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recall(t, q, "sparse", 600, reach=1).select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
 
 
+def _recall_text(spark: SparkSession, sf_dir: str, mode: str, reach: int) -> DataFrame:
+    """Recall by SQL text over two views, with the table functions."""
+    table_functions.register(spark)
+    D.turns(spark, sf_dir).createOrReplaceTempView("kelpie_turns")
+    D.questions(spark, sf_dir).createOrReplaceTempView("kelpie_questions")
+    found = spark.sql(table_functions.recall_sql("kelpie_turns", "kelpie_questions", mode, 600, reach=reach))
+    return found.select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
+
+
+@query(f"""WITH {TURNS}, metas AS (SELECT *, speaker || ' ' || "timestamp" AS meta FROM turns), raw AS (SELECT item_id AS query_id, {TERMS.replace('{0}', 'text')}[:64] AS ts FROM benchmark),
+    queries AS (SELECT query_id, unnest(ts) AS term FROM raw), {bm25_sql('metas', 'queries', {'text': 1.0, 'meta': 0.0}, 100)},
+    fused AS (SELECT query_id, rowid, round(1.0 / (60 + rank), 12) AS s FROM ranked),
+    blocks AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rowid) AS rank, {BLOCK} AS block FROM fused JOIN turns USING (rowid)),
+    p AS (SELECT query_id, {PACK.format(budget=600)} AS p FROM blocks GROUP BY query_id)
+    SELECT query_id, coalesce(list_aggregate(p.ids, 'string_agg', ','), '') AS selected, p.u AS budget_used FROM p""")
+def recall_literal_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recall_text(spark, sf_dir, "literal", 0)
+
+
+@query()
+def recall_sparse_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``recall_sparse``, from SQL text alone."""
+    return _recall_text(spark, sf_dir, "sparse", 1)
+
+
 @query()
 def entity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.turns(spark, sf_dir)
