@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import observe, policy, residency, telemetry
+from ..operators import asof, observe, policy, residency, sketches, telemetry
 from ..sources import driver as D
+from ..sources import scratch
 
 QUERIES, SQL = {}, {}
 
@@ -288,3 +289,45 @@ def mention_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.duplicate_pairs(D.entries(spark, sf_dir).select(F.col("scope").alias("store"), "id", F.concat_ws(" ", "id", "locator", "cost_class").alias("text")), 0.9).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("""WITH e AS (SELECT event_id, 'item' || (props->>'$.k') AS item_id, ts, event_type, value FROM events),
+    uses AS (SELECT event_id, item_id, ts FROM e WHERE event_type IN ('click', 'purchase', 'error')), versions AS (SELECT item_id, ts, event_id AS version, value AS units FROM e WHERE event_type IN ('view', 'signup'))
+    SELECT u.event_id, u.item_id, v.version, epoch_us(u.ts) - epoch_us(v.ts) AS age_us, v.units FROM uses u ASOF LEFT JOIN versions v ON u.item_id = v.item_id AND u.ts >= v.ts""")
+def uses_asof_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use with the version of its entry that held at its time: views and sign-ups stand for new versions."""
+    e = D.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("item"), F.get_json_object("props", "$.k")).alias("item_id"), "ts", "event_type", "value")
+    uses = e.filter(F.col("event_type").isin("click", "purchase", "error")).select("event_id", "item_id", "ts")
+    versions = e.filter(F.col("event_type").isin("view", "signup")).select("item_id", "ts", F.col("event_id").alias("version"), F.col("value").alias("units"))
+    j = asof.as_of(uses, versions, "item_id", "ts")
+    return j.select("event_id", "item_id", "version", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("ts_right").cast("timestamp"))).alias("age_us"), "units")
+
+
+def _stored_days(spark: SparkSession, sf_dir: str) -> str:
+    """Daily sketches of all events, stored in three parts; the middle one comes twice."""
+    path = scratch.folder(spark)
+    events = D.telemetry(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    early, late = F.col("day") < "2024-01-11", F.col("day") >= "2024-01-21"
+    for part in (events.filter(early), events.filter(~early & ~late), events.filter(~early & ~late), events.filter(late)):
+        sketches.update(part, path)
+    return path
+
+
+@query(f"""WITH {EVENTS} SELECT item_id, count(*) AS events, count(*) FILTER ({_D}) AS needs, count(*) FILTER ({_M}) AS misses, coalesce(sum(extra_tokens) FILTER ({_M}), 0)::BIGINT AS miss_extra_tokens,
+    count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER ({_D}) AS demand_tasks FROM ev GROUP BY ALL""")
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tasks by item, merged from daily sketches: exact up to 4,096 tasks an item, with an error of 1.6 % beyond."""
+    return sketches.rolled(spark, _stored_days(spark, sf_dir), ["item_id"]).drop("exact", "miss_rate")
+
+
+@query(f"""WITH {EVENTS}, d AS (SELECT DISTINCT item_id, task_id FROM ev WHERE {_D} AND item_id IS NOT NULL),
+    s AS (SELECT item_id AS seed_id, count(*) AS n FROM d WHERE item_id IN ('item1', 'item2', 'item3') GROUP BY ALL),
+    c AS (SELECT a.item_id AS seed_id, b.item_id AS cand_id, count(*) AS support FROM d a JOIN d b USING (task_id) WHERE a.item_id IN ('item1', 'item2', 'item3') AND a.item_id <> b.item_id GROUP BY ALL)
+    SELECT s.seed_id, i.item_id AS cand_id, coalesce(support, 0) AS support, round(coalesce(support, 0) / n, 9) AS confidence
+    FROM s JOIN (SELECT DISTINCT item_id FROM ev WHERE item_id IS NOT NULL) i ON s.seed_id <> i.item_id LEFT JOIN c ON c.seed_id = s.seed_id AND c.cand_id = i.item_id""")
+def sketch_shared_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that each of three seed items shares with every other item, from the intersection of their sketches."""
+    path = _stored_days(spark, sf_dir)
+    items = sketches.stored(spark, path).filter("item_id IS NOT NULL").select(F.col("item_id").alias("cand_id")).distinct()
+    pairs = items.select(F.explode(F.array(*map(F.lit, ("item1", "item2", "item3")))).alias("seed_id"), "cand_id").filter("seed_id <> cand_id")
+    return sketches.shared_tasks(spark, path, pairs).withColumn("confidence", F.round("confidence", 9))
