@@ -1,6 +1,6 @@
 """Registered queries of the engine's own operators, with the SQL they are held against."""
 
-from . import evaluation, memory, retrieval, streams
+from . import evaluation, memory, projections, retrieval, streams
 
-QUERIES = retrieval.QUERIES | memory.QUERIES | evaluation.QUERIES | streams.QUERIES
-ORACLE_SQL = retrieval.SQL | memory.SQL | evaluation.SQL | streams.SQL
+QUERIES = retrieval.QUERIES | memory.QUERIES | evaluation.QUERIES | streams.QUERIES | projections.QUERIES
+ORACLE_SQL = retrieval.SQL | memory.SQL | evaluation.SQL | streams.SQL | projections.SQL
