@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import economics, evaluate, lexical, planners, telemetry
+from ..operators import cubes, economics, evaluate, lexical, planners, telemetry
 from ..plans import recall as R
 from ..sources import driver as D
 from .memory import EVENTS, TOTALS
@@ -205,3 +205,40 @@ def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["running_position"] = window_rank
 SQL["running_position"] = "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS position FROM events"
+
+
+MODES = {"first": lambda n: F.col("rank") <= n, "last": lambda n: F.col("rank") > 10 - n}
+CUBE_AVERAGES = ["any_gold_hit_rate", "all_gold_hit_rate", "macro_evidence_recall", "micro_evidence_recall", "parent_locator_coverage", "empty_context_rate", "mean_budget_used", "latency_p50", "latency_p95", "latency_p99"]
+
+
+@query(f"""WITH {BASE}, config AS (SELECT * FROM (VALUES ('first', 5), ('first', 10), ('last', 5), ('last', 10)) c(mode, budget)),
+    picked AS (SELECT mode, budget, query_id, id FROM config JOIN ranked ON CASE mode WHEN 'first' THEN rank <= budget ELSE rank > 10 - budget END),
+    sizes AS (SELECT mode, budget, query_id, count(*) AS n FROM picked GROUP BY ALL), golds AS (SELECT query_id, count(*) AS n FROM gold GROUP BY ALL),
+    hit AS (SELECT mode, budget, query_id, count(*) AS n FROM picked JOIN gold USING (query_id, id) GROUP BY ALL), near AS (SELECT query_id, count(*) AS n FROM ranked JOIN gold USING (query_id, id) GROUP BY ALL),
+    legacy AS (SELECT config.mode, config.budget, item_id % 5 + 1 AS category, coalesce(g.n, 0) AS gold, item_id % 7 <> 0 AS resolved, item_id % 5 = 4 AS diagnostic, coalesce(h.n, 0) AS hits, coalesce(c.n, 0) AS parents, coalesce(s.n, 0) AS packed, length(text) AS ms
+               FROM benchmark CROSS JOIN config LEFT JOIN golds g ON g.query_id = item_id LEFT JOIN hit h ON h.query_id = item_id AND h.mode = config.mode AND h.budget = config.budget
+               LEFT JOIN near c ON c.query_id = item_id LEFT JOIN sizes s ON s.query_id = item_id AND s.mode = config.mode AND s.budget = config.budget),
+    r AS (SELECT *, gold > 0 AND resolved AND NOT diagnostic AS ok FROM legacy)
+    SELECT mode, budget, category, grouping_id(mode, budget, category)::INTEGER AS level, count(*) AS tasks, count(*) FILTER (ok) AS scorable, count(*) FILTER (gold = 0) AS no_gold, count(*) FILTER (NOT resolved) AS unresolved,
+           count(*) FILTER (diagnostic) AS diagnostic_only, coalesce(sum(hits) FILTER (ok), 0)::BIGINT AS hits, coalesce(sum(gold) FILTER (ok), 0)::BIGINT AS gold, round(avg((hits > 0)::INT) FILTER (ok), 6) AS any_gold_hit_rate,
+           round(avg((hits = gold)::INT) FILTER (ok), 6) AS all_gold_hit_rate, round(avg(hits / gold) FILTER (ok), 6) AS macro_evidence_recall, round(sum(hits) FILTER (ok) / sum(gold) FILTER (ok), 6) AS micro_evidence_recall,
+           round(avg((parents > 0)::INT) FILTER (ok), 6) AS parent_locator_coverage, round(avg((packed = 0)::INT), 6) AS empty_context_rate, round(avg(packed), 6) AS mean_budget_used,
+           round(quantile_cont(ms, 0.5), 6) AS latency_p50, round(quantile_cont(ms, 0.95), 6) AS latency_p95, round(quantile_cont(ms, 0.99), 6) AS latency_p99
+    FROM r GROUP BY GROUPING SETS ((mode, budget, category), (mode, budget), (mode), ())""")
+def metrics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy rows of four configurations for every question, at all levels of the cube, checked; a question's length stands for its time."""
+    asked = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.char_length("text").alias("total_ms"))
+    found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus"), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
+    gold = R.gold(D.articles(spark, sf_dir), D.questions(spark, sf_dir)).withColumn("is_gold", F.lit(True))
+    marked = found.select("query_id", "id", "rank").join(gold, ["query_id", "id"], "left")
+    configs = [(m, b) for m in MODES for b in BUDGETS]
+    counts = [x for m, b in configs for x in (F.count_if(MODES[m](b)).alias(f"n_{m}_{b}"), F.count_if(MODES[m](b) & F.col("is_gold")).alias(f"h_{m}_{b}"))]
+    per_query = marked.groupBy("query_id").agg(F.count_if("is_gold").alias("parents"), *counts)
+    wide = asked.join(per_query, "query_id", "left").join(gold.groupBy("query_id").agg(F.count("*").alias("golds")), "query_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(b).alias("budget"), zero(f"h_{m}_{b}").alias("hits"), zero(f"n_{m}_{b}").alias("selected_count")) for m, b in configs))
+    legacy = wide.withColumn("c", F.explode(rows)).select(
+        "c.*", (F.col("query_id") % 5 + 1).alias("category"), zero("golds").alias("evidence_count"), (F.col("query_id") % 7 != 0).alias("fully_resolved"), zero("parents").alias("parent_locator_hits"), F.col("c.selected_count").alias("budget_used"), "total_ms"
+    )
+    cells = cubes.checked(cubes.cube(cubes.projected(legacy, "locomo")), list(MODES), list(BUDGETS))
+    return cells.select(*(c if c not in CUBE_AVERAGES else F.round(c, 6).alias(c) for c in cells.columns))
