@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, observe, policy, residency, sketches, telemetry
+from ..operators import asof, mentions, observe, policy, residency, sketches, telemetry
 from ..sources import driver as D
 from ..sources import scratch
 
@@ -331,3 +331,34 @@ def sketch_shared_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = sketches.stored(spark, path).filter("item_id IS NOT NULL").select(F.col("item_id").alias("cand_id")).distinct()
     pairs = items.select(F.explode(F.array(*map(F.lit, ("item1", "item2", "item3")))).alias("seed_id"), "cand_id").filter("seed_id <> cand_id")
     return sketches.shared_tasks(spark, path, pairs).withColumn("confidence", F.round("confidence", 9))
+
+
+RULED = r"""rec AS (SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS session, role, CASE WHEN turn % 7 = 3 THEN 'Cron' ELSE 'chat' END AS source, coalesce(text, '') AS text, TIMESTAMP '2024-01-01' + to_seconds((conv_id % 10) * 86400 + turn * 60) AS ts,
+        conv_id % 3 = 0 AS exposed FROM conversations),
+    win AS (SELECT *, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s*>')), chr(10)) AS visible FROM rec WHERE role = 'assistant' AND lower(source) <> 'cron'),
+    al(anchor, alias, need, fold) AS (VALUES ('fr', 'éau', 2, false), ('fr', 'tion', 2, false), ('de', 'DER', 1, true), ('dots', '. L', 1, false), ('pair', 'la', 2, true), ('pair', ', et', 2, true)),
+    split AS (SELECT id, anchor, alias, need, visible, string_split(CASE WHEN fold THEN lower(visible) ELSE visible END, CASE WHEN fold THEN lower(alias) ELSE alias END) AS p FROM win, al),
+    raw AS (SELECT id, anchor, alias, need, visible, unnest(list_transform(range(1, len(p)), lambda i: (list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * length(alias))::INTEGER)) AS s FROM split),
+    occ AS (SELECT *, s + length(alias)::INTEGER AS e FROM raw WHERE NOT (regexp_matches(alias[1], '^[A-Za-z0-9]') AND s > 0 AND regexp_matches(substr(visible, s, 1), '^[\p{L}\p{N}_]'))
+            AND NOT (regexp_matches(alias[-1], '^[A-Za-z0-9]') AND regexp_matches(substr(visible, s + length(alias)::INTEGER + 1, 1), '^[\p{L}\p{N}_]'))),
+    ends AS (SELECT i.id, i.anchor, i.need, i.s, i.e, i.alias FROM occ i JOIN occ j ON i.id = j.id AND i.anchor = j.anchor AND (j.s, j.e, j.alias) <= (i.s, i.e, i.alias) AND i.e - j.s <= 200 GROUP BY i.id, i.anchor, i.need, i.s, i.e, i.alias HAVING count(DISTINCT j.alias) >= i.need
+             QUALIFY row_number() OVER (PARTITION BY i.id, i.anchor ORDER BY i.s, i.e, i.alias) = 1),
+    firsts AS (SELECT i.id, i.anchor, j.alias, min(row(j.s, j.e)) AS m FROM ends i JOIN occ j ON i.id = j.id AND i.anchor = j.anchor AND (j.s, j.e, j.alias) <= (i.s, i.e, i.alias) AND i.e - j.s <= 200 GROUP BY ALL),
+    obs AS (SELECT id, anchor, string_agg(alias || '@' || m[1] || '-' || m[2], ';' ORDER BY m[1], m[2], alias) AS matches FROM firsts GROUP BY ALL)"""
+
+
+@query(f"""WITH {RULED} SELECT anchor AS entry_id, id AS message_id, session AS session_id, matches, CASE WHEN exposed AND anchor = 'de' THEN 'snapshot_matched' ELSE 'unknown' END AS exposure
+    FROM obs JOIN win USING (id) QUALIFY row_number() OVER (PARTITION BY anchor, visible, ts ORDER BY id, session) = 1""")
+def mention_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of four anchors over all assistant turns: aliases inside words, of symbols, without case, and two close together."""
+    t = D.turns(spark, sf_dir)
+    conv, turn = F.col("session").cast("long"), F.col("ord").cast("long")
+    records = t.select(
+        "id", "session", F.col("speaker").alias("role"), F.when(turn % 7 == 3, "Cron").otherwise("chat").alias("source"), "text", F.timestamp_seconds(F.lit(1704067200) + (conv % 10) * 86400 + turn * 60).alias("ts"),
+        F.when(conv % 3 == 0, F.create_map(F.lit("de"), F.lit("1"))).alias("memory_versions"),
+    )
+    rows = [("fr", ["éau", "tion"], 2, False), ("de", ["DER"], 1, True), ("dots", [". L"], 1, False), ("pair", ["la", ", et"], 2, True)]
+    anchors = spark.createDataFrame([(a, "1", al, n, fold, None, None) for a, al, n, fold in rows], "anchor string, version string, aliases array<string>, min_anchors int, case_insensitive boolean, valid_from timestamp, valid_until timestamp")
+    found = mentions.observed(records, anchors, "driver", F.lit("2024-02-01").cast("timestamp"), 90)
+    shown = F.array_join(F.transform("matches", lambda m: F.format_string("%s@%d-%d", m["anchor"], m["start"], m["end"])), ";")
+    return found.select("entry_id", "message_id", "session_id", shown.alias("matches"), "exposure")
