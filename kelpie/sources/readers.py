@@ -77,9 +77,12 @@ def store_entries(texts: DataFrame) -> DataFrame:
 
 
 def telemetry_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    from ..operators.telemetry import checked as valid
-
-    return valid(spark.read.schema(TELEMETRY).option("mode", "FAILFAST").json(path))
+    """The events of ``telemetry_log``; an error names the first line that is none."""
+    events, errors = telemetry_log(spark, path)
+    first = errors.orderBy("file", "line").first()
+    if first:
+        raise ValueError(f"{first.file}:{first.line}: {first.error}")
+    return events.drop("file", "line")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -190,3 +193,76 @@ def use_chronology(entries: DataFrame, texts: DataFrame) -> DataFrame:
     hits = entries.filter("status = 'active'").join(texts.select("id").distinct(), "id", "left_semi").select("id", F.explode("events").alias("e")).filter("e.type = 'hit'").select("e.t", "e.event_id", "id")
     once = F.count("*").over(Window.partitionBy("event_id")) == 1
     return checked(hits.withColumn("once", once), F.col("once"), "duplicate event id").select("t", "event_id", "id").orderBy("t", "event_id")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, however the files are split.
+
+    A split counts its own lines where it is read; the lines of the splits before it are added, a row for each split.
+    """
+    from . import scratch
+
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = scratch.written(raw, "lines")
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("file", "block", "first", before.alias("before"))
+    return rows.join(placed, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+_COMMON = ["event_id", "task_id", "kind", "item_id", "extra_tokens", "extra_tool_calls", "extra_latency_ms", "extra_cost_usd", "avoidable"]
+# The ways of a prefetch.
+PREFETCH_MODES = ["locator", "tiny_excerpt"]
+
+
+def telemetry_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a log with one JSON object a line (with file and line), and (file, line, error) of all lines that are none.
+
+    Blank lines are skipped. An error is broken JSON, a field that its kind doesn't have or that has another type, a missing or
+    negative value, an unknown kind or mode, and each event whose id an earlier line has already.
+    """
+    from ..operators.telemetry import KINDS
+
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    kinds = T.StructType.fromDDL(TELEMETRY)
+    parsed = lines.withColumn("keys", F.json_object_keys("value")).withColumn("e", F.from_json("value", TELEMETRY, {"mode": "PERMISSIVE"}))
+    prefetch = F.col("e.kind") == "prefetch"
+    allowed = F.when(prefetch, F.array(*map(F.lit, kinds.names))).otherwise(F.array(*map(F.lit, _COMMON)))
+    given = {f.name: F.coalesce(F.get_json_object("value", f"$.{f.name}"), F.lit("null")) != "null" for f in kinds.fields}
+    # A value that isn't of its field's type is read as null; a number or truth value in quotes counts as text.
+    quoted = [F.col("value").rlike(rf'"{f.name}"\s*:\s*"') for f in kinds.fields if f.dataType.simpleString() != "string"]
+    bare = [F.col("value").rlike(rf'"{f.name}"\s*:\s*[^"\sn]') for f in kinds.fields if f.dataType.simpleString() == "string"]
+    mistyped = [given[f.name] & F.col(f"e.{f.name}").isNull() for f in kinds.fields] + quoted + bare
+    numbers = [f.name for f in kinds.fields if f.dataType.simpleString() in ("bigint", "double") and f.name != "confidence"]
+    blank = lambda c: F.trim(F.coalesce(F.col(f"e.{c}"), F.lit(""))) == ""
+
+    def any_of(conditions: list[Column]) -> Column:
+        out = F.lit(False)
+        for c in conditions:
+            out |= F.coalesce(c, F.lit(False))
+        return out
+
+    error = (
+        F.when(F.col("keys").isNull(), "expected object")
+        .when(F.size(F.array_except("keys", allowed)) > 0, F.concat(F.lit("unsupported field "), F.array_min(F.array_except("keys", allowed))))
+        .when(any_of(mistyped), "a field has another type")
+        .when(blank("event_id") | blank("task_id") | blank("kind"), "event_id, task_id and kind are needed")
+        .when(~F.col("e.kind").isin(*KINDS), "unsupported kind")
+        .when(blank("item_id") & ~((F.col("e.kind") == "stale_resident_failure") & F.col("e.item_id").isNull()), "item_id is needed")
+        .when(any_of([F.col(f"e.{c}") < 0 for c in numbers]), "a cost is negative")
+        .when(prefetch & F.col("e.used").isNull(), "prefetch events need used")
+        .when(prefetch & ~F.coalesce("e.mode", F.lit("locator")).isin(*PREFETCH_MODES), "unsupported mode")
+        .when(any_of([~F.col("e.confidence").between(0.0, 1.0)]), "confidence is a share")
+    )
+    from . import scratch
+
+    judged = scratch.written(parsed.select("file", "line", "e", error.alias("error")), "judged")
+    # Ids are rarely repeated: only those that are meet their lines again.
+    again = judged.filter("error IS NULL").groupBy(F.col("e.event_id").alias("event_id")).agg(F.count("*").alias("n"), F.min(F.struct("file", "line")).alias("first")).filter("n > 1")
+    marked = judged.withColumn("event_id", F.col("e.event_id")).join(again.select("event_id", "first"), "event_id", "left")
+    late = F.col("error").isNull() & (F.struct("file", "line") > F.col("first"))
+    marked = marked.withColumn("error", F.when(late, F.concat(F.lit("duplicate event_id "), F.col("event_id"))).otherwise(F.col("error")))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in numbers if not c.startswith("avoided")} | {"avoidable": F.coalesce("avoidable", F.lit(False))}
+    zero |= {c: F.when(F.col("kind") == "prefetch", F.coalesce(c, F.lit(0))) for c in numbers if c.startswith("avoided")} | {"mode": F.when(F.col("kind") == "prefetch", F.coalesce("mode", F.lit("locator")))}
+    events = marked.filter("error IS NULL").select("file", "line", "e.*").withColumns(zero)
+    return events, marked.filter("error IS NOT NULL").select("file", "line", "error")
