@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,25 +45,72 @@ def write_scopes(docs: DataFrame, path: str) -> None:
 
 
 def commit(spark, path: str, state: DataFrame, expected_revision: int) -> int:
-    """Appends a revision of a placement state if the newest is still ``expected_revision``; the new revision."""
+    """Makes ``state`` the next revision of a placement if the newest is still ``expected_revision``; the new revision.
+
+    The state is written to a folder of its own; then the file ``commits/<revision>``, which names it, is created, and only one
+    of several writers can create it. Readers see committed folders alone.
+    """
     at = latest_revision(spark, path)
     if at != expected_revision:
         raise ValueError(f"revision is {at}, not {expected_revision}")
-    state.write.mode("errorifexists").parquet(f"{path}/revision={at + 1}")
+    name = uuid.uuid4().hex
+    state.write.parquet(f"{path}/states/{name}")
+    if not _created(spark, f"{path}/commits/{at + 1}", name):
+        raise ValueError(f"another writer has committed revision {at + 1}")
     return at + 1
 
 
-def latest_revision(spark, path: str) -> int:
+def _created(spark, path: str, content: str) -> bool:
+    """Creates a file that must not exist; False if it does. The content is there before the name is."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place.getParent())
+    if fs.getUri().getScheme() == "file":  # whose Hadoop client doesn't create exclusively
+        folder = jvm.java.io.File(place.getParent().toUri().getPath())
+        try:
+            os.link(_plain(folder, content), os.path.join(folder.getPath(), place.getName()))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(place, False)
+    except Exception as e:  # noqa: BLE001  whatever the file system throws for a file that exists
+        if fs.exists(place):
+            return False
+        raise e
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+def _plain(folder, content: str) -> str:
+    name = os.path.join(folder.getPath(), f".{content}")
+    with open(name, "w") as f:
+        f.write(content)
+    return name
+
+
+def commits(spark, path: str) -> DataFrame:
+    """(revision, folder) of the committed revisions."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path).agg(F.max("revision")).first()[0] or 0
+        rows = spark.read.text(f"{path}/commits/*").select(F.regexp_extract("_metadata.file_path", r"([0-9]+)$", 1).alias("r"), F.col("value").alias("folder"))
+        return rows.filter("r <> ''").select(F.col("r").cast("int").alias("revision"), "folder")
     except AnalysisException:
-        return 0
+        return spark.createDataFrame([], "revision int, folder string")
+
+
+def latest_revision(spark, path: str) -> int:
+    return commits(spark, path).agg(F.max("revision")).first()[0] or 0
 
 
 def revision(spark, path: str, number: int) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("revision") == number)
+    found = commits(spark, path).filter(F.col("revision") == number).first()
+    if found is None:
+        raise ValueError(f"there is no revision {number}")
+    return spark.read.parquet(f"{path}/states/{found.folder}").withColumn("revision", F.lit(number))
 
 
 def rollback(spark, path: str, number: int) -> int:

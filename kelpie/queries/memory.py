@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof, mentions, observe, policy, residency, sketches, telemetry
 from ..sources import driver as D
-from ..sources import scratch
+from ..sources import readers, scratch
 
 QUERIES, SQL = {}, {}
 
@@ -362,3 +362,25 @@ def mention_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mentions.observed(records, anchors, "driver", F.lit("2024-02-01").cast("timestamp"), 90)
     shown = F.array_join(F.transform("matches", lambda m: F.format_string("%s@%d-%d", m["anchor"], m["start"], m["end"])), ";")
     return found.select("entry_id", "message_id", "session_id", shown.alias("matches"), "exposure")
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT event_id, kind, item_id, extra_tokens, CASE WHEN event_id % 97 = 5 THEN 'unsupported kind' WHEN event_id % 89 = 7 THEN 'a cost is negative' WHEN event_id % 83 = 11 THEN 'expected object' END AS error FROM ev)
+    SELECT event_id::VARCHAR AS event_id, kind, item_id, extra_tokens, NULL AS error, 1 AS n FROM l WHERE error IS NULL
+    UNION ALL SELECT NULL, NULL, NULL, NULL, error, count(*)::INTEGER FROM l WHERE error IS NOT NULL GROUP BY error
+    UNION ALL SELECT NULL, NULL, NULL, NULL, 'duplicate event_id', count(*)::INTEGER FROM l WHERE error IS NULL AND event_id % 50 = 1 HAVING count(*) > 0""")
+def telemetry_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as lines of a log, some of them broken and some written twice, read back: events, and how often each error occurs."""
+    t = D.telemetry(spark, sf_dir)
+    n = F.col("event_id").cast("long")
+    cost = F.when(n % 89 == 7, F.lit(-1).cast("long")).otherwise(F.col("extra_tokens"))
+    kind = F.when(n % 97 == 5, "use").otherwise(F.col("kind"))
+    fields = ["event_id", "task_id", "item_id", "extra_tool_calls", "avoidable"]
+    line = F.to_json(F.struct(*fields, kind.alias("kind"), cost.alias("extra_tokens"), F.when(kind == "prefetch", F.coalesce("used", F.lit(False))).alias("used")))
+    line = F.when((n % 83 == 11) & (n % 89 != 7) & (n % 97 != 5), F.left(line, F.lit(20))).otherwise(line)
+    times = F.when((n % 50 == 1) & (n % 97 != 5) & (n % 89 != 7) & (n % 83 != 11), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    path = scratch.folder(spark)
+    t.select(line.alias("value"), F.explode(times).alias("time")).select("value").write.text(path)
+    events, errors = readers.telemetry_log(spark, path)
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("event_id", "string"), ("kind", "string"), ("item_id", "string"), ("extra_tokens", "bigint"))]
+    counted = errors.groupBy(F.regexp_replace("error", r"^(duplicate event_id) .*", "$1").alias("error")).agg(F.count("*").cast("int").alias("n"))
+    return events.select("event_id", "kind", "item_id", "extra_tokens", F.lit(None).cast("string").alias("error"), F.lit(1).alias("n")).unionByName(counted.select(*none, "error", "n"))
