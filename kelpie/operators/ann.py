@@ -165,8 +165,10 @@ def _scored(names: np.ndarray, q: np.ndarray, asking: dict[int, np.ndarray], k:
 
 def scanned(index: Index, queries: DataFrame, probes: int) -> DataFrame:
     """(query_id, scanned_share): the share of all vectors that a query reads."""
-    rows = [(int(n), int(c)) for names, q in _blocks(queries) for n, cells in zip(names, _nearest(index, q)[:, :probes], strict=True) for c in cells]
-    probed = index.spark.createDataFrame(rows, "query_id bigint, cell int")
+    probed = index.spark.createDataFrame([], "query_id bigint, cell int")
+    for names, q in _blocks(queries):
+        rows = [(int(n), int(c)) for n, cells in zip(names, _nearest(index, q)[:, :probes], strict=True) for c in cells]
+        probed = probed.union(index.spark.createDataFrame(rows, "query_id bigint, cell int"))
     total = index.sizes().agg(F.sum("members").alias("n"))
     shares = probed.join(index.sizes(), "cell", "left").groupBy("query_id").agg(F.coalesce(F.sum("members"), F.lit(0)).alias("read"))
     return shares.crossJoin(F.broadcast(total)).select("query_id", (F.col("read") / F.col("n")).alias("scanned_share"))  # one row of totals
