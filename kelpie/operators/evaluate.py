@@ -148,15 +148,17 @@ def admission(base: DataFrame, new: DataFrame) -> DataFrame:
 def drift(reference: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
     """(drift, n): each pair of rows in exactly one class, from identical to a change of the selected set.
 
-    Rows have selected_ids, selected_ranked_ids, packed (arrays), budget_used and score.
+    Rows have selected_ids, selected_ranked_ids, packed (arrays), budget_used and score, and may have diagnostics, which tell of a run
+    but not of its result.
     """
     j = reference.alias("l").join(candidate.alias("r"), keys, "full_outer")
     same = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     as_set = lambda c: F.array_sort(F.array_distinct(c))
     both = F.col("l.budget_used").isNotNull() & F.col("r.budget_used").isNotNull()
+    told = same("diagnostics") if "diagnostics" in reference.columns and "diagnostics" in candidate.columns else F.lit(True)
     kind = (
         F.when(~both, "other-semantic-change")
-        .when(same("selected_ids") & same("selected_ranked_ids") & same("packed") & same("budget_used"), F.when(same("score"), "identical").otherwise("numeric-only"))
+        .when(same("selected_ids") & same("selected_ranked_ids") & same("packed") & same("budget_used"), F.when(~same("score"), "numeric-only").when(~told, "diagnostic-only").otherwise("identical"))
         .when(as_set("l.selected_ids") != as_set("r.selected_ids"), "selected-set-change")
         .when(same("selected_ids") & same("packed") & same("budget_used"), "rank-only")
         .when(same("budget_used") & (F.array_sort("l.packed") == F.array_sort("r.packed")), "same-set-different-order")

@@ -242,3 +242,21 @@ def metrics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cells = cubes.checked(cubes.cube(cubes.projected(legacy, "locomo")), list(MODES), list(BUDGETS))
     return cells.select(*(c if c not in CUBE_AVERAGES else F.round(c, 6).alias(c) for c in cells.columns))
+
+
+@query("""WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL)
+    SELECT CASE WHEN conv_id % 8 = 0 OR (n < 3 AND conv_id % 8 <> 7) THEN 'identical' WHEN conv_id % 8 = 1 THEN 'numeric-only' WHEN conv_id % 8 = 2 THEN 'diagnostic-only' WHEN conv_id % 8 = 3 THEN 'rank-only'
+                WHEN conv_id % 8 = 4 THEN 'same-set-different-order' WHEN conv_id % 8 = 5 THEN 'packed-boundary-change' WHEN conv_id % 8 = 6 THEN 'selected-set-change' ELSE 'other-semantic-change' END AS drift, count(*) AS n
+    FROM s GROUP BY ALL""")
+def drift_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over all conversations, of which the second differs in one way for each remainder of the number by eight."""
+    turns = D.turns(spark, sf_dir).groupBy(F.col("session").cast("long").alias("conv")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
+    first = F.slice("ids", 1, 2)
+    run = turns.select("conv", first.alias("selected_ids"), first.alias("selected_ranked_ids"), first.alias("packed"), F.lit(9).alias("budget_used"), F.lit(0.5).alias("score"), F.lit("a").alias("diagnostics"), (F.size("ids") >= 3).alias("enough"), "ids")
+    way = lambda n, new, old: F.when(F.col("enough") & (F.col("conv") % 8 == n), new).otherwise(F.col(old))
+    other = run.select(
+        "conv", F.when(F.col("enough") & (F.col("conv") % 8 == 6), F.slice("ids", 2, 2)).otherwise(way(4, F.reverse("selected_ids"), "selected_ids")).alias("selected_ids"),
+        F.when(F.col("enough") & (F.col("conv") % 8 == 6), F.slice("ids", 2, 2)).otherwise(F.when(F.col("enough") & (F.col("conv") % 8).isin(3, 4), F.reverse("selected_ranked_ids")).otherwise(F.col("selected_ranked_ids"))).alias("selected_ranked_ids"),
+        way(4, F.reverse("packed"), "packed").alias("packed"), way(5, F.lit(10), "budget_used").alias("budget_used"), way(1, F.lit(0.6), "score").alias("score"), way(2, F.lit("b"), "diagnostics").alias("diagnostics"),
+    )
+    return evaluate.drift(run, other.filter("conv % 8 <> 7"), ["conv"])
