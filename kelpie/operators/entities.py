@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BLOCK_NAMES = 200_000
 
 # Characters that continue a name on its left and right, CJK ranges, shapes of identifiers, words that name
-# nothing, and brackets that may wrap an address in prose.
+# nothing, brackets that may wrap an address in prose, and limits of a projection.
 LEFT = r"(?<![\w./\\:@#%&=~+?\-])"
 RIGHT = r"(?!(?:[\w/\\:@#%&=~+\-]|[.?][\w/]))"
 CJK = "㐀-䶿一-鿿豈-﫿\U00020000-\U000323af぀-ヿㇰ-ㇿᄀ-ᇿ㄰-㆏가-힯"

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# Sources that don't count, marks of the engine's own output, the reach of a window, and limits of anchors.
+# Sources that don't count, the reach of a window, and limits of anchors.
 DENIED = ["cron", "review", "test", "flush", "subagent", "background"]
-ECHOES = ["[thm context]", "thm scan report", "memory audit report"]
 SPAN, MAX_ANCHORS, MAX_ALIASES, MAX_ALIAS_CHARS = 200, 1000, 32, 256
+#: Marks of the engine's own output, in lower case: what it has written itself is no observation.
+ECHOES = ["[kelpie context]", "kelpie scan report", "memory audit report"]
 
 MATCHES = "array<struct<anchor:string,start:int,end:int>>"
 

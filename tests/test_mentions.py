@@ -68,7 +68,7 @@ def test_aliases_close_together_late_in_a_text(spark):
 def test_records_that_are_not_scanned(spark):
     texts = [
         "Blue Fox", ("u", "s", "user", "chat", at(1), "Blue Fox", None), ("c", "s", "assistant", "CRON", at(1), "Blue Fox", None), ("o", "s", "assistant", "chat", at(24 * 8), "Blue Fox", None), ("f", "s", "assistant", "chat", at(-1), "Blue Fox", None),
-        ("e", "s", "assistant", None, at(2), "x [THM Context] Blue Fox", None), ("q", "s", "assistant", None, at(2), "> memory audit report\nBlue Fox", {"a": "1"}), ("v", "s", "assistant", None, at(3), "Blue Fox", {"a": "2"}),
+        ("e", "s", "assistant", None, at(2), "x [Kelpie Context] Blue Fox", None), ("q", "s", "assistant", None, at(2), "> memory audit report\nBlue Fox", {"a": "1"}), ("v", "s", "assistant", None, at(3), "Blue Fox", {"a": "2"}),
     ]
     df = spark.createDataFrame([(f"m{k}", f"s{k}", "assistant", "chat", at(k), t, None) if isinstance(t, str) else t for k, t in enumerate(texts)], RECORDS)
     assert {r.reason: r.n for r in M.skipped(df, F.lit(NOW), 7).collect()} == {"scanned": 3, "role_or_source": 2, "outside_window": 2, "self_echo": 1}
