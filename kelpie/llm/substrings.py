@@ -9,7 +9,8 @@ Texts move once, compressed, into a table of blocks that is bucketed by block. A
 distinct hashes of its candidates, dealt to tasks by their first bits, so a sequence that a third of all documents share is one
 number a block. A task compares what it got and answers each block with one bit a hash. Answers are joined to the blocks'
 buckets, where the texts lie already. Before the last level a false alarm costs only a candidate, so 40 bits and those
-of the deal are sent; the last level sends 64 and is dealt by the bits of a second hash.
+of the deal are sent; the last level sends 64 and is dealt by the bits of a second hash. A row holds what a block has for a task, so rows
+are never more than hashes, however many blocks and tasks there are; blocks and tasks are of fixed size, so memory is too.
 
 Edge cases: a null or empty text has no words; a text of fewer words than a window keeps all of them; repeated rows and copies
 inside a document are other places, so they are removed too; a null or repeated identifier names its own row; an empty table
