@@ -160,7 +160,9 @@ def recall_sql(docs: str, questions: str, mode: str = "sparse", budget: int = 60
     idf AS (SELECT phrase, avg_length, IF(ln((n_rows - df + 0.5D) / (df + 0.5D)) > 0, ln((n_rows - df + 0.5D) / (df + 0.5D)), 1e-6D) AS idf FROM (SELECT phrase, count(*) AS df FROM tf GROUP BY phrase) CROSS JOIN stats),
     parted AS (SELECT channel, query_id, rowid, id, idf, length / avg_length AS share, CAST(CASE {frequency} END AS DOUBLE) AS f FROM asked JOIN tf USING (phrase) JOIN idf USING (phrase) JOIN lens USING (rowid)),
     scored AS (SELECT query_id, channel, rowid, id, round(sum(idf * f * 2.2D / (f + 1.2D * (0.25D + 0.75D * share))), {lexical.DIGITS}) AS score FROM parted GROUP BY query_id, channel, rowid, id),
-    fused AS (SELECT * FROM recall_fused(TABLE(scored) PARTITION BY (query_id), {k})),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM scored),
+    best AS (SELECT query_id, channel, rowid, id, score FROM placed WHERE place <= {k}),
+    fused AS (SELECT * FROM recall_fused(TABLE(best) PARTITION BY (query_id), {k})),
     ranked AS ({ranked}),
     blocks AS (SELECT query_id, rank, id, kelpie_block(id, speaker, timestamp, text) AS block FROM ranked JOIN {docs} USING (rowid))
     SELECT * FROM pack_budget(TABLE(blocks) PARTITION BY (query_id) ORDER BY (rank), {budget})"""
