@@ -162,9 +162,13 @@ def pack_directory(lines: DataFrame, budget: int) -> DataFrame:
 def replay(uses: DataFrame, entries: DataFrame, budget: int, kernel: str = "bounded_power", half_life: float = 30.0) -> DataFrame:
     """(group, requests, hits, hit_rate): before each use of a group's chronology, would a greedy plan hold the entry?
 
-    Uses are ordered by (t, event_id) within a group and one group's history is replayed in one task.
+    Uses are ordered by (t, event_id) within a group. A use fills its entry's day up to the cap, so a plan changes with the first use
+    of an entry on a day and not again by that entry's later ones. Each day of a group is planned on its own, from the days on which
+    its entries were used before: rows are one for each entry and day, however many uses there are. What a day's plans hold becomes
+    spans of the chronology by entry, and uses are counted against the spans of their entry.
     """
     import math
+    from bisect import bisect_left, insort
 
     def weight(age: float) -> float:
         if kernel == "legacy":
@@ -174,32 +178,65 @@ def replay(uses: DataFrame, entries: DataFrame, budget: int, kernel: str = "boun
         tau = half_life / 3
         return 0.0 if kernel == "bounded_power" and age > 180 else (1 + age / tau) ** -0.5
 
+    def spans(firsts: list, history: list, day: int, es: list) -> dict[str, list]:
+        """By entry: the spans (after, until) of a day's uses in which a plan holds it; None is an open end."""
+        units = {e["id"]: (e["units"], e["mult"], e["pinned"]) for e in es}
+        parts = {h["entry_id"]: [2.0 * weight(day - d) for d in h["days"] if d < day] for h in history}
+        act = lambda i: math.fsum(parts.get(i, ()))
+        row = lambda i: (not units[i][2], -act(i) * units[i][1] / units[i][0] if not units[i][2] else 0.0, i, units[i][0], act(i))
+        order = sorted(r for r in map(row, units) if not r[0] or r[4] > 0)
+        least = min((n for n, _, _ in units.values()), default=0)
+        out: dict[str, list] = {}
+        before: set[str] = set()
+        for k in range(len(firsts) + 1):
+            used, held = 0, set()
+            for free, _, i, n, _ in order:
+                if free and used + least > budget:
+                    break
+                if not free or used + n <= budget:
+                    used += n
+                    held.add(i)
+            at = (firsts[k - 1]["event_id"], firsts[k - 1]["entry_id"]) if k else None
+            for i in before - held:
+                out[i][-1][1] = at
+            for i in held - before:
+                out.setdefault(i, []).append([at, None])
+            before = held
+            if k < len(firsts):
+                i = firsts[k]["entry_id"]
+                old = bisect_left(order, row(i))
+                if old < len(order) and order[old][2] == i:
+                    del order[old]
+                parts.setdefault(i, []).append(2.0 * weight(0))
+                if not units[i][2] or act(i) > 0:
+                    insort(order, row(i))
+        return out
+
+    place = "struct<event_id:string,entry_id:string>"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = lambda x: x and {"event_id": x[0], "entry_id": x[1]}
         for pdf in batches:
-            out = []
-            for group, uses_, es in zip(pdf["grp"], pdf["uses"], pdf["es"], strict=True):
-                units = {e["id"]: (e["units"], e["mult"], e["pinned"]) for e in es}
-                seen: dict[str, dict[int, float]] = {}
-                total = hits = 0
-                for u in uses_:
-                    scored = []
-                    for i, (n, mult, pinned) in units.items():
-                        act = math.fsum(min(w, 2.0) * weight(u["day"] - d) for d, w in seen.get(i, {}).items())
-                        scored.append((not pinned, -act * mult / n if not pinned else 0.0, i, n, act))
-                    used, held = 0, False
-                    for free, _, i, n, act in sorted(scored):
-                        if not free or (act > 0 and used + n <= budget):
-                            used += n
-                            held |= i == u["entry_id"]
-                    total += 1
-                    hits += held
-                    days = seen.setdefault(u["entry_id"], {})
-                    days[u["day"]] = days.get(u["day"], 0.0) + 2.0
-                out.append((group, total, hits, hits / total if total else None))
-            yield pd.DataFrame(out, columns=["grp", "requests", "hits", "hit_rate"])
+            for group, day, firsts, history, es in zip(pdf["grp"], pdf["day"], pdf["firsts"], pdf["history"], pdf["es"], strict=True):
+                found = spans(list(firsts), list(history), day, list(es))
+                yield pd.DataFrame([(group, day, i, [{"after": named(a), "until": named(b)} for a, b in s]) for i, s in found.items()], columns=["grp", "day", "entry_id", "spans"])
 
     day = F.datediff("t", F.lit("1970-01-01").cast("date")).alias("day")
-    listed = uses.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct(day, "event_id", "entry_id"))).alias("uses"))
+    each = uses.groupBy("grp", day, "event_id", "entry_id").agg(F.count("*").alias("n"))
     mult = S.case_of(F.col("cost_class"), S.COST_MULTIPLIER, 1.25).alias("mult")
     es = entries.agg(F.array_sort(F.collect_list(F.struct("id", F.col("resident_units").cast("long").alias("units"), mult, "pinned"))).alias("es"))
-    return listed.crossJoin(es).mapInPandas(run, "grp string, requests bigint, hits bigint, hit_rate double")
+    known = uses.select("grp", day, "event_id", "entry_id").join(entries.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_semi")
+    firsts = known.groupBy("grp", "day", "entry_id").agg(F.min("event_id").alias("event_id"))
+    days = uses.select("grp", day).distinct().join(firsts.groupBy("grp", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "entry_id"))).alias("firsts")), ["grp", "day"], "left")
+    history = firsts.groupBy("grp", "entry_id").agg(F.array_sort(F.collect_list("day")).alias("days")).groupBy("grp").agg(F.collect_list(F.struct("entry_id", "days")).alias("history"))
+    planned = days.join(history, "grp", "left").crossJoin(es)
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(planned.schema[c].dataType)).alias(c)
+    planned = planned.select("grp", "day", none("firsts"), none("history"), "es").repartition("grp", "day")
+    held = planned.mapInPandas(run, f"grp string, day int, entry_id string, spans array<struct<after:{place},until:{place}>>")
+    at = F.struct("event_id", "entry_id")
+    # A use sees the plan of the uses before it; a use that comes again sees itself.
+    once = F.exists("spans", lambda s: F.coalesce(at > s["after"], F.lit(True)) & F.coalesce(at <= s["until"], F.lit(True)))
+    again = F.exists("spans", lambda s: F.coalesce(at >= s["after"], F.lit(True)) & F.coalesce(at < s["until"], F.lit(True)))
+    hit = F.coalesce(once.cast("long"), F.lit(0)) + (F.col("n") - 1) * F.coalesce(again.cast("long"), F.lit(0))
+    total = each.join(held, ["grp", "day", "entry_id"], "left").groupBy("grp").agg(F.sum("n").alias("requests"), F.sum(hit).alias("hits"))
+    return total.select("grp", "requests", "hits", (F.col("hits") / F.col("requests")).alias("hit_rate"))
