@@ -316,8 +316,8 @@ def _stored_days(spark: SparkSession, sf_dir: str) -> str:
 @query(f"""WITH {EVENTS} SELECT item_id, count(*) AS events, count(*) FILTER ({_D}) AS needs, count(*) FILTER ({_M}) AS misses, coalesce(sum(extra_tokens) FILTER ({_M}), 0)::BIGINT AS miss_extra_tokens,
     count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER ({_D}) AS demand_tasks FROM ev GROUP BY ALL""")
 def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tasks by item, merged from daily sketches: exact up to 4,096 tasks an item, with an error of 1.6 % beyond."""
-    return sketches.rolled(spark, _stored_days(spark, sf_dir), ["item_id"]).drop("exact", "miss_rate")
+    """Distinct tasks by item, merged from daily sketches; items of more than 4,096 tasks are counted from the stored tasks."""
+    return sketches.rolled(spark, _stored_days(spark, sf_dir), ["item_id"], exact=True).drop("exact", "miss_rate")
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT DISTINCT item_id, task_id FROM ev WHERE {_D} AND item_id IS NOT NULL),
@@ -326,11 +326,11 @@ def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s.seed_id, i.item_id AS cand_id, coalesce(support, 0) AS support, round(coalesce(support, 0) / n, 9) AS confidence
     FROM s JOIN (SELECT DISTINCT item_id FROM ev WHERE item_id IS NOT NULL) i ON s.seed_id <> i.item_id LEFT JOIN c ON c.seed_id = s.seed_id AND c.cand_id = i.item_id""")
 def sketch_shared_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks that each of three seed items shares with every other item, from the intersection of their sketches."""
+    """Tasks that each of three seed items shares with every other item, from the intersection of their sketches, or of their tasks where these are too many."""
     path = _stored_days(spark, sf_dir)
     items = sketches.stored(spark, path).filter("item_id IS NOT NULL").select(F.col("item_id").alias("cand_id")).distinct()
     pairs = items.select(F.explode(F.array(*map(F.lit, ("item1", "item2", "item3")))).alias("seed_id"), "cand_id").filter("seed_id <> cand_id")
-    return sketches.shared_tasks(spark, path, pairs).withColumn("confidence", F.round("confidence", 9))
+    return sketches.shared_tasks(spark, path, pairs, exact=True).withColumn("confidence", F.round("confidence", 9))
 
 
 RULED = r"""rec AS (SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS session, role, CASE WHEN turn % 7 = 3 THEN 'Cron' ELSE 'chat' END AS source, coalesce(text, '') AS text, TIMESTAMP '2024-01-01' + to_seconds((conv_id % 10) * 86400 + turn * 60) AS ts,
