@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Queries that one pass over the vectors answers.
 BLOCK_QUERIES = 4096
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 
 
 def normalised(vector: Column) -> Column:
@@ -47,7 +49,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "rowid",
     """(query_id, rowid, score, rank) of the ``k`` largest dot products; ties in row order.
 
     Queries go to every partition of the vectors in blocks of about BLOCK_QUERIES (a bounded broadcast), as one matrix
-    product per batch with a local top-k, so that only k rows per query and partition move; the exact merge ranks those.
+    product for some rows at a time with a local top-k, so that only k rows per query and partition move; the exact merge ranks those.
     """
     blocks = -(-queries.count() // BLOCK_QUERIES)
     part = F.pmod(F.xxhash64(query_id), F.lit(max(blocks, 1)))
@@ -62,6 +64,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "rowid",
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The ``k`` best rows so far of each of ``n`` queries; takes some rows at a time, so that memory is bounded whatever is added."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)  # what a row must reach to count
+        self.query, self.score, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Rows ``x`` with ``ids`` for the queries ``who`` of ``q``, or for all."""
+        who = np.arange(len(q)) if who is None else who
+        for first in range(0, len(who), CELLS):
+            asking = who[first : first + CELLS]
+            step = max(1, CELLS // max(1, len(asking)))
+            for a in range(0, len(x), step):
+                scores = np.round(q[asking] @ x[a : a + step].T, 9)
+                at, row = np.nonzero(~(scores < self.least[asking, None]))
+                if len(at):
+                    self._merge(asking[at], scores[at, row], ids[a + row])
+
+    def _merge(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        query, score, ids = np.append(self.query, query), np.append(self.score, score), np.append(self.id, ids)
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[place < self.k]
+        last = order[place == self.k - 1]
+        self.query, self.score, self.id = query[place < self.k], score[kept], ids[kept]
+        self.least[query[place == self.k - 1]] = score[last]
+
+    def rows(self, names: np.ndarray, query_id: str = "query_id", size: int = 100_000) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.query), size):
+            at = slice(a, a + size)
+            yield pa.RecordBatch.from_arrays([pa.array(names[self.query[at]]), pa.array(self.id[at]), pa.array(self.score[at])], names=[query_id, "rowid", "score"])
+
+
 def _local_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_id: str) -> DataFrame:
     asked = queries.select(query_id, vector_col).toPandas()
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, rowid bigint, score double"
@@ -69,16 +106,11 @@ def _local_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, ve
     q = np.stack([np.asarray(v, dtype=np.float64) for v in asked[vector_col]]) if len(asked) else np.empty((0, 0))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(names), k)
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(names):
-                continue
-            ids = batch.column(0).to_numpy()
-            scores = np.round(q @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64).T, 9)
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=[query_id, "rowid", "score"]
-            )
+            if batch.num_rows and len(names):
+                best.add(q, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64), batch.column(0).to_numpy())
+        yield from best.rows(names, query_id)
 
     return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(local, schema)
 
