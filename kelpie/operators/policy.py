@@ -92,7 +92,7 @@ def audit(
     ``last_hits`` (id, last_hit) has the days of last use, ``active`` (store, source_hash) what the stores hold now. An entry that
     is not current, or of T0 with a source that its store no longer holds, is ``excluded``. Of T0, what scores low for its age is
     to ``demote``, or ``pinned_low_activity``; of T1, what scores low, is idle since its last use and not pinned, to ``archive``.
-    T0 is ranked by activity; demotion goes from cheap to dear, then by activity.
+    T0 is ranked by activity to nine digits, then by id; demotion goes from cheap to dear, then by activity.
     """
     held = active.select(F.col("store").alias("a_store"), F.col("source_hash").alias("a_hash"), F.lit(True).alias("held")).distinct()
     e = entries.join(scores, entries["id"] == scores["entry_id"], "left").join(last_hits.select(F.col("id").alias("hit_id"), "last_hit"), F.col("id") == F.col("hit_id"), "left")
@@ -109,10 +109,12 @@ def audit(
     due = reason.isNull() & F.coalesce(F.col("next_review") <= now, F.lit(False))
     out = e.select("id", "tier", "cost_class", kind.alias("class"), reason.alias("reason"), due.alias("review_due"), "activity", age.alias("age"), idle.alias("idle"))
     ranked = top & F.col("reason").isNull()
-    rank = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc("activity"), "id"))
+    # Sums of doubles depend on their order in the last digits, which must not decide between equal activities.
+    scored = F.round("activity", 9)
+    rank = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc(scored), "id"))
     demoted = F.col("class") == "demote"
     cost = F.array_position(F.array(F.lit("low"), F.lit("med"), F.lit("high")), F.col("cost_class"))
-    nth = F.row_number().over(Window.partitionBy(demoted).orderBy(cost, "activity", "id"))
+    nth = F.row_number().over(Window.partitionBy(demoted).orderBy(cost, scored, "id"))
     return out.withColumn("rank", F.when(ranked, rank)).withColumn("demote_rank", F.when(demoted, nth)).drop("cost_class")
 
 
