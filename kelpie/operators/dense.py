@@ -16,14 +16,26 @@ BLOCK_QUERIES = 4096
 CELLS = 1 << 20
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: in a lambda an expression would be computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalised(vector: Column) -> Column:
     """Scaled by the largest magnitude, then to unit length; an error for empty, non-finite and zero vectors."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    good = (F.size(v) > 0) & ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) & (top > 0)
-    return F.when(F.assert_true(F.coalesce(good, F.lit(False)), F.lit("vectors must be non-empty, finite and non-zero")).isNull(), F.transform(scaled, lambda x: x / norm))
+
+    def unit(scaled: Column) -> Column:
+        return _let(F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(scaled, lambda x: x / norm))
+
+    def checked(v: Column) -> Column:
+        return _let(F.array_max(F.transform(v, F.abs)), lambda top: sound(v, top))
+
+    def sound(v: Column, top: Column) -> Column:
+        good = (F.size(v) > 0) & ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) & (top > 0)
+        checks = F.assert_true(F.coalesce(good, F.lit(False)), F.lit("vectors must be non-empty, finite and non-zero")).isNull()
+        return F.when(checks, _let(F.transform(v, lambda x: x / top), unit))
+
+    return _let(F.transform(vector, lambda x: x.cast("double")), checked)
 
 
 def is_unit(vector: Column, dimension: int) -> Column:
