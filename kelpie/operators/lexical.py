@@ -39,8 +39,8 @@ def focus_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.withColumn("focus", F.when(F.size(focus) > 0, focus).otherwise(F.col("content"))).drop("speaker_terms")
 
 
-#: Queries that one pass over the texts answers, and (document, query) pairs that are scored at once.
-BLOCK_QUERIES, PAIRS = 4096, 1 << 21
+#: Queries that one pass over the texts answers, and (document, query) pairs that are scored and tokens that are counted at once.
+BLOCK_QUERIES, PAIRS, TOKENS = 4096, 1 << 18, 1 << 19
 
 
 def bm25_channels(
@@ -124,6 +124,18 @@ class Phrases:
         return self
 
 
+def _pieces(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about TOKENS tokens in the columns from ``first``; a longer row stands alone."""
+    size = sum(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in range(first, batch.num_columns))
+    ends = np.cumsum(size)
+    a = 0
+    while a < batch.num_rows:
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + TOKENS, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _postings(asked: Phrases, n_columns: int, stem: bool):
     """rowid, id, scope, length and, for each phrase found, its number and its count in each column."""
 
@@ -132,7 +144,7 @@ def _postings(asked: Phrases, n_columns: int, stem: bool):
 
         asked.ready()
         known, value_set = {}, pa.array(asked.tokens, pa.string())
-        for batch in batches:
+        for batch in (piece for b in batches for piece in _pieces(b, 3)):
             length, found = np.zeros(batch.num_rows, np.int64), []
             for c in range(n_columns):
                 lists = batch.column(3 + c)
