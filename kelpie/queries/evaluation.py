@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import cubes, economics, evaluate, lexical, planners, telemetry
 from ..plans import recall as R
 from ..sources import driver as D
+from ..sources import scratch
 from .memory import EVENTS, TOTALS
 from .retrieval import ASKED, CORPUS, HELD, _asked, _corpus, bm25_sql
 
@@ -26,15 +27,24 @@ def query(sql: str | None = None):
     return add
 
 
-def _run(spark: SparkSession, sf_dir: str, selected: int) -> DataFrame:
-    """Judged rows of a literal run: candidates are the best ten documents, the first ``selected`` are packed."""
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The best ten documents of each question, and its gold documents."""
     found = lexical.bm25(_corpus(spark, sf_dir), _asked(spark, sf_dir, "corpus"), [("text", 1.0), ("meta", 0.0)], "tokens", 10)
+    return found.select("query_id", "id", "rank"), R.gold(D.articles(spark, sf_dir), D.questions(spark, sf_dir))
+
+
+def _judged(found: DataFrame, gold: DataFrame, selected: int) -> DataFrame:
     first = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= selected, F.struct("rank", "id")))), lambda x: x["id"])
     packed = found.groupBy("query_id").agg(first.alias("selected_ids"), F.count_if(F.col("rank") <= selected).alias("budget_used"))
-    gold = R.gold(D.articles(spark, sf_dir), D.questions(spark, sf_dir))
     return evaluate.judged(packed, found.select("query_id", "id"), gold)
 
 
+def _run(spark: SparkSession, sf_dir: str, selected: int) -> DataFrame:
+    """Judged rows of a literal run: candidates are the best ten documents, the first ``selected`` are packed."""
+    found, gold = _found(spark, sf_dir)
+    return _judged(scratch.written(found, "found"), gold, selected)  # read twice
+
+
 def run_sql(selected: int, name: str = "run") -> str:
     """CTE of judged rows, after the CTEs of ``ranked`` and ``gold``."""
     return f"""{name} AS (
@@ -81,7 +91,9 @@ def failure_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired(_run(spark, sf_dir, 1), _run(spark, sf_dir, 5), ["query_id"], "hits")
+    """Both runs judge one search: its rows and the gold are written once and read by both."""
+    found, gold = (scratch.written(x, n) for x, n in zip(_found(spark, sf_dir), ("found", "gold"), strict=True))
+    return evaluate.paired(_judged(found, gold, 1), _judged(found, gold, 5), ["query_id"], "hits")
 
 
 @query(f"""WITH {BASE}, {run_sql(1, 'one')}, {run_sql(5, 'five')} SELECT CASE WHEN f.hits > o.hits THEN 'win' WHEN f.hits < o.hits THEN 'loss' ELSE 'tie' END AS outcome, count(*) AS n
