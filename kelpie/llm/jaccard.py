@@ -308,14 +308,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link. ``pairs`` is a table.
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``doc_id`` is not in ``ids``, for a join that follows: what it has no use for does not move.
 
-    Only documents of pairs move: up to SMALL_IDS identifiers are broadcast to the scan of the texts, more are joined.
+    Up to SMALL_IDS identifiers are broadcast. More of them are broadcast as at most SMALL_IDS words of 64 bits, a bit for the
+    hash of each: rows of other identifiers with the same bit stay too, and the join drops them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = ids.distinct()
     if ids.count() <= SMALL_IDS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    word, bit = f"pmod(xxhash64(doc_id), {SMALL_IDS})", "cast(pmod(xxhash64(1, doc_id), 64) AS int)"
+    marks = ids.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("marks"))
+    return rows.withColumn("word", F.expr(word)).join(F.broadcast(marks), "word").filter(f"getbit(marks, {bit}) = 1").drop("word", "marks")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts link. ``pairs`` is a table. Only documents of pairs move."""
+    docs = among(docs, _ends(pairs))
     sides = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("doc_id", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
     rows = sides.join(docs.select("doc_id", "text"), "doc_id").select("a", "b", "side", "text")
     return rows.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_verified, "a bigint, b bigint")
@@ -369,9 +382,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def tested(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb), a table, that link."""
         # Both sides of each join are exchanges as they come, which Spark can split for a hot pivot.
+        own_bits = among(bits, _ends(pairs))
         near = (
-            pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
-            .join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b")
+            pairs.join(own_bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
+            .join(own_bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b")
             .select("a", "b", "na", "nb", "bits_a", "bits_b")
             .mapInArrow(_near_bits, "a bigint, b bigint")
         )
@@ -404,7 +418,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # Everyone left against everyone, in cells of bounded size: a member moves once per block of its group.
             block = F.floor(F.col("rank") / CELL).cast("int")
             other = F.explode(F.sequence(F.lit(0), F.floor(F.col("most") / CELL).cast("int")))
-            cells = opened.join(bits.withColumnRenamed("doc_id", "id"), "id").withColumn("block", block).withColumn("other", other)
+            own_bits = among(bits, opened.select(F.col("id").alias("doc_id")))
+            cells = opened.join(own_bits.withColumnRenamed("doc_id", "id"), "id").withColumn("block", block).withColumn("other", other)
             cells = cells.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "bits")
             near = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cells, "a bigint, b bigint")
             near = written(near.distinct(), "near")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import jaccard
-from .common import written
+from .common import SMALL_IDS, written
 from .shingles import mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 128, 25, 5
@@ -174,6 +174,15 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_chars, edited_sha256, both fingerprints and both likenesses."""
+    return _in_hex(_edited(docs, id_col, text_col))
+
+
+def _in_hex(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.lower(F.hex(c)).alias(c) if k == "binary" and c != "doc_id" else F.col(c) for c, k in rows.dtypes))
+
+
+def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``edited_fingerprints`` with hashes and fingerprints as bytes."""
     id_type = docs.schema[id_col].dataType.simpleString()
     sql = {pa.int64(): "bigint", pa.binary(): "binary", pa.float64(): "double"}
     schema = ", ".join(f"{n} {sql[k]}" for n, k in _OUT)
@@ -195,8 +204,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = firsts.select("part").withColumn("next", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
     followed = parts.join(firsts.withColumnRenamed("part", "next"), "next").drop("next")
     last = ends.filter("kind = 1").join(followed, "part").select("doc_id", "text", "follower").mapInArrow(_joined, f"doc_id {id_type}, {schema}")
-    every = rows.filter("kind = 0").select("doc_id", *(n for n, _ in _OUT)).union(last)
-    return every.select("doc_id", *(F.lower(F.hex(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in _OUT))
+    return rows.filter("kind = 0").select("doc_id", *(n for n, _ in _OUT)).union(last)
 
 
 def band_words(tokens: np.ndarray) -> np.ndarray:
@@ -211,9 +219,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``edited_fingerprints`` with ``near_id``: the smallest document of the verified group that bands bring together."""
+    """``edited_fingerprints`` with ``near_id``: the smallest document of the verified group that bands bring together.
+
+    Up to SMALL_IDS documents of groups are broadcast to the fingerprints; more are joined, with fingerprints still in bytes.
+    """
     groups = near_groups(docs, id_col, text_col).filter("doc_id <> component_id")
     groups = groups.groupBy(F.col("doc_id").alias("member")).agg(F.min("component_id").alias("near"))
-    rows = edited_fingerprints(docs, id_col, text_col)
+    groups = F.broadcast(groups) if groups.count() <= SMALL_IDS else groups
+    rows = _edited(docs, id_col, text_col)
     joined = rows.join(groups, F.col("doc_id") == F.col("member"), "left")
-    return joined.select(*rows.columns, F.coalesce("near", F.col("doc_id").cast("long")).alias("near_id"))
+    return _in_hex(joined.select(*rows.columns, F.coalesce("near", F.col("doc_id").cast("long")).alias("near_id")))
