@@ -13,6 +13,7 @@ query with very many candidates needs no array of them. ``recall_sql`` is a whol
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -83,15 +84,13 @@ class PackBudget:
             yield self.query_id, self.ids, "\n\n".join(self.blocks), self.used
 
 
-def _stems(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+@functools.lru_cache(maxsize=500_000)
+def _stem(word: str) -> str:
+    return X.porter(word)
 
-    def stem(w: str) -> str:
-        if w not in known:
-            known[w] = X.porter(w)
-        return known[w]
 
-    return tokens.map(lambda ws: [stem(w) for w in ws])
+def _stems(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda ws: [_stem(w) for w in ws])
 
 
 def _quoted(text: str) -> str:
@@ -122,8 +121,16 @@ def register(spark: SparkSession) -> SparkSession:
 STOP = "array(" + ", ".join(map(_quoted, X.STOP)) + ")"
 
 
-def recall_sql(docs: str, questions: str, mode: str = "sparse", budget: int = 600, k: int = 100, reach: int = 0) -> str:
-    """SQL of the recall of ``questions`` (query_id, query) over ``docs`` (rowid, id, session, ord, text, speaker, timestamp), views of one scope."""
+#: Documents that one task scores: bounds the groups (document, query) that it holds.
+TASK_DOCS = 1000
+
+
+def recall_sql(docs: str, questions: str, mode: str = "sparse", budget: int = 600, k: int = 100, reach: int = 0, parts: int | None = None, few: bool = True) -> str:
+    """SQL of the recall of ``questions`` (query_id, query) over ``docs`` (rowid, id, session, ord, text, speaker, timestamp), views of one scope.
+
+    Tokens are dealt by ``rowid``, into ``parts`` partitions; counts and scores stay where they are, and only the best rows of each
+    task move on. With ``few`` questions (some thousands) their phrases are broadcast to the documents.
+    """
     if mode not in ("literal", "sparse") or not 1 <= k <= 1000 or not 0 <= budget <= 32768 or reach not in (0, 1, 2):
         raise ValueError("options are out of range")
     stems = "kelpie_stems({})" if mode == "sparse" else "{}"
@@ -136,29 +143,36 @@ def recall_sql(docs: str, questions: str, mode: str = "sparse", budget: int = 60
     tokens = ", ".join(f"struct('{c}' AS col, {stems.format(f'c_{c}')} AS toks)" for c in columns)
     asked = " UNION ALL ".join(f"SELECT '{channel}' AS channel, query_id, explode({terms}) AS phrase FROM q" for channel, (terms, _) in weights.items())
     frequency = " ".join(f"WHEN channel = '{channel}' THEN " + " + ".join(f"{w} * f_{c}" for c, w in ws.items()) for channel, (_, ws) in weights.items())
+    dealt = f"REPARTITION({parts}, rowid)" if parts else "REPARTITION(rowid)"
+    # Stems are made in Python, which forgets how rows were dealt; before it, texts are only spread.
+    spread = f"/*+ {dealt} */" if mode == "sparse" else ""
+    small = "/*+ BROADCAST({}) */" if few else ""
     sums = ", ".join(f"sum(IF(col = '{c}', n, 0)) AS f_{c}" for c in columns)
     ranked = "SELECT query_id, rowid, rank FROM fused"
     if reach:
         ranked = f"""SELECT query_id, rowid, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM (
             SELECT query_id, n.rowid, min(struct(rank, IF(n.rowid = s.rowid, 0, 1) AS other, abs(n.ord - s.ord) AS far, n.ord, n.rowid)) AS o
-            FROM fused JOIN {docs} s USING (rowid) JOIN {docs} n ON n.session = s.session AND n.ord BETWEEN s.ord - {reach} AND s.ord + {reach} GROUP BY query_id, n.rowid)"""
+            FROM (SELECT rank, rowid, session, ord, query_id, explode(sequence(ord - {reach}, ord + {reach})) AS near FROM fused JOIN {docs} USING (rowid)) s
+            JOIN {docs} n ON n.session = s.session AND n.ord = s.near GROUP BY query_id, n.rowid)"""
     return f"""
     WITH whole AS (SELECT rowid, id, {', '.join(f'{e} AS c_{c}' for c, e in columns.items())} FROM {docs} WINDOW w AS (PARTITION BY session ORDER BY ord, id)),
-    split AS (SELECT rowid, id, {', '.join(f'kelpie_tokens(c_{c}) AS c_{c}' for c in columns)} FROM whole),
-    rich AS (SELECT rowid, id, explode(array({tokens})) AS c FROM split),
-    lens AS (SELECT rowid, sum(size(c.toks)) AS length FROM rich GROUP BY rowid),
-    stats AS (SELECT count(*) AS n_rows, avg(length) AS avg_length FROM lens),
+    apart AS (SELECT {spread} * FROM whole),
+    split AS (SELECT rowid, id, {', '.join(f'kelpie_tokens(c_{c}) AS c_{c}' for c in columns)} FROM apart),
+    toked AS (SELECT /*+ {dealt} */ rowid, id, length, array({tokens}) AS cs FROM (SELECT *, {' + '.join(f'size(c_{c})' for c in columns)} AS length FROM split)),
+    rich AS (SELECT rowid, id, length, explode(cs) AS c FROM toked),
+    stats AS (SELECT count(*) AS n_rows, avg(length) AS avg_length FROM (SELECT {' + '.join(f'size(kelpie_tokens(c_{c}))' for c in columns)} AS length FROM whole)),
     speakers AS (SELECT array_distinct(flatten(collect_set(names))) AS names FROM (SELECT kelpie_terms(speaker) AS names FROM {docs})),
     tokened AS (SELECT query_id, slice(kelpie_terms(query), 1, 64) AS tokens FROM {questions}),
     content AS (SELECT query_id, tokens, array_except(tokens, {STOP}) AS content FROM tokened),
     q AS (SELECT query_id, tokens, content, IF(size(array_except(content, names)) > 0, array_except(content, names), content) AS focus FROM content CROSS JOIN speakers),
     asked AS ({asked}),
     parts AS (SELECT phrase, size(p) AS n_parts, posexplode(p) AS (part, token) FROM (SELECT phrase, {stems.format('p')} AS p FROM (SELECT phrase, kelpie_tokens(phrase) AS p FROM (SELECT DISTINCT phrase FROM asked)))),
-    posts AS (SELECT rowid, id, c.col, posexplode(c.toks) AS (pos, token) FROM rich),
-    starts AS (SELECT rowid, id, phrase, col, n_parts, count(*) AS n FROM posts JOIN parts USING (token) GROUP BY rowid, id, phrase, col, n_parts, IF(n_parts > 1, pos - part, NULL)),
-    tf AS (SELECT rowid, id, phrase, {sums} FROM (SELECT rowid, id, phrase, col, IF(n_parts = 1, n, 1) AS n FROM starts WHERE n_parts = 1 OR n = n_parts) GROUP BY rowid, id, phrase),
+    posts AS (SELECT rowid, id, length, c.col, posexplode(c.toks) AS (pos, token) FROM rich),
+    starts AS (SELECT {small.format('parts')} rowid, id, length, phrase, col, n_parts, count(*) AS n FROM posts JOIN parts USING (token) GROUP BY rowid, id, length, phrase, col, n_parts, IF(n_parts > 1, pos - part, NULL)),
+    tf AS (SELECT rowid, id, length, phrase, {sums} FROM (SELECT rowid, id, length, phrase, col, IF(n_parts = 1, n, 1) AS n FROM starts WHERE n_parts = 1 OR n = n_parts) GROUP BY rowid, id, length, phrase),
     idf AS (SELECT phrase, avg_length, IF(ln((n_rows - df + 0.5D) / (df + 0.5D)) > 0, ln((n_rows - df + 0.5D) / (df + 0.5D)), 1e-6D) AS idf FROM (SELECT phrase, count(*) AS df FROM tf GROUP BY phrase) CROSS JOIN stats),
-    parted AS (SELECT channel, query_id, rowid, id, idf, length / avg_length AS share, CAST(CASE {frequency} END AS DOUBLE) AS f FROM asked JOIN tf USING (phrase) JOIN idf USING (phrase) JOIN lens USING (rowid)),
+    valued AS (SELECT channel, query_id, phrase, idf, avg_length FROM asked JOIN idf USING (phrase)),
+    parted AS (SELECT {small.format('valued')} channel, query_id, rowid, id, idf, length / avg_length AS share, CAST(CASE {frequency} END AS DOUBLE) AS f FROM tf JOIN valued USING (phrase)),
     scored AS (SELECT query_id, channel, rowid, id, round(sum(idf * f * 2.2D / (f + 1.2D * (0.25D + 0.75D * share))), {lexical.DIGITS}) AS score FROM parted GROUP BY query_id, channel, rowid, id),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM scored),
     best AS (SELECT query_id, channel, rowid, id, score FROM placed WHERE place <= {k}),

@@ -252,9 +252,12 @@ def recall_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _recall_text(spark: SparkSession, sf_dir: str, mode: str, reach: int) -> DataFrame:
     """Recall by SQL text over two views, with the table functions."""
     table_functions.register(spark)
-    D.turns(spark, sf_dir).createOrReplaceTempView("kelpie_turns")
-    D.questions(spark, sf_dir).createOrReplaceTempView("kelpie_questions")
-    found = spark.sql(table_functions.recall_sql("kelpie_turns", "kelpie_questions", mode, 600, reach=reach))
+    turns, questions = D.turns(spark, sf_dir), D.questions(spark, sf_dir)
+    turns.createOrReplaceTempView("kelpie_turns")
+    questions.createOrReplaceTempView("kelpie_questions")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), turns.count() // table_functions.TASK_DOCS + 1)
+    few = questions.count() <= lexical.BLOCK_QUERIES
+    found = spark.sql(table_functions.recall_sql("kelpie_turns", "kelpie_questions", mode, 600, reach=reach, parts=parts, few=few))
     return found.select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
 
 
