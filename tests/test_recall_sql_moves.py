@@ -37,3 +37,15 @@ def test_rows_do_not_depend_on_how_documents_are_dealt(spark, views, mode, reach
     shown = lambda df: sorted((r.query_id, tuple(r.selected_ids), r.context, r.budget_used) for r in df.collect())
     want = R.recall(docs, questions.withColumn("scope", F.lit("conv")), mode, 300, 10, reach)
     assert shown(spark.sql(T.recall_sql("m_docs", "m_questions", mode, 300, 10, reach, parts, few))) == shown(want)
+
+
+def test_a_task_gets_a_bounded_number_of_documents(spark, monkeypatch):
+    from kelpie.queries import QUERIES
+    from kelpie.sources import driver as D
+
+    sf = "/root/testdata/sf0.001"
+    n = D.turns(spark, sf).count()
+    monkeypatch.setattr(T, "TASK_DOCS", 20)
+    plan = QUERIES["recall_literal_sql"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(x) for x in re.findall(r"Exchange hashpartitioning\(rowid#\d+L?, (\d+)\), REPARTITION", plan)]
+    assert dealt and set(dealt) == {max(4, n // 20 + 1)}
