@@ -121,8 +121,9 @@ def register(spark: SparkSession) -> SparkSession:
 STOP = "array(" + ", ".join(map(_quoted, X.STOP)) + ")"
 
 
-#: Documents that one task scores: bounds the groups (document, query) that it holds.
-TASK_DOCS = 1000
+#: Documents that one task scores, and questions of one pass over them: bound the groups (document, query) that it holds. Fewer
+#: documents a task would not do instead: of few, nearly all are among a task's ``k`` best, and move.
+TASK_DOCS, BLOCK_QUESTIONS = 1000, 1000
 
 
 def recall_sql(docs: str, questions: str, mode: str = "sparse", budget: int = 600, k: int = 100, reach: int = 0, parts: int | None = None, few: bool = True) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -250,15 +252,17 @@ def recall_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recall_text(spark: SparkSession, sf_dir: str, mode: str, reach: int) -> DataFrame:
-    """Recall by SQL text over two views, with the table functions."""
+    """Recall by SQL text over two views, with the table functions; questions in blocks of about BLOCK_QUESTIONS, each a pass over the dealt tokens."""
     table_functions.register(spark)
     turns, questions = D.turns(spark, sf_dir), D.questions(spark, sf_dir)
     turns.createOrReplaceTempView("kelpie_turns")
-    questions.createOrReplaceTempView("kelpie_questions")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), turns.count() // table_functions.TASK_DOCS + 1)
-    few = questions.count() <= lexical.BLOCK_QUERIES
-    found = spark.sql(table_functions.recall_sql("kelpie_turns", "kelpie_questions", mode, 600, reach=reach, parts=parts, few=few))
-    return found.select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
+    blocks = max(1, -(-questions.count() // table_functions.BLOCK_QUESTIONS))
+    found = []
+    for i in range(blocks):
+        questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).createOrReplaceTempView("kelpie_questions")
+        found.append(spark.sql(table_functions.recall_sql("kelpie_turns", "kelpie_questions", mode, 600, reach=reach, parts=parts)))
+    return functools.reduce(DataFrame.union, found).select("query_id", F.array_join("selected_ids", ",").alias("selected"), "budget_used")
 
 
 @query(f"""WITH {TURNS}, metas AS (SELECT *, speaker || ' ' || "timestamp" AS meta FROM turns), raw AS (SELECT item_id AS query_id, {TERMS.replace('{0}', 'text')}[:64] AS ts FROM benchmark),

@@ -49,3 +49,20 @@ def test_a_task_gets_a_bounded_number_of_documents(spark, monkeypatch):
     plan = QUERIES["recall_literal_sql"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     dealt = [int(x) for x in re.findall(r"Exchange hashpartitioning\(rowid#\d+L?, (\d+)\), REPARTITION", plan)]
     assert dealt and set(dealt) == {max(4, n // 20 + 1)}
+
+
+@pytest.mark.parametrize("name", ["recall_literal_sql", "recall_sparse_sql"])
+def test_a_task_gets_a_bounded_number_of_questions_at_once(spark, monkeypatch, name):
+    from kelpie.operators import lexical
+    from kelpie.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(T, "BLOCK_QUESTIONS", 15, raising=False)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 15)
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    names = [[k.split("#")[0].strip() for k in x.split(",")] for x in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)]
+    assert plan.count("BatchEvalPythonUDTF recall_fused") == 3  # 40 questions
+    assert not [n for n in names if "token" in n or {"rowid", "phrase"} <= set(n) or {"query_id", "channel", "rowid"} <= set(n)]
+    assert sorted(map(tuple, df.collect())) == want
