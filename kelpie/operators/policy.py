@@ -43,7 +43,10 @@ def daily(events: DataFrame, now: Column) -> DataFrame:
 
 
 def activity(events: DataFrame, now: Column, kernel: str = "bounded_power", half_life: float = 30.0, exponent: float = 0.5, window_days: int = 180, daily_cap: float = 2.0) -> DataFrame:
-    """(entry_id, activity). Only ``bounded_power`` caps a day's weight; ``lru`` and ``lfu`` are the classic scores."""
+    """(entry_id, activity). Only ``bounded_power`` caps a day's weight; ``lru`` and ``lfu`` are the classic scores.
+
+    An entry's days are added from small to large, so entries with the same days have the same activity to the last digit.
+    """
     days = daily(events, now)
     if kernel == "lru":
         value = 1 / (1 + F.min("age"))
@@ -51,7 +54,8 @@ def activity(events: DataFrame, now: Column, kernel: str = "bounded_power", half
         value = F.sum("weight")
     else:
         weight = F.least(F.col("weight"), F.lit(daily_cap)) if kernel == "bounded_power" else F.col("weight")
-        value = F.sum(weight * S.decay(F.col("age"), kernel, half_life, exponent, window_days))
+        terms = F.collect_list(weight * S.decay(F.col("age"), kernel, half_life, exponent, window_days))  # one a day
+        value = F.aggregate(F.array_sort(terms), F.lit(0.0), lambda s, x: s + x)
     return days.groupBy("entry_id").agg(value.alias("activity"))
 
 
@@ -92,7 +96,7 @@ def audit(
     ``last_hits`` (id, last_hit) has the days of last use, ``active`` (store, source_hash) what the stores hold now. An entry that
     is not current, or of T0 with a source that its store no longer holds, is ``excluded``. Of T0, what scores low for its age is
     to ``demote``, or ``pinned_low_activity``; of T1, what scores low, is idle since its last use and not pinned, to ``archive``.
-    T0 is ranked by activity to nine digits, then by id; demotion goes from cheap to dear, then by activity.
+    T0 is ranked by activity to twelve digits, then by id; demotion goes from cheap to dear, then by activity.
     """
     held = active.select(F.col("store").alias("a_store"), F.col("source_hash").alias("a_hash"), F.lit(True).alias("held")).distinct()
     e = entries.join(scores, entries["id"] == scores["entry_id"], "left").join(last_hits.select(F.col("id").alias("hit_id"), "last_hit"), F.col("id") == F.col("hit_id"), "left")
@@ -110,7 +114,7 @@ def audit(
     out = e.select("id", "tier", "cost_class", kind.alias("class"), reason.alias("reason"), due.alias("review_due"), "activity", age.alias("age"), idle.alias("idle"))
     ranked = top & F.col("reason").isNull()
     # Sums of doubles depend on their order in the last digits, which must not decide between equal activities.
-    scored = F.round("activity", 9)
+    scored = F.round("activity", 12)
     rank = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc(scored), "id"))
     demoted = F.col("class") == "demote"
     cost = F.array_position(F.array(F.lit("low"), F.lit("med"), F.lit("high")), F.col("cost_class"))
